@@ -12,7 +12,7 @@ from careerloom.runtime import cut
 KEY = "session_id"
 
 
-def first_by(df: DataFrame, keys: Sequence[str], value: Column, order: Sequence[Column], name: str) -> DataFrame:
+def first_by(df: DataFrame, keys: Sequence[str], value: Column, order: Sequence[Column | str], name: str) -> DataFrame:
     """One row per key with the ``value`` of the first row in ``order``.
 
     An aggregate instead of a ranking window: it combines before the shuffle,
@@ -21,7 +21,7 @@ def first_by(df: DataFrame, keys: Sequence[str], value: Column, order: Sequence[
     return df.groupBy(*keys).agg(F.min_by(value, F.struct(*order)).alias(name))
 
 
-def canonical_map(df: DataFrame, keys: Sequence[str], id_col: str, order: Sequence[Column]) -> DataFrame:
+def canonical_map(df: DataFrame, keys: Sequence[str], id_col: str, order: Sequence[Column | str]) -> DataFrame:
     """(session_id, id, canonical_id): every id mapped to the first id of its key."""
     firsts = first_by(df, [KEY, *keys], F.col(id_col), order, "canonical_id")
     return (

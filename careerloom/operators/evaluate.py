@@ -201,7 +201,7 @@ def _pad(c: Column, width: int) -> Column:
 
 
 def _line(name: Column, width: int) -> Column:
-    num = lambda c: F.lpad(F.format_number(F.bround(F.col(c), 2), "0.00"), 6, " ")
+    num = lambda c: F.format_string("%6.2f", F.bround(F.col(c), 2))
     i = lambda c: F.col(c).cast("string")
     return F.concat(
         _pad(name, width), F.lit(" "), num("precision"), F.lit(" "), num("recall"), F.lit(" "), num("f1"),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from careerloom import vocab as V
 from careerloom.functions import case_key, dates_within_days, is_expired, mint_iri, org_dedup_key, title_similarity
-from careerloom.operators.common import KEY, canonical_map, first_by
+from careerloom.operators.common import KEY, canonical_map
 from careerloom.runtime import cut
 
 ORDER = ("doc_id", "pos")
@@ -22,15 +22,58 @@ def _blank(c: str) -> Column:
     return F.coalesce(case_key(c), F.lit(""))
 
 
+def _or_own(key: Column, id_col: str) -> Column:
+    """A blank key identifies nothing, so the entity keeps to itself."""
+    return F.coalesce(F.nullif(key, F.lit("")), F.concat(F.lit("\0"), F.col(id_col)))
+
+
+def _skill_key(skills: DataFrame) -> DataFrame:
+    return skills.withColumn("k1", _or_own(case_key("label"), "skill_id"))
+
+
+def _org_key(orgs: DataFrame) -> DataFrame:
+    return orgs.withColumn("k1", _or_own(org_dedup_key("name"), "org_id"))
+
+
+def _edu_key(education: DataFrame, org_map: DataFrame) -> DataFrame:
+    return canonical_refs(education, "institution_id", org_map, "_inst").select(
+        *education.columns,
+        F.concat_ws("\0", _blank("degree_type"), _blank("field_of_study"), F.coalesce("_inst", F.lit(""))).alias("k1"),
+    )
+
+
+def _cert_key(certs: DataFrame) -> DataFrame:
+    return certs.withColumn("k1", F.concat_ws("\0", _or_own(case_key("name"), "cert_id"), _blank("issuing_organization")))
+
+
+def first_rows(keyed: DataFrame, id_col: str) -> DataFrame:
+    """The surviving row of every key: the first by document, position and id."""
+    row = F.struct(*[c for c in keyed.columns if c not in (KEY, "k1")])
+    return (
+        keyed.groupBy(KEY, "k1")
+        .agg(F.min_by(row, F.struct(*ORDER, id_col)).alias("r"))
+        .select(KEY, "k1", "r.*")
+    )
+
+
+def id_map(keyed: DataFrame, firsts: DataFrame, id_col: str) -> DataFrame:
+    """(session_id, id, canonical_id): every id mapped to its key's survivor."""
+    heads = firsts.select(KEY, "k1", F.col(id_col).alias("canonical_id"))
+    return (
+        keyed.select(KEY, "k1", F.col(id_col).alias("id"))
+        .join(heads, [KEY, "k1"])
+        .groupBy(KEY, "id")
+        .agg(F.min("canonical_id").alias("canonical_id"))
+    )
+
+
 def dedup_skills(skills: DataFrame) -> DataFrame:
     """Skills with the same case key are one node; an unlabelled skill stays alone."""
-    k = F.coalesce(F.nullif(case_key("label"), F.lit("")), F.concat(F.lit("\0"), F.col("skill_id")))
-    return canonical_map(skills.withColumn("k", k), ["k"], "skill_id", [F.col(c) for c in ORDER] + [F.col("skill_id")])
+    return canonical_map(_skill_key(skills), ["k1"], "skill_id", [*ORDER, "skill_id"])
 
 
 def dedup_orgs(orgs: DataFrame) -> DataFrame:
-    k = F.coalesce(F.nullif(org_dedup_key("name"), F.lit("")), F.concat(F.lit("\0"), F.col("org_id")))
-    return canonical_map(orgs.withColumn("k", k), ["k"], "org_id", [F.col(c) for c in ORDER] + [F.col("org_id")])
+    return canonical_map(_org_key(orgs), ["k1"], "org_id", [*ORDER, "org_id"])
 
 
 def canonical_refs(df: DataFrame, ref: str, id_map: DataFrame, out: str | None = None) -> DataFrame:
@@ -54,11 +97,26 @@ def _keyed_jobs(jobs: DataFrame, org_map: DataFrame) -> DataFrame:
     )
 
 
+_JOB_KEYS = ["title_key", "org_key", "start_key"]
+
+
+def _job_heads(keyed: DataFrame) -> DataFrame:
+    return keyed.groupBy(KEY, *_JOB_KEYS).agg(F.min("job_id").alias("job_id"), F.min("start_date").alias("start_date"))
+
+
+def _exact_map(keyed: DataFrame, heads: DataFrame) -> DataFrame:
+    return (
+        keyed.select(KEY, *_JOB_KEYS, F.col("job_id").alias("id"))
+        .join(heads.select(KEY, *_JOB_KEYS, F.col("job_id").alias("canonical_id")), [KEY, *_JOB_KEYS])
+        .groupBy(KEY, "id")
+        .agg(F.min("canonical_id").alias("canonical_id"))
+    )
+
+
 def dedup_jobs_exact(jobs: DataFrame, org_map: DataFrame) -> DataFrame:
     """Same title, canonical organization and start date."""
-    return canonical_map(
-        _keyed_jobs(jobs, org_map), ["title_key", "org_key", "start_key"], "job_id", [F.col("job_id")]
-    )
+    keyed = _keyed_jobs(jobs, org_map)
+    return _exact_map(keyed, _job_heads(keyed))
 
 
 def similar_titles(
@@ -74,7 +132,13 @@ def similar_titles(
     """
     growth = (1 - threshold) / threshold * 2
     widest = (2 - threshold) / threshold
-    t = titles.filter("title_key <> ''").withColumn("n", F.length("title_key"))
+    # An organization with one title has no pair.
+    crowded = titles.groupBy(KEY, "org_key").agg(F.count("*").alias("c")).filter("c > 1").select(KEY, "org_key")
+    t = (
+        titles.filter("title_key <> ''")
+        .join(crowded, [KEY, "org_key"], "left_semi")
+        .withColumn("n", F.length("title_key"))
+    )
     pieces = F.floor(F.col("n") * F.lit(growth)).cast("int") + 1
     piece = lambda i, k: F.substr(
         F.col("title_key"),
@@ -88,11 +152,14 @@ def similar_titles(
             F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda i: piece(i, F.col("k"))))).alias("gram"),
         )
     )
-    # Piece lengths are floor/ceil of na/k(na); growth bounds them by 1/growth + 1.
-    longest = math.ceil(1 / growth) + 1
+    # A title of na characters is cut into more than growth * na pieces, so none
+    # is longer than 1/growth; the shortest partner gives the shortest piece.
+    longest = math.ceil(1 / growth)
+    na_min = F.ceil(F.col("n") / F.lit(widest))
+    least = F.greatest(F.lit(1), F.floor(na_min / (na_min * F.lit(growth) + 1))).cast("int")
     grams = F.flatten(
         F.transform(
-            F.sequence(F.lit(1), F.least(F.lit(longest), F.col("n"))),
+            F.sequence(F.least(least, F.col("n")), F.least(F.lit(longest), F.col("n"))),
             lambda w: F.transform(
                 F.sequence(F.lit(1), F.col("n") - w + 1), lambda i: F.substr(F.col("title_key"), i, w)
             ),
@@ -137,13 +204,11 @@ def dedup_jobs(
     leads nobody. After the exact pass a job has at most one partner per date
     and title, so the pair table is bounded by dates, not by group size.
     """
-    exact = dedup_jobs_exact(jobs, org_map)
+    keyed = cut(_keyed_jobs(jobs, org_map))
+    alive = cut(_job_heads(keyed))
+    exact = _exact_map(keyed, alive)
     if not fuzzy:
         return exact
-    keyed = _keyed_jobs(jobs, org_map)
-    alive = keyed.join(
-        exact.filter("id = canonical_id").select(KEY, F.col("id").alias("job_id")), [KEY, "job_id"], "left_semi"
-    ).distinct()
     pairs = similar_titles(alive.select(KEY, "org_key", "title_key").distinct(), similarity, threshold)
 
     bucket = F.coalesce(F.floor(F.unix_date("start_date") / (days + 1)), F.lit(-(10**9))).cast("long")
@@ -187,17 +252,11 @@ def dedup_jobs(
 
 
 def dedup_education(education: DataFrame, org_map: DataFrame) -> DataFrame:
-    keyed = canonical_refs(education, "institution_id", org_map, "_inst").select(
-        KEY, "edu_id", *ORDER,
-        _blank("degree_type").alias("k1"), _blank("field_of_study").alias("k2"), F.coalesce("_inst", F.lit("")).alias("k3"),
-    )
-    return canonical_map(keyed, ["k1", "k2", "k3"], "edu_id", [F.col(c) for c in ORDER] + [F.col("edu_id")])
+    return canonical_map(_edu_key(education, org_map), ["k1"], "edu_id", [*ORDER, "edu_id"])
 
 
 def dedup_certifications(certs: DataFrame) -> DataFrame:
-    name = F.coalesce(F.nullif(case_key("name"), F.lit("")), F.concat(F.lit("\0"), F.col("cert_id")))
-    keyed = certs.withColumn("k1", name).withColumn("k2", _blank("issuing_organization"))
-    return canonical_map(keyed, ["k1", "k2"], "cert_id", [F.col(c) for c in ORDER] + [F.col("cert_id")])
+    return canonical_map(_cert_key(certs), ["k1"], "cert_id", [*ORDER, "cert_id"])
 
 
 # ---------------------------------------------------------------- triples
@@ -427,9 +486,15 @@ def build_graph(
 
     ``persons`` holds one merged person per session (see ``merge_persons``).
     """
-    org_map, skill_map = cut(dedup_orgs(organizations)), cut(dedup_skills(skills))
+    def unify(keyed: DataFrame, id_col: str) -> tuple[DataFrame, DataFrame]:
+        firsts = cut(first_rows(keyed, id_col))
+        return firsts, cut(id_map(keyed, firsts, id_col))
+
+    live_orgs, org_map = unify(_org_key(organizations), "org_id")
+    live_skills, skill_map = unify(_skill_key(skills), "skill_id")
+    live_edus, edu_map = unify(_edu_key(education, org_map), "edu_id")
+    live_certs, cert_map = unify(_cert_key(certifications), "cert_id")
     job_map = cut(dedup_jobs(jobs, org_map, fuzzy=fuzzy_jobs))
-    edu_map, cert_map = dedup_education(education, org_map), dedup_certifications(certifications)
     kinds = {"job": job_map, "skill": skill_map, "education": edu_map, "certification": cert_map}
     id_maps = None
     for kind, m in kinds.items():
@@ -437,22 +502,31 @@ def build_graph(
         id_maps = part if id_maps is None else id_maps.unionByName(part)
 
     kept_jobs = job_map.filter("id = canonical_id").select(KEY, F.col("id").alias("job_id"))
-    usage = canonical_refs(job_skill.join(kept_jobs, [KEY, "job_id"], "left_semi"), "skill_id", skill_map)
+    live_jobs = jobs.join(kept_jobs, [KEY, "job_id"], "left_semi")
+    usage = job_skill.select(KEY, "job_id", "skill_id", "kind").join(kept_jobs, [KEY, "job_id"], "left_semi")
     parts = [
-        organization_triples(survivors(organizations, "org_id", org_map)),
-        skill_triples(survivors(skills, "skill_id", skill_map)),
+        organization_triples(live_orgs),
+        skill_triples(live_skills),
         alt_labels(skills, skill_map),
-        job_triples(canonical_refs(survivors(jobs, "job_id", job_map), "org_id", org_map)),
-        job_skill_triples(usage),
-        education_triples(canonical_refs(survivors(education, "edu_id", edu_map), "institution_id", org_map)),
-        certification_triples(survivors(certifications, "cert_id", cert_map), as_of),
+        job_triples(canonical_refs(live_jobs, "org_id", org_map)),
+        job_skill_triples(canonical_refs(usage, "skill_id", skill_map).distinct()),
+        education_triples(canonical_refs(live_edus, "institution_id", org_map)),
+        certification_triples(live_certs, as_of),
         person_triples(persons),
         person_edges(person_refs, id_maps),
     ]
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
-    return out.distinct()
+    # Lists and edges are distinct already, so only an id that names two entities
+    # could repeat a statement. Looking for one is far cheaper than shuffling all triples.
+    own = {"org_id": live_orgs, "skill_id": live_skills, "job_id": live_jobs, "edu_id": live_edus, "cert_id": live_certs, "person_id": persons}
+    ids = None
+    for c, df in own.items():
+        part = df.select(KEY, F.col(c).alias("id"))
+        ids = part if ids is None else ids.unionByName(part)
+    clash = ids.groupBy(KEY, "id").agg(F.count("*").alias("n")).filter("n > 1")
+    return out if clash.isEmpty() else out.distinct()
 
 
 # ---------------------------------------------------------------- queries over the graph

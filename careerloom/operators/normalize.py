@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from careerloom import vocab as V
 from careerloom.functions import case_key, iri_local_name, mint_iri, strip, url_decode_label
 from careerloom.operators.common import KEY, first_by, resolve_chains
+from careerloom.runtime import cut
 
 POOL = [KEY, "pool"]
 
@@ -131,7 +132,7 @@ def anchor_verified(label_map: DataFrame) -> DataFrame:
 
 
 def build_label_map(labels: DataFrame, alias_groups: DataFrame, prefer_declared: bool = False) -> DataFrame:
-    p1 = phase1_case(labels, prefer_declared)
+    p1 = cut(phase1_case(labels, prefer_declared))
     return chain_maps(labels, p1, phase2_uri(labels, p1), phase3_alias(alias_groups))
 
 
@@ -231,8 +232,7 @@ def rewrite_triples(triples: DataFrame, label_map: DataFrame) -> DataFrame:
 
     labels = triples.filter(is_label).join(skills, [KEY, "s"], "left_semi")
     renamed = (
-        labels.join(m, (labels[KEY] == m[KEY]) & (labels["o"] == m["_old"]), "left")
-        .drop(m[KEY])
+        labels.join(m.withColumnRenamed("_old", "o"), [KEY, "o"], "left")
         .withColumn("o", F.coalesce("canonical", "o"))
     )
     variants = m.withColumnRenamed("_old", "variant")

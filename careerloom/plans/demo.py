@@ -15,9 +15,11 @@ from pyspark.sql import functions as F
 
 from careerloom import vocab as V
 from careerloom.operators import analyze, graph, normalize, sessions, taxonomy
+from careerloom.runtime import cut
 from careerloom.streaming import feeds
 
 AS_OF = "2001-01-01"
+_STORED: dict[tuple[str, str], DataFrame] = {}
 
 
 def _sv(prefix: str, *cols: str) -> Column:
@@ -33,6 +35,12 @@ class Careers:
     def t(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
+    def store(self, *names: str) -> Careers:
+        """Write frames that a query reads several times to tables, as a deployment would have them."""
+        for name in names:
+            self.__dict__[name] = cut(getattr(self, name))
+        return self
+
     @property
     def as_of(self) -> Column:
         return F.to_date(F.lit(AS_OF))
@@ -249,11 +257,20 @@ class Careers:
         return sessions.merged_references(self.raw_refs, self.raw_person)
 
     def build_triples(self) -> DataFrame:
+        self.store("job", "raw_skill", "raw_edu", "raw_org")
         return graph.build_graph(
             self.merged_person, self.merged_refs, self.job, self.job_skill, self.raw_skill, self.raw_edu,
             self.raw_cert, self.raw_org, self.as_of,
         )
 
+    @cached_property
+    def triples(self) -> DataFrame:
+        """The stored graph: built on first use in an application, then read while it runs."""
+        key = (self.spark.sparkContext.applicationId, self.dir)
+        if key not in _STORED:
+            _STORED[key] = cut(self.build_triples())
+        return _STORED[key]
+
     @cached_property
     def org_map(self) -> DataFrame:
         return graph.dedup_orgs(self.raw_org)
@@ -286,6 +303,7 @@ class Careers:
 
     @cached_property
     def label_map(self) -> DataFrame:
+        self.store("labels")
         return normalize.build_label_map(self.labels, self.alias_groups)
 
     # ------------------------------------------------------------ clean career frames

@@ -212,7 +212,7 @@ def _(c):
 
 @query(
     "provider_comparison",
-    """SELECT user_id || '' AS provider, round(max(value), 1) AS extraction_time_sec, count(*) AS total_entities, count(*) FILTER (event_type = 'click') AS jobs,
+    """SELECT user_id || '' AS provider, round_even(max(value), 1) AS extraction_time_sec, count(*) AS total_entities, count(*) FILTER (event_type = 'click') AS jobs,
               count(*) FILTER (event_type = 'view') AS skills, round(0.75, 2)::DOUBLE AS avg_confidence, 80.0::DOUBLE AS accuracy_percent FROM events GROUP BY 1""",
 )
 def _(c):
@@ -236,7 +236,7 @@ def _(c):
        LEFT JOIN (SELECT session_id, count(DISTINCT lower(trim(label))) AS d FROM raw_skill GROUP BY 1) USING (session_id)""",
 )
 def _(c):
-    t = cut(c.build_triples())
+    t = c.triples
     return K.acceptance(t, view.unknown_nodes(t), c.raw_skill)
 
 

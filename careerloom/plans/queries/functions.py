@@ -75,7 +75,7 @@ def _(c):
 
 @query("iri_local_name", f"SELECT DISTINCT p, url_decode({_local('p')}) AS name, replace(url_decode(split_part(o, '/', -1)), '_', ' ') AS target FROM triple WHERE o_kind = 'iri' AND NOT contains(o, '#')")
 def _(c):
-    t = c.build_triples().filter("o_kind = 'iri' and not contains(o, '#')")
+    t = c.triples.filter("o_kind = 'iri' and not contains(o, '#')")
     return t.select("p", fn.iri_local_name("p").alias("name"), fn.iri_local_name("o", spaces=True).alias("target")).distinct()
 
 
@@ -195,7 +195,7 @@ def _(c):
 def _(c):
     from careerloom.operators import view
 
-    return view.nodes(c.build_triples()).groupBy("kind", "confidence", "band", "shape", "color", "font_size", "size").agg(F.count("*").alias("n"))
+    return view.nodes(c.triples).groupBy("kind", "confidence", "band", "shape", "color", "font_size", "size").agg(F.count("*").alias("n"))
 
 
 @query(
@@ -203,7 +203,7 @@ def _(c):
     f"""SELECT p, {_case('p', V.PREDICATE_LABEL, _local('p'))} AS label, {_case('p', V.EDGE_CLASS, "'other'")} AS edge_class, count(*) AS n FROM triple GROUP BY ALL""",
 )
 def _(c):
-    t = c.build_triples().groupBy("p").agg(F.count("*").alias("n"))
+    t = c.triples.groupBy("p").agg(F.count("*").alias("n"))
     return t.select("p", fn.predicate_label("p").alias("label"), fn.edge_class("p").alias("edge_class"), "n")
 
 

@@ -151,7 +151,7 @@ _COUNTS = ", ".join(f"count(*) FILTER (p = '{V.RDF_TYPE}' AND o = '{iri}') AS {k
 
 @query("graph_stats", f"SELECT session_id, count(*) AS triple_count, {_COUNTS} FROM triple GROUP BY 1")
 def _(c):
-    return G.graph_stats(c.build_triples())
+    return G.graph_stats(c.triples)
 
 
 @query(
@@ -162,7 +162,7 @@ def _(c):
 )
 def _(c):
     rows = G.match_pattern(
-        cut(c.build_triples()),
+        c.triples,
         [("?person", V.HAS_JOB, "?job"), ("?job", V.TITLE, "1-URGENT"), ("?job", V.HIRING_ORG, "?org"), ("?org", V.NAME, "?org_name")],
     )
     return rows.select("session_id", "person", "job", "org", "org_name")
@@ -175,7 +175,7 @@ def _(c):
         WHERE t.p = '{V.TITLE}' AND contains(lower(t.o), 'urgent') AND u.p = '{V.USED_SKILL}' AND l.p = '{V.PREF_LABEL}'""",
 )
 def _(c):
-    return G.skills_in_jobs_titled(cut(c.build_triples()), "Urgent")
+    return G.skills_in_jobs_titled(c.triples, "Urgent")
 
 
 @query(
@@ -184,19 +184,19 @@ def _(c):
         AND NOT EXISTS (SELECT 1 FROM triple h WHERE h.p = '{V.HAS_SKILL}' AND h.session_id = u.session_id AND h.o = u.o)""",
 )
 def _(c):
-    return G.unowned_used_skills(c.build_triples())
+    return G.unowned_used_skills(c.triples)
 
 
 # ---------------------------------------------------------------- view
 
 @query("nodes", "SELECT session_id, id, label, kind, confidence FROM node")
 def _(c):
-    return view.node_labels(c.build_triples())
+    return view.node_labels(c.triples)
 
 
 @query("edges", "SELECT session_id, source, target, p, label, edge_class FROM edge")
 def _(c):
-    return view.edges(c.build_triples()).drop("color", "width")
+    return view.edges(c.triples).drop("color", "width")
 
 
 @query(
@@ -205,12 +205,12 @@ def _(c):
        FROM edge GROUP BY GROUPING SETS ((session_id, edge_class), (session_id, label), (session_id, edge_class, label))""",
 )
 def _(c):
-    return view.edge_stats(view.edges(c.build_triples()))
+    return view.edge_stats(view.edges(c.triples))
 
 
 @query("node_type_counts", "SELECT session_id, kind, count(*) AS n FROM node GROUP BY 1, 2")
 def _(c):
-    return view.node_type_counts(view.node_labels(c.build_triples()))
+    return view.node_type_counts(view.node_labels(c.triples))
 
 
 @query(
@@ -221,7 +221,7 @@ def _(c):
         WHERE o_kind = 'iri'""",
 )
 def _(c):
-    return view.full_edge_list(cut(c.build_triples()))
+    return view.full_edge_list(c.triples)
 
 
 def _centers(c):
@@ -240,7 +240,7 @@ def _centers(c):
         SELECT session_id, center, id, CAST(min(hops) AS INTEGER) AS hops FROM (FROM h0 UNION ALL FROM h1 UNION ALL FROM h2) GROUP BY 1, 2, 3)""",
 )
 def _(c):
-    return view.ego_nodes(c.build_triples(), _centers(c), depth=2)
+    return view.ego_nodes(c.triples, _centers(c), depth=2)
 
 
 @query(
@@ -255,7 +255,7 @@ def _(c):
         WHERE (ie.session_id, x.center) IN (SELECT session_id, s FROM ie UNION SELECT session_id, o FROM ie))""",
 )
 def _(c):
-    return view.ego_graph(cut(c.build_triples()), _centers(c), depth=1)[1]
+    return view.ego_graph(c.triples, _centers(c), depth=1)[1]
 
 
 @query(
@@ -269,7 +269,7 @@ def _(c):
        FROM node n LEFT JOIN node o ON o.session_id = n.session_id AND o.id = n.org""",
 )
 def _(c):
-    return view.node_tooltip(c.build_triples())
+    return view.node_tooltip(c.triples)
 
 
 @query(
@@ -284,7 +284,7 @@ def _(c):
         ON d.session_id = u.session_id AND d.id = u.id WHERE u.kind = 'unknown'""",
 )
 def _(c):
-    return view.unknown_nodes(cut(c.build_triples()))
+    return view.unknown_nodes(c.triples)
 
 
 @query(
@@ -294,7 +294,7 @@ def _(c):
         FROM node WHERE kind <> 'unknown' GROUP BY 1, 2, 3""",
 )
 def _(c):
-    return view.type_summary(view.node_labels(c.build_triples()))
+    return view.type_summary(view.node_labels(c.triples))
 
 
 @query(
@@ -303,7 +303,7 @@ def _(c):
        AND (session_id, target) IN (SELECT session_id, id FROM node WHERE kind NOT IN ('skill', 'unknown'))""",
 )
 def _(c):
-    t = cut(c.build_triples())
+    t = c.triples
     return view.visible_subgraph(view.node_labels(t), view.edges(t), ["skill", "unknown"])[1].select("session_id", "source", "target", "p")
 
 
@@ -367,27 +367,27 @@ def _extracted(c):
 
 @query("dangling_references", _H1)
 def _(c):
-    return H.dangling_references(c.build_triples())
+    return H.dangling_references(c.triples)
 
 
 @query("hierarchy_dangling", _H2)
 def _(c):
-    return H.hierarchy_dangling(c.build_triples())
+    return H.hierarchy_dangling(c.triples)
 
 
 @query("technology_dangling", _HT)
 def _(c):
-    return H.technology_dangling(c.build_triples())
+    return H.technology_dangling(c.triples)
 
 
 @query("node_rules", _NODE_RULES)
 def _(c):
-    return H.node_rules(c.build_triples())
+    return H.node_rules(c.triples)
 
 
 def _damaged(c):
     """The graph without labels, dates and persons, so that every rule has work."""
-    t = c.build_triples()
+    t = c.triples
     person = (F.col("p") == V.RDF_TYPE) & (F.col("o") == _PERSON)
     return t.filter(~F.col("p").isin(V.PREF_LABEL, V.START) & ~person)
 
@@ -408,7 +408,7 @@ def _(c):
 
 @query("near_duplicate_skills", _H7)
 def _(c):
-    return H.near_duplicate_skills(c.build_triples())
+    return H.near_duplicate_skills(c.triples)
 
 
 @query("no_person", f"SELECT DISTINCT session_id, 'warning' AS level, 'no_person' AS \"check\", '' AS subject, 'Graph contains no Person node' AS message FROM ({_BROKEN})")
@@ -418,7 +418,7 @@ def _(c):
 
 @query("completeness", _H9)
 def _(c):
-    return H.completeness(c.build_triples(), _extracted(c))
+    return H.completeness(c.triples, _extracted(c))
 
 
 @query(
@@ -429,7 +429,7 @@ def _(c):
                    FROM ({_H1} UNION ALL {_H2} UNION ALL {_HT} UNION ALL {_NODE_RULES} UNION ALL {_H7} UNION ALL {_H8} UNION ALL {_H9}) GROUP BY 1) i USING (session_id)""",
 )
 def _(c):
-    return H.validation_report(cut(c.build_triples()), _extracted(c))
+    return H.validation_report(c.triples, _extracted(c))
 
 
 def _shape_sql(source: str) -> str:
@@ -465,12 +465,12 @@ _BENT = f"""(SELECT session_id, s, p, o, CASE WHEN p = '{V.USED_TECH}' THEN 'lit
 
 @query("check_shapes", _shape_sql("triple"))
 def _(c):
-    return H.check_shapes(c.build_triples()).drop("message")
+    return H.check_shapes(c.triples).drop("message")
 
 
-@query("check_shapes_damaged", f"WITH bent AS MATERIALIZED {_BENT} {_shape_sql('bent')}")
+@query("check_shapes_damaged", f"SELECT * FROM (WITH bent AS MATERIALIZED {_BENT} {_shape_sql('bent')})")
 def _(c):
-    t = c.build_triples().filter(~F.col("p").isin(V.HAS_SKILL, V.NAME))
+    t = c.triples.filter(~F.col("p").isin(V.HAS_SKILL, V.NAME))
     bent = t.withColumns(
         {
             "o_kind": F.when(F.col("p") == V.USED_TECH, "literal").otherwise(F.col("o_kind")),
@@ -491,7 +491,7 @@ def _unlabelled(preds, rule, message):
     _unlabelled((V.HIRING_ORG, V.ALUMNI_OF), "organization_label", "Recommended: Org/Institution nodes should have a human-readable label."),
 )
 def _(c):
-    return H.unlabelled_organizations(c.build_triples())
+    return H.unlabelled_organizations(c.triples)
 
 
 @query(
@@ -499,4 +499,4 @@ def _(c):
     _unlabelled((V.HAS_CERT,), "certification_label", "Recommended: Certification nodes should have a human-readable label."),
 )
 def _(c):
-    return H.unlabelled_certifications(c.build_triples())
+    return H.unlabelled_certifications(c.triples)

@@ -90,7 +90,7 @@ def _(c):
 
 @query(
     "normalization_report",
-    """SELECT *, CAST(round((1 - final_unique_labels / original_labels) * 100, 1) AS DOUBLE) AS reduction_pct FROM (
+    """SELECT *, CAST(round_even((1 - final_unique_labels / original_labels) * 100, 1) AS DOUBLE) AS reduction_pct FROM (
            SELECT session_id, count(*) AS original_labels, count(DISTINCT pool || chr(1) || canonical) AS final_unique_labels,
                   count(*) FILTER (label <> canonical) AS total_merges, count(*) FILTER (label <> canonical AND phase = 'case') AS case_merges,
                   count(*) FILTER (label <> canonical AND phase = 'uri') AS uri_merges, count(*) FILTER (label <> canonical AND phase = 'alias') AS alias_merges
@@ -122,4 +122,4 @@ def _(c):
 
 @query("rewrite_triples")
 def _(c):
-    return N.rewrite_triples(c.build_triples(), c.label_map)
+    return N.rewrite_triples(c.triples, c.label_map)

@@ -68,6 +68,7 @@ _GAP = _doc(
 
 @query("render_skill_gap", _GAP)
 def _(c):
+    c.store("job", "skill", "tech")
     return R.assemble_text(R.render_skill_gap(c.persons, c.job, c.skill, c.tech))
 
 
@@ -96,6 +97,7 @@ _TOPOLOGY = _doc(
 
 @query("render_topology", _TOPOLOGY)
 def _(c):
+    c.store("job", "skill", "tech")
     return R.assemble_text(R.render_topology(c.persons, c.job, c.tech))
 
 
@@ -126,6 +128,7 @@ _EVOLUTION = _doc(
 
 @query("render_evolution", _EVOLUTION)
 def _(c):
+    c.store("job", "skill", "tech")
     return R.assemble_text(R.render_evolution(c.persons, c.job, c.tech))
 
 
@@ -166,7 +169,8 @@ _HIERARCHY = _doc(
 
 @query("render_hierarchy", _HIERARCHY)
 def _(c):
-    return R.assemble_text(R.render_hierarchy(c.persons, c.skill, cut(c.matches)))
+    c.store("skill", "matches")
+    return R.assemble_text(R.render_hierarchy(c.persons, c.skill, c.matches))
 
 
 _COVERAGE = _doc(
@@ -186,6 +190,7 @@ _COVERAGE = _doc(
 
 @query("render_coverage", _COVERAGE)
 def _(c):
+    c.store("skill")
     return R.assemble_text(R.render_coverage(c.persons, c.skill))
 
 
@@ -211,6 +216,7 @@ _PROGRESSION = _doc(
 
 @query("render_progression", _PROGRESSION)
 def _(c):
+    c.store("job")
     return R.assemble_text(R.render_progression(c.persons, c.job))
 
 
@@ -228,8 +234,8 @@ def _packed(kind: str) -> str:
 
 
 def _battery(c, types=None):
-    frames = {k: cut(v) if k in ("tech", "skills", "jobs", "matches") else v for k, v in c.career_frames().items()}
-    out, failed = I.run_battery(frames, F.lit(_DATE), types)
+    c.store("job", "skill", "tech", "matches")
+    out, failed = I.run_battery(c.career_frames(), F.lit(_DATE), types)
     if failed:
         raise RuntimeError(f"analyses failed: {failed}")
     return out
@@ -388,7 +394,7 @@ def _(c):
         || CASE WHEN o_type = '{V.XSD_STRING}' THEN '' ELSE '^^<' || o_type || '>' END END || ' .' AS line FROM triple""",
 )
 def _(c):
-    return to_ntriples(c.build_triples())
+    return to_ntriples(c.triples)
 
 
 @query(
@@ -396,7 +402,7 @@ def _(c):
     """SELECT session_id, s, count(DISTINCT p) + 1 AS n_keys, count(*) AS n_values FROM triple GROUP BY 1, 2""",
 )
 def _(c):
-    nodes = to_jsonld(c.build_triples())
+    nodes = to_jsonld(c.triples)
     keys = F.map_filter(F.from_json("node", "map<string,string>"), lambda k, v: k != "@id")
     values = F.aggregate(F.map_values(keys), F.lit(0).cast("long"), lambda a, v: a + F.json_array_length(v))
     return nodes.select("session_id", "s", (F.size(keys) + 1).cast("long").alias("n_keys"), values.alias("n_values"))
@@ -406,4 +412,4 @@ def _(c):
 def _(c):
     from careerloom.sources import jsonld_triples
 
-    return jsonld_triples(to_jsonld(c.build_triples()).select("session_id", "node"))
+    return jsonld_triples(to_jsonld(c.triples).select("session_id", "node"))

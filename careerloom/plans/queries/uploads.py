@@ -5,12 +5,13 @@ from pyspark.sql import functions as F
 from careerloom.operators import assemble as C
 from careerloom.operators import sessions as D
 from careerloom.plans.queries.registry import query
+from careerloom.runtime import cut
 from careerloom.sources import document_metadata
 
 
 @query(
     "document_metadata",
-    """SELECT document_id, filename, lower(regexp_extract(filename, '(\\.[^.]*)$', 1)) AS extension, n_chars AS size_bytes, round(n_chars / 1024, 2) AS size_kb
+    """SELECT document_id, filename, lower(regexp_extract(filename, '(\\.[^.]*)$', 1)) AS extension, n_chars AS size_bytes, round_even(n_chars / 1024, 2) AS size_kb
        FROM upload JOIN documents ON doc_id = document_id""".replace("\\\\", "\\"),
 )
 def _(c):
@@ -231,6 +232,7 @@ def records(c):
     """Extraction records, one per document: the nested shape a model returns."""
     from careerloom.schemas import ENTITY_RECORD
 
+    c.store("job", "raw_org")
     jobs = c.job.select(
         "session_id", "doc_id", "job_id", "title", F.col("start_date").cast("string").alias("start_date"),
         F.date_format("end_date", "yyyy-MM").alias("end_date"), "is_current", "achievements", "org_id", "pos",
@@ -269,7 +271,8 @@ def records(c):
     for f in ENTITY_RECORD.fields:
         if f.name in wide.columns:
             parts[f.name] = F.from_json(F.to_json(F.struct(F.col(f.name).alias("v"))), f"struct<v:{f.dataType.simpleString()}>").getField("v")
-    return wide.select("session_id", "doc_id", F.concat("doc_id", F.lit(".txt")).alias("source_doc"), *[v.alias(k) for k, v in parts.items()])
+    out = wide.select("session_id", "doc_id", F.concat("doc_id", F.lit(".txt")).alias("source_doc"), *[v.alias(k) for k, v in parts.items()])
+    return cut(out)
 
 
 @query(
