@@ -243,7 +243,7 @@ def _battery(c, types=None):
 
 @query(
     "package_insight",
-    f"""SELECT session_id, analysis_type, title, content, source_document AS source_file, person_name, '{_DATE}' AS analysis_date,
+    f"""SELECT session_id, analysis_type, title, 1 AS part, content, source_document AS source_file, person_name, '{_DATE}' AS analysis_date,
         {_q('|'.join(TX.INSIGHTS['role_progression'][1]))} AS tags, {_q('|'.join(TX.INSIGHTS['role_progression'][2]))} AS query_hints, entity_count, job_count, skill_count
         FROM ({_packed('role_progression')})""",
 )

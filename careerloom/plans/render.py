@@ -54,10 +54,24 @@ def union(*parts: DataFrame) -> DataFrame:
     return out
 
 
+def _pack(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+    packed = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*ORD, "line"))).alias("x"))
+    return packed.select(*keys, F.array_join(F.transform("x", lambda r: r.line), "\n").alias(name))
+
+
 def assemble_text(rows: DataFrame, name: str = "content") -> DataFrame:
     """Join a person's lines into one text."""
-    packed = rows.groupBy(KEY).agg(F.array_sort(F.collect_list(F.struct(*ORD, "line"))).alias("x"))
-    return packed.select(KEY, F.array_join(F.transform("x", lambda r: r.line), "\n").alias(name))
+    return _pack(rows, [KEY], name)
+
+
+def assemble_parts(rows: DataFrame, slices: int, name: str = "content") -> DataFrame:
+    """Texts in numbered parts: (session_id, part, content), for persons too large for one row.
+
+    Lines are range-partitioned in document order, so a part is what one
+    partition holds of a person; joined by part they give the whole text.
+    """
+    placed = rows.repartitionByRange(slices, KEY, *ORD).withColumn("part", F.spark_partition_id() + 1)
+    return _pack(placed, [KEY, "part"], name)
 
 
 def _names(persons: DataFrame) -> DataFrame:

@@ -187,3 +187,13 @@ def test_streams_equal_batch_and_survive_restart(spark, tmp_path):
         feeds.stream_rebuild(done, rebuild, out + "4", ckpt + "4", completed=lambda: want.filter("status = 'complete'")).awaitTermination()
     ready = [r.session_id for r in want.filter("status = 'complete'").groupBy("session_id").count().filter("count >= 2").collect()]
     assert rows(feeds.latest_rows(spark, out + "4")) == rows(want.filter(F.col("session_id").isin(ready)).select("session_id", "document_id", "status"))
+
+
+def test_large_persons_come_in_parts(spark, frames):
+    whole = {(r.session_id, r.analysis_type): r.content for r in I.run_battery(frames, F.lit("2024-01-01"))[0].collect()}
+    docs = I.run_battery(frames, F.lit("2024-01-01"), max_rows=2)[0].orderBy("part").collect()
+    assert max(r.part for r in docs) > 1
+    joined = {}
+    for r in docs:
+        joined.setdefault((r.session_id, r.analysis_type), []).append(r.content)
+    assert {k: "\n".join(v) for k, v in joined.items()} == whole
