@@ -27,33 +27,38 @@ def _local(p: Column) -> Column:
     return F.when(p.contains("#"), F.substring_index(p, "#", -1)).otherwise(F.substring_index(p, "/", -1))
 
 
-def _typed(triples: DataFrame) -> DataFrame:
-    return triples.filter(F.col("p") == V.RDF_TYPE).select(KEY, F.col("s").alias("o")).distinct()
+# Predicates whose targets must be typed nodes: level and check of a breach.
+REFERENCE_RULES = (
+    (V.CORE_RELATIONS, "error", "dangling_reference"),
+    (V.HIERARCHY_RELATIONS, "warning", "skos_dangling"),
+    ((V.USED_TECH,), "warning", "technology_dangling"),
+)
 
 
-def dangling(
-    triples: DataFrame, predicates: tuple[str, ...], level: str, check: str, namespace: str = V.RES
-) -> DataFrame:
-    """Edges into our namespace whose target has no type."""
+def dangling(triples: DataFrame, rules=REFERENCE_RULES, namespace: str = V.RES) -> DataFrame:
+    """Edges into our namespace whose target has no type; all rules in one anti join."""
+    p = F.col("p")
     refs = triples.filter(
-        F.col("p").isin(*predicates) & (F.col("o_kind") == "iri") & F.col("o").startswith(namespace)
+        p.isin(*[x for names, _, _ in rules for x in names]) & (F.col("o_kind") == "iri") & F.col("o").startswith(namespace)
     ).select(KEY, "s", "p", "o")
-    message = F.concat(_local(F.col("p")), F.lit(" points at "), "o", F.lit(", which has no typed node in the graph"))
-    return refs.join(_typed(triples), [KEY, "o"], "left_anti").select(
-        KEY, *_issue(level, check, F.col("s"), message)
+    typed = triples.filter(p == V.RDF_TYPE).select(KEY, F.col("s").alias("o"))
+    pick = lambda i: F.coalesce(*[F.when(p.isin(*r[0]), F.lit(r[i])) for r in rules])
+    message = F.concat(_local(p), F.lit(" points at "), "o", F.lit(", which has no typed node in the graph"))
+    return refs.join(typed, [KEY, "o"], "left_anti").select(
+        KEY, pick(1).alias("level"), pick(2).alias("check"), F.col("s").alias("subject"), message.alias("message")
     )
 
 
 def dangling_references(triples: DataFrame) -> DataFrame:
-    return dangling(triples, V.CORE_RELATIONS, "error", "dangling_reference")
+    return dangling(triples, REFERENCE_RULES[:1])
 
 
 def hierarchy_dangling(triples: DataFrame) -> DataFrame:
-    return dangling(triples, V.HIERARCHY_RELATIONS, "warning", "skos_dangling")
+    return dangling(triples, REFERENCE_RULES[1:2])
 
 
 def technology_dangling(triples: DataFrame) -> DataFrame:
-    return dangling(triples, (V.USED_TECH,), "warning", "technology_dangling")
+    return dangling(triples, REFERENCE_RULES[2:])
 
 
 def _subject_profile(triples: DataFrame) -> DataFrame:
@@ -151,9 +156,7 @@ def completeness(triples: DataFrame, extracted: DataFrame) -> DataFrame:
 
 def all_issues(triples: DataFrame, extracted: DataFrame | None = None) -> DataFrame:
     parts = [
-        dangling_references(triples),
-        hierarchy_dangling(triples),
-        technology_dangling(triples),
+        dangling(triples),
         node_rules(triples),
         near_duplicate_skills(triples),
         no_person(triples),
