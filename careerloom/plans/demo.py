@@ -73,7 +73,7 @@ class Careers:
         )
         return (
             self.t("lineitem")
-            .select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag")
+            .select("l_orderkey", "l_partkey", "l_linenumber", "l_returnflag")
             .join(self.t("part").select("p_partkey", "p_name", "p_type", "p_brand", "p_size"), F.col("l_partkey") == F.col("p_partkey"))
             .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
             .select(
