@@ -32,3 +32,40 @@ def batches_of(
 ) -> DataFrame:
     """``mapInArrow`` under one name for all operators."""
     return rows.mapInArrow(fn, schema)
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, max_rows: int) -> DataFrame:
+    """``doc_id, text, label`` of at most ``max_rows`` labelled documents, chosen by a hash of the id.
+
+    Labels other than 0 and 1 are left out; of several labels of an id the smallest counts.
+    """
+    chosen = (
+        rows_of(labels, "doc_id", label_col)
+        .select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label"))
+        .filter("doc_id is not null and label in (0, 1)")
+        .groupBy("doc_id")
+        .agg(F.min("label").alias("label"))
+        .orderBy(F.xxhash64("doc_id"), "doc_id")
+        .limit(max_rows)
+    )
+    # At most max_rows small rows: a proven bound for the broadcast.
+    return (
+        rows_of(docs, "doc_id", "text")
+        .select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+        .join(F.broadcast(chosen), "doc_id")
+        .dropDuplicates(["doc_id"])
+        .select("doc_id", "text", "label")
+    )
+
+
+def scored(rows: DataFrame, id_col: str, text_col: str, model) -> DataFrame:
+    """``doc_id, score`` by ``model.score``; the model's size is fixed by its parameters, so it is broadcast."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+    rows = rows.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [shared.value.score(t.as_py()) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, pa.float64())], names=["doc_id", "score"])
+
+    return batches_of(rows, run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")

@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from careerloom.llm import bpe, simhash
+from careerloom.llm import bpe, quality, simhash, toxicity
+from careerloom.llm.common import bucket
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -42,3 +43,23 @@ def byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_simhash_gray_index")
 def simhash_gray_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def _judged(spark: SparkSession, sf_dir: str, method, modulus: int, kept_out: int, threshold: float) -> DataFrame:
+    """Fits on labelled rows outside one remainder, scores every row."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = F.coalesce(bucket("doc_id", modulus) == kept_out, F.lit(False))
+    model = method.fit(docs, labels.filter(~held_out))
+    return method.score(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted")
+    )
+
+
+@query("op4_char_ngram_toxicity")
+def char_ngram_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _judged(spark, sf_dir, toxicity, 3, 1, 0.7)
+
+
+@query("op9_word_ngram_quality")
+def word_ngram_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _judged(spark, sf_dir, quality, 5, 0, 0.3)
