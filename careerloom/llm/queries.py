@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from careerloom.llm import bpe, quality, simhash, toxicity
+from careerloom.llm import bpe, quality, simhash, topk, toxicity
 from careerloom.llm.common import bucket
 
 QUERIES: dict = {}
@@ -63,3 +63,25 @@ def char_ngram_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_word_ngram_quality")
 def word_ngram_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(spark, sf_dir, quality, 5, 0, 0.3)
+
+
+@query(
+    "op10_tiled_top_k",
+    """
+    WITH v AS (
+      SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS w
+      FROM embeddings
+      WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    ), s AS (
+      SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.w, c.w), lambda p: p[1] * p[2])) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id
+    ), r AS (
+      SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
+    )
+    SELECT * FROM r WHERE rank <= 10
+    """,
+)
+def tiled_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.top_k(vectors, vectors.filter("vec_id % 100 = 0"))
