@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from careerloom.llm import bpe, quality, simhash, topk, toxicity
+from careerloom.llm import bpe, mixing, quality, simhash, topk, toxicity
 from careerloom.llm.common import bucket
 
 QUERIES: dict = {}
@@ -85,3 +85,8 @@ def word_ngram_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tiled_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return topk.top_k(vectors, vectors.filter("vec_id % 100 = 0"))
+
+
+@query("op5_block_mix")
+def block_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
