@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from careerloom.llm import bpe, mixing, quality, simhash, topk, toxicity
+from careerloom.llm import bpe, mixing, quality, simhash, topk, toxicity, wordpiece
 from careerloom.llm.common import bucket
 
 QUERIES: dict = {}
@@ -90,3 +90,8 @@ def tiled_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_block_mix")
 def block_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+@query("op3_longest_match_counts")
+def longest_match_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wordpiece.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
