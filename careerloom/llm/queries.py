@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from careerloom.llm import bpe, mixing, quality, simhash, topk, toxicity, wordpiece
+from careerloom.llm import bpe, lattice, mixing, quality, simhash, topk, toxicity, wordpiece
 from careerloom.llm.common import bucket
 
 QUERIES: dict = {}
@@ -95,3 +95,28 @@ def block_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_longest_match_counts")
 def longest_match_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordpiece.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query(
+    "op8_e8_lattice",
+    """
+    WITH RECURSIVE v AS (
+      SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+      WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+    ), link AS (
+      SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id
+      WHERE list_cosine_similarity(a.e, b.e) >= 0.95
+    ), walk AS (
+      SELECT vec_id AS a, vec_id AS b FROM embeddings
+      UNION SELECT w.a, l.b FROM walk w JOIN link l ON l.a = w.b
+    )
+    SELECT vec_id, (SELECT count(*) FROM link WHERE a = vec_id) AS n_links,
+      (SELECT min(b) FROM walk WHERE a = vec_id) AS component_id,
+      (SELECT min(b) FROM walk WHERE a = vec_id) = vec_id AS kept
+    FROM embeddings
+    """,
+)
+def e8_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.near_duplicates(table(spark, sf_dir, "embeddings"))
