@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from careerloom.llm import bpe, lattice, mixing, quality, simhash, topk, toxicity, wordpiece
+from careerloom.llm import bpe, lattice, mixing, passages, quality, simhash, topk, toxicity, wordpiece
 from careerloom.llm.common import bucket
 
 QUERIES: dict = {}
@@ -120,3 +120,8 @@ def longest_match_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def e8_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query("op7_paragraph_minhash")
+def paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(table(spark, sf_dir, "documents")).drop("text_hash")
