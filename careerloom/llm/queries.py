@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from careerloom.llm import bpe, lattice, mixing, passages, quality, simhash, topk, toxicity, wordpiece
+from careerloom.llm import bpe, ctw, lattice, mixing, passages, quality, simhash, topk, toxicity, wordpiece
 from careerloom.llm.common import bucket
 
 QUERIES: dict = {}
@@ -125,3 +125,9 @@ def e8_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_paragraph_minhash")
 def paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.repeated_passages(table(spark, sf_dir, "documents")).drop("text_hash")
+
+
+@query("op2_context_tree_weighting")
+def context_tree_weighting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(bucket("doc_id", 7) == 2, F.lit(False))
+    return ctw.score(table(spark, sf_dir, "documents"), ~held_out).withColumn("held_out", ~F.col("train")).drop("train")
