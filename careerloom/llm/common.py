@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -58,6 +60,22 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, max_rows
     )
 
 
+def fitted(sample: DataFrame, features: Callable, train: Callable):
+    """The model that one task fits on a bounded sample; only the model, of fixed size, reaches the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, labels = [], []
+        for batch in batches:
+            rows.extend(features(t.as_py()) for t in batch.column("text"))
+            labels.extend(batch.column("label").to_pylist())
+        model = train(rows, np.array(labels, np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+    # Rows in an order that has nothing to do with where they lie.
+    rows = sample.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id")
+    return pickle.loads(batches_of(rows, run, "model binary").collect()[0]["model"])
+
+
 def scored(rows: DataFrame, id_col: str, text_col: str, model) -> DataFrame:
     """``doc_id, score`` by ``model.score``; the model's size is fixed by its parameters, so it is broadcast."""
     shared = rows.sparkSession.sparkContext.broadcast(model)

@@ -10,14 +10,11 @@ sparse dot product.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from careerloom.llm.common import batches_of, labelled_sample, rows_of, scored
+from careerloom.llm.common import fitted, labelled_sample, rows_of, scored
 
 BITS = 18
 _SHAPE = bytes(
@@ -112,18 +109,7 @@ def train(
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_rows: int = 8000) -> Model:
     """Fits on at most ``max_rows`` labelled rows, taken by the hash of their ids; none gives score 0.5."""
-    sample = labelled_sample(docs, labels, label_col, max_rows)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at, x = zip(*(features(t.as_py()) for t in batch.column("text"))) if batch.num_rows else ((), ())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("label"), pa.array(at, pa.list_(pa.int32())), pa.array(x, pa.list_(pa.float32()))],
-                names=["doc_id", "label", "at", "x"],
-            )
-
-    got = batches_of(sample, run, "doc_id long, label int, at array<int>, x array<float>").toPandas().sort_values("doc_id")
-    return train(list(zip(got["at"], got["x"])), got["label"].to_numpy())
+    return fitted(labelled_sample(docs, labels, label_col, max_rows), features, train)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

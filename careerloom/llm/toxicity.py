@@ -8,14 +8,10 @@ so a rare but telling n-gram starts with its full weight.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from careerloom.llm.common import batches_of, labelled_sample, rows_of, scored
+from careerloom.llm.common import fitted, labelled_sample, rows_of, scored
 
 BITS = 18
 SIZES = (3, 4, 5)
@@ -26,7 +22,7 @@ _FOLD[65:91] += 32
 def buckets(text: str | None, bits: int = BITS, step: int = 1 << 20) -> np.ndarray:
     """Distinct buckets of the character n-grams of a text; long texts are hashed piece by piece."""
     if not text:
-        return np.empty(0, np.int64)
+        return np.empty(0, np.int32)
     seen = []
     for start in range(0, len(text), step):
         part = text[start : start + step + max(SIZES) - 1]
@@ -41,7 +37,7 @@ def buckets(text: str | None, bits: int = BITS, step: int = 1 << 20) -> np.ndarr
             h ^= h >> np.uint32(15)
             if k + 1 in SIZES:
                 seen.append(((h * np.uint32(0x85EBCA6B)) >> np.uint32(32 - bits)).astype(np.int32))
-    return np.unique(np.concatenate(seen)) if seen else np.empty(0, np.int64)
+    return np.unique(np.concatenate(seen)) if seen else np.empty(0, np.int32)
 
 
 class Model:
@@ -121,19 +117,7 @@ def train(
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_rows: int = 6000) -> Model:
     """Fits on at most ``max_rows`` labelled rows, taken by the hash of their ids."""
-    sample = labelled_sample(docs, labels, label_col, max_rows)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [buckets(t.as_py()).astype(np.int32) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("label"), pa.array(rows, pa.list_(pa.int32()))],
-                names=["doc_id", "label", "at"],
-            )
-
-    got = batches_of(sample, run, "doc_id long, label int, at array<int>").toPandas().sort_values("doc_id")
-    got = got.sample(frac=1, random_state=3) if len(got) else got
-    return train([np.asarray(x, np.int32) for x in got["at"]], got["label"].to_numpy())
+    return fitted(labelled_sample(docs, labels, label_col, max_rows), buckets, train)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
