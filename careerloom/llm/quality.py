@@ -10,11 +10,13 @@ sparse dot product.
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from careerloom.llm.common import fitted, labelled_sample, rows_of, scored
+from careerloom.llm.common import batches_of, fitted, labelled_sample, rows_of, scored
 
 BITS = 18
 _SHAPE = bytes(
@@ -115,3 +117,15 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_rows
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, score`` of every row, whole texts. A text without words gets the bias alone."""
     return scored(rows_of(docs, id_col, text_col), id_col, text_col, model)
+
+
+def keep(docs: DataFrame, model: Model, least: float = 0.3, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that score ``least`` or more, with their columns, in one pass over the texts."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text = batch.column(batch.schema.get_field_index(text_col))
+            yield batch.filter(pa.array([shared.value.score(t.as_py()) >= least for t in text], pa.bool_()))
+
+    return batches_of(docs, run, docs.schema)

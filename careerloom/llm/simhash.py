@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from careerloom.llm.common import batches_of, rows_of, words_of
+from careerloom.llm.common import WORD, batches_of, rows_of, words_of
 from careerloom.llm.components import components
 from careerloom.runtime import cut
 
@@ -69,6 +69,15 @@ def gray_rank(fp: Column) -> Column:
     return r.bitwiseXOR(F.lit(-(1 << 63)))
 
 
+def _rotated(fp: Column, tables: int) -> Column:
+    """The fingerprint with segment ``tab`` of ``tables`` put first."""
+    out = fp
+    for t in range(1, tables):
+        k = 64 // tables * t
+        out = F.when(F.col("tab") == t, F.shiftleft(fp, k).bitwiseOR(F.shiftrightunsigned(fp, 64 - k))).otherwise(out)
+    return out
+
+
 class GrayTree:
     """Hierarchy over codes in Gray order; ``search`` finds all codes within ``reach`` bits."""
 
@@ -85,110 +94,156 @@ class GrayTree:
             self.levels.insert(0, (ones & shared, shared))
         self.width = width
 
-    def search(self, queries: np.ndarray, reach: int, step: int = 2048) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs (position of the query, position of the code)."""
+    def search(
+        self, queries: np.ndarray, reach: int, head: int = 64, head_reach: int = 64, step: int = 2048
+    ) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs (position of the query, position of the code), by query.
+
+        At most ``head_reach`` of the differences may lie in the first ``head`` bits.
+        """
+        head_mask = ~(FULL >> np.uint64(head)) if head < 64 else FULL
         for start in range(0, len(queries), step):
             q = queries[start : start + step]
             qi, node = (x.ravel() for x in np.indices((len(q), len(self.levels[0][0]))))
-            spent = np.zeros(len(qi), np.uint8)
+            spent, spent_head = np.zeros(len(qi), np.uint8), np.zeros(len(qi), np.uint8)
             above = np.zeros(len(qi), np.uint64)
             for depth, (code, mask) in enumerate(self.levels):
                 if depth:  # to the children
                     size = np.minimum(self.width, len(code) - node * self.width)
                     first = np.repeat(node * self.width, size)
                     inner = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-                    qi, spent, above, node = np.repeat(qi, size), np.repeat(spent, size), np.repeat(above, size), first + inner
-                spent = spent + np.bitwise_count((q[qi] ^ code[node]) & mask[node] & ~above).astype(np.uint8)
-                keep = spent <= reach
-                qi, node, spent = qi[keep], node[keep], spent[keep]
+                    qi, spent, spent_head, above = (np.repeat(x, size) for x in (qi, spent, spent_head, above))
+                    node = first + inner
+                new = (q[qi] ^ code[node]) & mask[node] & ~above
+                spent, spent_head = spent + np.bitwise_count(new), spent_head + np.bitwise_count(new & head_mask)
+                keep = (spent <= reach) & (spent_head <= head_reach)
+                qi, node, spent, spent_head = qi[keep], node[keep], spent[keep], spent_head[keep]
                 above = mask[node]
             yield qi + start, node
 
 
-def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """What all fingerprints of this task share: one row per task."""
-    ones, any_one, part = FULL, np.uint64(0), None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        fp = batch.column("fp").to_numpy().view(np.uint64)
-        ones, any_one = ones & np.bitwise_and.reduce(fp), any_one | np.bitwise_or.reduce(fp)
-        part = batch.column("part")[0].as_py()
-    if part is not None:
-        mask = ~(ones ^ any_one)
-        values = [[part], [int((ones & mask).view(np.int64))], [int(mask.view(np.int64))]]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(values[0], pa.int32()), *(pa.array(v, pa.int64()) for v in values[1:])],
-            names=["part", "code", "mask"],
-        )
-
-
-def links(classes: DataFrame, reach: int = 2, part_rows: int = 2048, most_parts: int = 65536) -> DataFrame:
-    """All pairs ``a, b`` of distinct fingerprints that differ in at most ``reach`` bits, by their ids.
-
-    ``classes`` has one row per fingerprint: ``fp`` and ``rep``. A part holds
-    ``part_rows`` fingerprints, more only beyond ``most_parts`` parts; the
-    parts' top nodes, 20 bytes each and at most ``most_parts``, are the only
-    thing that is broadcast. The search is exact: no cap on partners.
+class _Forest:
+    """Labels of a part's fingerprints; new links leave it only as far as they join what was apart."""
+
+    def __init__(self, ids: np.ndarray):
+        self.label = ids.copy()
+
+    def joined(self, q_ids: np.ndarray, qi: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Edges that connect all that the links (qi, at), sorted by qi, connect."""
+        first = np.flatnonzero(np.diff(qi, prepend=-1))
+        mine = q_ids[qi[first]].copy()
+        group = np.repeat(np.arange(len(first)), np.diff([*first, len(qi)]))
+        codes, where = np.unique(at, return_inverse=True)
+        before, now = self.label[codes], self.label[codes].copy()
+        while True:
+            least = np.minimum(mine, np.minimum.reduceat(now[where], first))
+            new = now.copy()
+            np.minimum.at(new, where, least[group])
+            if (new == now).all() and (least == mine).all():
+                break
+            mine, now = least, new
+        self.label[codes] = now
+        # Chains of labels end where the rounds ended; every old label is tied to the new one.
+        edges = np.unique(np.column_stack([np.concatenate([before, q_ids[qi[first]]]), np.concatenate([now, mine])]), axis=0)
+        edges = edges[edges[:, 0] != edges[:, 1]]
+        return edges[:, 0], edges[:, 1]
+
+
+def links(
+    classes: DataFrame,
+    reach: int = 2,
+    tables: int = 1,
+    least_match: float | None = None,
+    part_rows: int = 2048,
+    most_parts: int = 65536,
+) -> DataFrame:
+    """Pairs ``a, b`` of ids that connect all fingerprints that differ in at most ``reach`` bits.
+
+    ``classes`` has one row per fingerprint: ``fp`` and ``rep``, and with
+    ``least_match`` a ``sketch``, in which that share of bits must agree too. A
+    part holds ``part_rows`` fingerprints, more only beyond ``most_parts``
+    parts; the parts' top nodes, 20 bytes each and at most ``most_parts``, are
+    the only thing that is broadcast. The search is exact, without a cap on
+    partners. A wide reach needs several ``tables``: in each the fingerprint is
+    rotated, and one of its equal segments, put first, holds at most its share
+    of the differences in any pair (pigeonhole), which prunes the tree early.
+    Links within a part leave it as a spanning forest.
     """
     spark = classes.sparkSession
-    n = classes.count()
-    n_parts = min(most_parts, max(1, -(-n // part_rows)))
-    ranked = classes.withColumn("rank", gray_rank(F.col("fp"))).repartitionByRange(n_parts, "rank")
-    ranked = cut(ranked.sortWithinPartitions("rank").withColumn("part", F.spark_partition_id()))
-    # A written part is read as one or more pieces; their nodes are merged per part.
+    head, head_reach = (64, reach) if tables == 1 else (64 // tables, reach // tables)
+    sketch = F.col("sketch") if least_match is not None else F.lit(b"")
+    n_parts = min(most_parts, max(1, -(-classes.count() // part_rows)))
+    turns = F.explode(F.array(*(F.lit(t) for t in range(tables)))).alias("tab")
+    turned = classes.select("fp", "rep", sketch.alias("sketch"), turns).select("rep", "sketch", "tab", _rotated(F.col("fp"), tables).alias("fp"))
+    ranked = turned.withColumn("rank", gray_rank(F.col("fp"))).repartitionByRange(n_parts * tables, "tab", "rank")
+    ranked = cut(ranked.withColumn("part", F.spark_partition_id() * tables + F.col("tab")).drop("rank"))
     tops = (
         ranked.groupBy("part")
-        .agg(F.bit_and("fp").alias("ones"), F.bit_or("fp").alias("any_one"), F.min("rank").alias("first"))
+        .agg(F.bit_and("fp").alias("ones"), F.bit_or("fp").alias("any_one"), F.min(gray_rank(F.col("fp"))).alias("first"))
         .orderBy("first")
         .collect()
     )
-    parts = np.array([r["part"] for r in tops], np.int32)
-    ones = np.array([r["ones"] for r in tops], np.int64).view(np.uint64)
-    any_one = np.array([r["any_one"] for r in tops], np.int64).view(np.uint64)
-    shared = spark.sparkContext.broadcast((parts, ones, ~(ones ^ any_one)))
+    by_table = []
+    for t in range(tables):
+        mine = [r for r in tops if r["part"] % tables == t]
+        ones, any_one = (np.array([r[c] for r in mine], np.int64).view(np.uint64) for c in ("ones", "any_one"))
+        by_table.append((np.array([r["part"] for r in mine], np.int32), ones, ~(ones ^ any_one)))
+    shared = spark.sparkContext.broadcast(by_table)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, codes, masks = shared.value
-        order = np.empty(int(ids.max(initial=-1)) + 1, np.int64)
-        order[ids] = np.arange(len(ids))
-        tree = GrayTree(codes, masks)
+        trees = []
+        for ids, codes, masks in shared.value:
+            order = np.empty(int(ids.max(initial=-1)) + 1, np.int64)
+            order[ids] = np.arange(len(ids))
+            trees.append((ids, order, GrayTree(codes, masks) if len(ids) else None))
         for batch in batches:
-            fp = batch.column("fp").to_numpy().view(np.uint64)
-            own = order[batch.column("part").to_numpy()]
-            for qi, to in tree.search(fp, reach):
-                later = to > own[qi]  # a pair is met once, in the later part
-                qi, to = qi[later], to[later]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[to]), pa.array(np.ones(len(to), np.int8)), batch.column("fp").take(pa.array(qi)), batch.column("rep").take(pa.array(qi))],
-                    names=["part", "visits", "fp", "rep"],
-                )
+            part = batch.column("part").to_numpy()
+            for t, (ids, order, tree) in enumerate(trees):
+                mine = np.flatnonzero(part % tables == t)
+                if not len(mine):
+                    continue
+                fp, own = batch.column("fp").to_numpy()[mine].view(np.uint64), order[part[mine]]
+                for qi, to in tree.search(fp, reach, head, head_reach):
+                    later = to > own[qi]  # a pair is met once, in the later part
+                    qi, to = mine[qi[later]], to[later]
+                    rows = pa.array(qi)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(ids[to]), pa.array(np.ones(len(to), np.int8)), *(batch.column(c).take(rows) for c in ("fp", "rep", "sketch"))],
+                        names=["part", "visits", "fp", "rep", "sketch"],
+                    )
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, owned, ids, tree = None, [], None, None
+        now, owned, ids, sketches, tree, forest = None, [], None, None, None, None
 
-        def found(q_fp, q_ids, inside):
-            for qi, at in tree.search(q_fp, reach):
+        def found(q_fp, q_ids, q_sketches, inside):
+            for qi, at in tree.search(q_fp, reach, head, head_reach):
+                keep = ids[at] != q_ids[qi]
                 if inside:
-                    once = ids[at] > q_ids[qi]
-                    qi, at = qi[once], at[once]
-                yield pa.RecordBatch.from_arrays([pa.array(q_ids[qi]), pa.array(ids[at])], names=["a", "b"])
+                    keep &= ids[at] > q_ids[qi]
+                if least_match is not None:
+                    alike = 1 - np.bitwise_count(q_sketches[qi] ^ sketches[at]).sum(1, dtype=np.int64) / (64 * sketches.shape[1])
+                    keep &= alike >= least_match
+                if keep.any():
+                    # The frontier keeps the queries' order, so equal ones stand together.
+                    a, b = forest.joined(q_ids, qi[keep], at[keep])
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
         def grown():
-            nonlocal tree, ids, owned
+            nonlocal tree, forest, ids, sketches, owned
             if owned:
-                fps, ids = (np.concatenate(x) for x in zip(*owned))
+                fps, ids, sketches = (np.concatenate(x) for x in zip(*owned))
                 rank = fps.copy()
                 for k in (1, 2, 4, 8, 16, 32):
                     rank ^= rank >> np.uint64(k)
                 order = np.argsort(rank, kind="stable")
-                fps, ids, owned = fps[order], ids[order], []
-                tree = GrayTree(fps)
-                yield from found(fps, ids, True)
+                fps, ids, sketches, owned = fps[order], ids[order], sketches[order], []
+                tree, forest = GrayTree(fps), _Forest(ids)
+                yield from found(fps, ids, sketches, True)
 
         for batch in batches:
             part, visits = batch.column("part").to_numpy(), batch.column("visits").to_numpy()
             fp, rep = batch.column("fp").to_numpy().view(np.uint64), batch.column("rep").to_numpy()
+            sketch = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint64).reshape(len(fp), -1)
             cuts = np.flatnonzero(np.diff(part) | np.diff(visits)) + 1
             for s, e in zip([0, *cuts], [*cuts, len(part)]):
                 if s == e:
@@ -197,14 +252,15 @@ def links(classes: DataFrame, reach: int = 2, part_rows: int = 2048, most_parts:
                     yield from grown()
                     now, tree = part[s], None
                 if not visits[s]:
-                    owned.append((fp[s:e].copy(), rep[s:e].copy()))
+                    owned.append((fp[s:e].copy(), rep[s:e].copy(), sketch[s:e].copy()))
                 else:
                     yield from grown()
-                    yield from found(fp[s:e], rep[s:e], False)
+                    yield from found(fp[s:e], rep[s:e], sketch[s:e], False)
         yield from grown()
 
-    visits = batches_of(ranked.select("part", "fp", "rep"), route, "part int, visits byte, fp long, rep long")
-    owners = ranked.select("part", F.lit(0).cast("byte").alias("visits"), "fp", "rep")
+    columns = ("part", "fp", "rep", "sketch")
+    visits = batches_of(ranked.select(*columns), route, "part int, visits byte, fp long, rep long, sketch binary")
+    owners = ranked.select("part", F.lit(0).cast("byte").alias("visits"), "fp", "rep", "sketch")
     together = owners.union(visits).repartition("part").sortWithinPartitions("part", "visits")
     return batches_of(together, search, "a long, b long")
 
@@ -233,12 +289,70 @@ def near_duplicates(
     )
 
 
+def sketch_of(text: bytes | None, shingle: int = 5, bits: int = 256) -> bytes:
+    """One bit per bin of the smallest shingle hash that falls into it; empty bins borrow from others.
+
+    Two texts agree in a share (1 + J) / 2 of the bits on average, J being the
+    Jaccard similarity of their shingles.
+    """
+    words = words_of(text)
+    if not words:
+        return bytes(bits // 8)
+    n = max(1, len(words) - shingle + 1)
+    grams = map(b" ".join, zip(*(words[k:] for k in range(shingle)))) if len(words) >= shingle else [b" ".join(words)]
+    h = np.unique(np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(5)), np.uint64, n))
+    bins = (h >> np.uint64(56)).astype(np.int64) * bits // 256
+    filled, first = np.unique(bins, return_index=True)
+    value = np.zeros(bits, np.uint64)
+    full = np.zeros(bits, bool)
+    value[filled], full[filled] = h[first], True
+    empty, step = np.flatnonzero(~full), 0
+    while len(empty):
+        step += 1
+        lender = ((empty * 0x9E3779B1 + step * 0x85EBCA6B) % 0x7FFFFFFF) % bits
+        ok = full[lender]
+        value[empty[ok]] = value[lender[ok]] + (empty[ok].astype(np.uint64) << np.uint64(1))
+        empty = empty[~ok]
+    return np.packbits(((value * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(63)).astype(bool)).tobytes()
+
+
+def similar_documents(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, reach: int = 11, least_match: float = 0.855
+) -> DataFrame:
+    """``doc_id, component_id`` of documents whose shingles have a similarity of about 0.8 or more.
+
+    Such texts differ in up to eleven of 64 bits, where unrelated short texts
+    meet them too; a second sketch of 256 bits, in which texts of similarity
+    0.8 agree in 90 percent, tells the two apart. Rows with a null id and texts
+    without words are in no group and not returned.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t.as_py() for t in batch.column("text")]
+            fps = np.array([fingerprint_of(t, shingle) for t in texts], np.uint64)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), pa.array(fps.view(np.int64)), pa.array([sketch_of(t, shingle) for t in texts], pa.binary())],
+                names=["doc_id", "fp", "sketch"],
+            )
+
+    rows = rows_of(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    rows = rows.filter("doc_id is not null").filter(F.col("text").cast("string").rlike(WORD))
+    prints = cut(batches_of(rows, run, "doc_id long, fp long, sketch binary"))
+    classes = cut(prints.groupBy("fp", "sketch").agg(F.min("doc_id").alias("rep")))
+    parts = components(links(classes, reach, tables=4, least_match=least_match))
+    of_class = classes.join(parts, classes["rep"] == parts["node"], "left").select(
+        "fp", "sketch", F.coalesce("component", "rep").alias("component_id")
+    )
+    return prints.join(of_class, ["fp", "sketch"]).select("doc_id", "component_id")
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that stand for their group: the smallest id of each component.
+    """The rows of ``docs`` that stand for their group of similar documents: the smallest id of each.
 
-    Rows with a null id stay. A row repeated with its id stays once per repeat
-    only if it is the group's first id.
+    Rows with a null id and texts without words stay. Rows that repeat an id
+    share its fate.
     """
-    found = near_duplicates(docs, id_col, text_col, **options)
+    found = similar_documents(docs, id_col, text_col, **options)
     drop = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("__drop")).distinct()
     return docs.join(drop, docs[id_col] == drop["__drop"], "left_anti")
