@@ -73,7 +73,9 @@ def fitted(sample: DataFrame, features: Callable, train: Callable):
 
     # Rows in an order that has nothing to do with where they lie.
     rows = sample.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id")
-    return pickle.loads(batches_of(rows, run, "model binary").collect()[0]["model"])
+    made = batches_of(rows, run, "model binary").collect()
+    # An empty sample may have no task at all.
+    return pickle.loads(made[0]["model"]) if made else train([], np.empty(0, np.int64))
 
 
 def scored(rows: DataFrame, id_col: str, text_col: str, model) -> DataFrame:

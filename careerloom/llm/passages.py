@@ -6,9 +6,11 @@ A paragraph is ``length`` words from such a start. A passage of at least
 ``length + gap`` words thus holds a whole paragraph with the same start
 wherever it stands. Paragraphs get MinHash bands over five-word shingles;
 different paragraphs that collide in a band are compared by exact Jaccard, and
-equal ones need no comparison. Of every component of paragraphs the first
-occurrence stays. The others are extended word by word along the first one,
-joined to runs, and a run of ``least`` words or more is a repeated passage.
+equal ones need no comparison. Two bands of three rows find a pair of similarity
+0.8 with probability 0.76, so a passage of two such paragraphs with 0.94; equal
+paragraphs are always found. Of every component of paragraphs the first
+occurrence stays. The others are joined to stretches, extended word by word
+along the first one, and a run of ``least`` words or more is a repeated passage.
 """
 
 from __future__ import annotations
@@ -68,8 +70,8 @@ class Shape:
     length: int = 24
     gap: int = 27
     shingle: int = 5
-    bands: int = 3
-    rows: int = 2
+    bands: int = 2
+    rows: int = 3
     anchor: int = 3
 
     def starts(self, h: np.ndarray) -> np.ndarray:
@@ -135,12 +137,49 @@ def _alike(a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
     return out
 
 
-def _near_classes(occurrences: DataFrame, contents, shape: Shape, similarity: float, piece: int) -> DataFrame:
+def _colliding(found: DataFrame) -> DataFrame:
+    """``key, cls``: different paragraphs that share a band, each once per band."""
+
+    def once_per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column("keys")
+            pairs = np.column_stack([keys.flatten().to_numpy(), np.repeat(batch.column("cls").to_numpy(), np.diff(keys.offsets.to_numpy()))])
+            pairs = _unique_pairs(pairs)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["key", "cls"])
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of rows sorted by key and paragraph, those of keys with several paragraphs; holds one row back."""
+        last, told = None, False  # the row before, and whether it was passed on
+        for batch in batches:
+            key, cls = batch.column("key").to_numpy(), batch.column("cls").to_numpy()
+            if last is not None:
+                key, cls = np.concatenate([[last[0]], key]), np.concatenate([[last[1]], cls])
+            if not len(key):
+                continue
+            new = np.ones(len(key), bool)
+            new[1:] = (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])
+            key, cls = key[new], cls[new]
+            same = key[1:] == key[:-1]
+            out = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+            passed = out[-1] or (told and len(key) == 1)
+            if told:
+                out[0] = False
+            last, told = (key[-1], cls[-1]), bool(passed)
+            yield pa.RecordBatch.from_arrays([pa.array(key[out]), pa.array(cls[out])], names=["key", "cls"])
+
+    pairs = batches_of(found.select("cls", "keys"), once_per_task, "key long, cls long")
+    return batches_of(pairs.repartition("key").sortWithinPartitions("key", "cls"), shared, "key long, cls long")
+
+
+def _unique_pairs(pairs: np.ndarray) -> np.ndarray:
+    pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+    keep = np.ones(len(pairs), bool)
+    keep[1:] = (pairs[1:] != pairs[:-1]).any(1)
+    return pairs[keep]
+
+
+def _near_classes(members: DataFrame, words: DataFrame, shape: Shape, similarity: float, piece: int) -> DataFrame:
     """Spanning forests ``cls, root`` of the links between different paragraphs that share a band."""
-    keyed = occurrences.select("cls", F.explode("keys").alias("key"))
-    hot = keyed.groupBy("key").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi")).filter("lo <> hi").select("key")
-    members = cut(keyed.join(hot, "key").distinct())
-    words = contents(members.select("cls").distinct())
     sizes = members.groupBy("key").agg(F.ceil(F.count("*") / piece).alias("parts"))
     # A large bucket is cut into pieces; every pair of pieces is one unit of work.
     spread = members.join(sizes, "key").withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")))
@@ -209,109 +248,109 @@ def repeated_passages(
     an id but not the text are told apart by ``text_hash``.
     """
     rows = rows_of(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    rows = rows.filter("doc_id is not null and text is not null").withColumn("t", F.xxhash64("text"))
+    rows = rows.filter("doc_id is not null and text is not null").withColumn("t", F.hash("text"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, hashes = batch.column("doc_id").to_numpy(), batch.column("t").to_numpy()
+            ids, hashes = batch.column("doc_id").to_numpy(), batch.column("t").to_numpy().astype(np.int64)
             out, held = [], 0
             for i, text in enumerate(batch.column("text")):
                 h = _word_hashes(text.as_py())
                 at = shape.starts(h)
                 if len(at):
                     content, keys = shape.signatures(h, at)
-                    out.append((np.full(len(at), ids[i]), np.full(len(at), hashes[i]), at.astype(np.int32), content, keys))
+                    out.append((np.full(len(at), ids[i]), (hashes[i] << 32) | at, content, keys))
                     held += len(at)
                 if out and (held >= 50_000 or i + 1 == batch.num_rows):
-                    a, b, c, d, e = (np.concatenate(x) for x in zip(*out))
-                    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(e) + 1, dtype=np.int32) * shape.bands), pa.array(e.ravel()))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(a), pa.array(b), pa.array(c), pa.array(d), lists], names=["doc_id", "t", "pos", "cls", "keys"]
-                    )
+                    a, b, c, d = (np.concatenate(x) for x in zip(*out))
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(d) + 1, dtype=np.int32) * shape.bands), pa.array(d.ravel()))
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(c), lists], names=["doc_id", "loc", "cls", "keys"])
                     out, held = [], 0
 
-    found = cut(batches_of(rows.select("doc_id", "t", "text"), scan, "doc_id long, t long, pos int, cls long, keys array<long>"))
+    # loc: the text's hash and the paragraph's first word in one number.
+    found = cut(batches_of(rows.select("doc_id", "t", "text"), scan, "doc_id long, loc long, cls long, keys array<long>"))
 
-    def with_words(spots: DataFrame, around: int) -> DataFrame:
-        """Word hashes of the given paragraphs and up to ``around`` words on both sides, from a second look at the texts."""
+    def look_up(spots: DataFrame, before: int, after: int) -> DataFrame:
+        """``words``: word hashes from ``before`` words before each of the spots ``doc_id, loc`` to ``after`` behind it."""
 
         def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                out, held = [], 0
                 ids, hashes = batch.column("doc_id").to_pylist(), batch.column("t").to_pylist()
+                out = []
                 for i, (text, at) in enumerate(zip(batch.column("text"), batch.column("at"))):
                     h = _word_hashes(text.as_py()).astype("<u4")
-                    for spot in at.as_py():
-                        pos, first = spot["pos"], max(0, spot["pos"] - around)
-                        out.append((ids[i], hashes[i], pos, spot["cls"], pos - first, h[first : pos + shape.length + around].tobytes()))
-                    held = len(out)
-                    if out and (held >= 20_000 or i + 1 == batch.num_rows):
-                        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary())
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["doc_id", "t", "pos", "cls", "before", "words"]
-                        )
+                    for loc in at.as_py():
+                        pos = loc & 0xFFFFFFFF
+                        out.append((ids[i], loc, h[max(0, pos - before) : pos + after].tobytes()))
+                    if out and (len(out) >= 20_000 or i + 1 == batch.num_rows):
+                        kinds = (pa.int64(), pa.int64(), pa.binary())
+                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["doc_id", "loc", "words"])
                         out = []
 
-        at = spots.distinct().groupBy("doc_id", "t").agg(F.collect_list(F.struct("pos", "cls")).alias("at"))
+        at = spots.distinct().groupBy("doc_id", F.shiftright("loc", 32).cast("int").alias("t")).agg(F.collect_list("loc").alias("at"))
         joined = rows.join(at, ["doc_id", "t"]).select("doc_id", "t", "text", "at")
-        return batches_of(joined, look, "doc_id long, t long, pos int, cls long, before int, words binary")
-
-    def contents(classes: DataFrame) -> DataFrame:
-        one = found.groupBy("cls").agg(F.min(F.struct("doc_id", "t", "pos")).alias("one"))
-        spots = one.join(classes, "cls").select("one.*", "cls")
-        return with_words(spots, 0).dropDuplicates(["cls"]).select("cls", "words")
-
-    forest = cut(_near_classes(found, contents, shape, similarity, piece))
+        return batches_of(joined, look, "doc_id long, loc long, words binary").dropDuplicates(["doc_id", "loc"])
+
+    # Paragraphs that more than one document has, and those that share a band with another one.
+    members = cut(_colliding(found))
+    repeated = found.groupBy("cls").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo <> hi")
+    wanted = repeated.select("cls", F.lit(0).alias("near")).union(members.select("cls", F.lit(1))).groupBy("cls").agg(F.max("near").alias("near"))
+    spots = cut(found.select("cls", "doc_id", "loc").join(wanted, "cls"))
+    one = spots.filter("near = 1").groupBy("cls").agg(F.min(F.struct("doc_id", "loc")).alias("one")).select("cls", "one.*")
+    words = look_up(one.select("doc_id", "loc"), 0, shape.length).join(one, ["doc_id", "loc"]).select("cls", "words")
+    forest = cut(_near_classes(members, words, shape, similarity, piece))
     parts = components(forest, "cls", "root").withColumnRenamed("node", "cls")
-    # Paragraphs that more than one document has, alone or through a similar one.
-    placed = found.select("doc_id", "t", "pos", "cls").join(parts, "cls", "left").withColumn("comp", F.coalesce("component", "cls"))
-    first = placed.groupBy("comp").agg(F.min(F.struct("doc_id", "t", "pos")).alias("lead"), F.max("doc_id").alias("last"))
-    shared = cut(first.filter("lead.doc_id <> last").select("comp", "lead"))
-    spots = cut(placed.join(shared, "comp").select("doc_id", "t", "pos", "cls", "comp", "lead"))
-    wanted = spots.filter("doc_id <> lead.doc_id").select("doc_id", "t", "pos", "cls").union(
-        shared.select("lead.doc_id", "lead.t", "lead.pos", F.col("comp").alias("cls"))
+    placed = spots.join(parts, "cls", "left").select("doc_id", "loc", F.coalesce("component", "cls").alias("comp"))
+    first = placed.groupBy("comp").agg(F.min(F.struct("doc_id", "loc")).alias("lead"), F.max("doc_id").alias("last")).filter("lead.doc_id <> last")
+    pos = F.col("loc").bitwiseAND(0xFFFFFFFF)
+    k_pos = F.col("k_loc").bitwiseAND(0xFFFFFFFF)
+    hits = (
+        placed.join(first, "comp")
+        .filter("doc_id <> lead.doc_id")
+        .select("doc_id", "loc", F.col("lead.doc_id").alias("k_doc"), F.col("lead.loc").alias("k_loc"))
+        .select("doc_id", F.shiftright("loc", 32).alias("t"), "k_doc", F.shiftright("k_loc", 32).alias("k_t"), pos.alias("pos"), (pos - k_pos).alias("off"))
+        .distinct()
     )
-    words = cut(with_words(wanted.select("doc_id", "t", "pos", F.lit(0).cast("long").alias("cls")), shape.gap).drop("cls").dropDuplicates(["doc_id", "t", "pos"]))
-    ours = spots.filter("doc_id <> lead.doc_id").join(words, ["doc_id", "t", "pos"])
-    leads = shared.select("comp", "lead", F.col("lead.doc_id").alias("doc_id"), F.col("lead.t").alias("t"), F.col("lead.pos").alias("pos")).join(
-        words, ["doc_id", "t", "pos"]
+    # Neighbouring paragraphs that match the same text at the same distance are one stretch.
+    along = Window.partitionBy("doc_id", "t", "k_doc", "k_t", "off").orderBy("pos")
+    fresh = F.coalesce((F.col("pos") - F.lag("pos").over(along) > shape.gap).cast("int"), F.lit(1))
+    stretches = hits.withColumn("fresh", fresh).withColumn("no", F.sum("fresh").over(along))
+    name = ["doc_id", "t", "k_doc", "k_t", "off", "no"]
+    stretches = cut(stretches.groupBy(*name).agg(F.min("pos").alias("s"), (F.max("pos") + shape.length).alias("e")))
+    # Both ends are extended word by word along the first occurrence.
+    ends = stretches.select(*name, F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("s").alias("at")), F.struct(F.lit(1).alias("side"), F.col("e").alias("at")))).alias("end"))
+    ends = ends.select(
+        *name, "end.side",
+        F.shiftleft("t", 32).bitwiseOR(F.col("end.at")).alias("loc"),
+        F.shiftleft("k_t", 32).bitwiseOR(F.col("end.at") - F.col("off")).alias("k_loc"),
     )
-    pairs = ours.select("doc_id", "t", "pos", "comp", "before", "words").join(
-        leads.select("comp", "lead", F.col("before").alias("l_before"), F.col("words").alias("l_words")), "comp"
+    around = cut(look_up(ends.select("doc_id", "loc").union(ends.select("k_doc", "k_loc")), shape.gap, shape.gap))
+    both = ends.join(around, ["doc_id", "loc"]).join(
+        around.select(F.col("doc_id").alias("k_doc"), F.col("loc").alias("k_loc"), F.col("words").alias("k_words")), ["k_doc", "k_loc"]
     )
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left, right = np.zeros(batch.num_rows, np.int32), np.zeros(batch.num_rows, np.int32)
-            for i, (a, w, b, v) in enumerate(zip(*(batch.column(c) for c in ("before", "words", "l_before", "l_words")))):
-                a, b = a.as_py(), b.as_py()
+            more = np.zeros(batch.num_rows, np.int64)
+            for i, (side, loc, w, k_loc, v) in enumerate(zip(*(batch.column(c) for c in ("side", "loc", "words", "k_loc", "k_words")))):
+                a, b = (min(shape.gap, x.as_py() & 0xFFFFFFFF) for x in (loc, k_loc))
                 w, v = np.frombuffer(w.as_py(), "<u4"), np.frombuffer(v.as_py(), "<u4")
-                n = min(a, b)
-                same = (w[a - n : a] == v[b - n : b])[::-1]
-                left[i] = n if same.all() else same.argmin()
-                w, v = w[a + shape.length :], v[b + shape.length :]
+                w, v = (w[a:], v[b:]) if side.as_py() else (w[:a][::-1], v[:b][::-1])
                 n = min(len(w), len(v))
                 same = w[:n] == v[:n]
-                right[i] = n if same.all() else same.argmin()
-            names = ["doc_id", "t", "pos", "k_doc", "k_t", "k_pos"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(left), pa.array(right)], names=[*names, "l", "r"])
-
-    matched = cut(
-        batches_of(
-            pairs.select(
-                "doc_id", "t", "pos", F.col("lead.doc_id").alias("k_doc"), F.col("lead.t").alias("k_t"), F.col("lead.pos").alias("k_pos"),
-                "before", "words", "l_before", "l_words",
-            ),
-            extend,
-            "doc_id long, t long, pos int, k_doc long, k_t long, k_pos int, l int, r int",
-        )
+                more[i] = n if same.all() else same.argmin()
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in (*name, "side")), pa.array(more)], names=[*name, "side", "more"])
+
+    longer = batches_of(
+        both.select(*name, "side", "loc", "words", "k_loc", "k_words"), extend,
+        "doc_id long, t long, k_doc long, k_t long, off long, no long, side int, more long",
+    )
+    longer = longer.groupBy(*name).agg(
+        F.max(F.when(F.col("side") == 0, F.col("more"))).alias("l"), F.max(F.when(F.col("side") == 1, F.col("more"))).alias("r")
     )
-    spans = matched.select(
-        "doc_id", "t", F.lit(True).alias("removed"), (F.col("pos") - F.col("l")).alias("s"), (F.col("pos") + shape.length + F.col("r")).alias("e"), F.col("k_doc").alias("kept")
-    ).union(
-        matched.groupBy("k_doc", "k_t", "k_pos").agg(F.max("l").alias("l"), F.max("r").alias("r")).select(
-            "k_doc", "k_t", F.lit(False), F.col("k_pos") - F.col("l"), F.col("k_pos") + shape.length + F.col("r"), "k_doc"
-        )
+    matched = cut(stretches.join(longer, name).select("doc_id", "t", "k_doc", "k_t", "off", (F.col("s") - F.col("l")).alias("s"), (F.col("e") + F.col("r")).alias("e")))
+    spans = matched.select("doc_id", "t", F.lit(True).alias("removed"), "s", "e", F.col("k_doc").alias("kept")).union(
+        matched.select("k_doc", "k_t", F.lit(False), F.col("s") - F.col("off"), F.col("e") - F.col("off"), "k_doc").distinct()
     )
     # Spans of a document that touch become one run.
     along = Window.partitionBy("doc_id", "t", "removed").orderBy("s", "e")
@@ -321,7 +360,7 @@ def repeated_passages(
     merged = runs.groupBy("doc_id", "t", "removed", "run").agg(F.min("s").alias("s"), F.max("e").alias("e"), F.min("kept").alias("kept"))
     return merged.filter(F.col("e") - F.col("s") >= least).select(
         "doc_id",
-        F.col("t").alias("text_hash"),
+        F.col("t").cast("int").alias("text_hash"),
         F.col("s").cast("long").alias("start_word"),
         (F.col("e") - F.col("s")).cast("long").alias("n_words"),
         "removed",
@@ -338,7 +377,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = repeated_passages(docs, id_col=id_col, text_col=text_col, **options).filter("removed")
     spans = found.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list(F.struct("start_word", "n_words"))).alias("__spans"))
     spans = spans.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "__spans")
-    hashed = F.xxhash64(F.col(f"`{text_col}`").cast("binary"))
+    hashed = F.hash(F.col(f"`{text_col}`").cast("binary"))
     joined = docs.join(spans, (docs[id_col].cast("long") == spans["__id"]) & (hashed == spans["__hash"]), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

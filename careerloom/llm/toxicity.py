@@ -78,7 +78,7 @@ def train(
 ) -> Model:
     """Ratios and logistic regression over the given bucket sets; without both labels a constant.
 
-    Ratios within ``least`` standard errors of zero are noise and become zero.
+    Ratios of buckets within ``least`` standard deviations of chance become zero.
     The last ``held_back`` share of the rows only calibrates the scores.
     """
     y = labels.astype(float)
@@ -93,8 +93,10 @@ def train(
         counts[int(label), at] += 1
     texts = np.array([[kept - y[:kept].sum()], [y[:kept].sum()]]) + 2 * smooth
     ratio = np.log(counts[1] / texts[1]) - np.log(counts[0] / texts[0])
-    chance = np.sqrt((1 / counts - 1 / texts).clip(1e-9).sum(axis=0))
-    ratio[np.abs(ratio) < least * chance] = 0
+    # How far a bucket's toxic texts are from their share of all its texts, in standard deviations.
+    having, share = counts.sum(axis=0) - 2 * smooth, y[:kept].mean()
+    apart = (counts[1] - smooth - having * share) / np.sqrt(np.maximum(having, 1) * share * (1 - share))
+    ratio[np.abs(apart) < least] = 0
     rows = [at[ratio[at] != 0] for at in rows]
     w, squares = np.ones(1 << bits), np.full(1 << bits, 1e-6)
     bias, bias_squares = float(np.log(texts[1, 0] / texts[0, 0])), 1e-6
