@@ -12,9 +12,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from careerloom.functions import iri_local_name
+from careerloom.functions import case_key, iri_local_name
 from careerloom.functions.text import quote
 from careerloom.operators.common import KEY, position_in, previous_row
+from careerloom.runtime import broadcast_if_small
 
 
 def start_text(c: str = "start_date") -> Column:
@@ -242,7 +243,7 @@ def with_taxonomy_group(skills: DataFrame, matches: DataFrame) -> DataFrame:
     ``matches``: label_key, concept_uri, preferred_label, broader_label.
     """
     m = matches.select("label_key", "concept_uri", "preferred_label", "broader_label")
-    return named_skills(skills).withColumn("label_key", F.lower(F.trim("label"))).join(m, "label_key", "left").drop("label_key")
+    return named_skills(skills).withColumn("label_key", case_key("label")).join(broadcast_if_small(m), "label_key", "left").drop("label_key")
 
 
 def by_taxonomy_group(grouped: DataFrame) -> DataFrame:

@@ -32,31 +32,47 @@ def canonical_map(df: DataFrame, keys: Sequence[str], id_col: str, order: Sequen
     )
 
 
-def resolve_chains(links: DataFrame, keys: Sequence[str], rounds: int = 5) -> DataFrame:
-    """Follow src -> dst links to their ends by pointer doubling.
-
-    Five rounds follow 32 hops. A cycle is broken at its smallest member, which
-    then has no link of its own. ``links`` needs one row per (keys, src).
+def resolve_chains(links: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Follow src -> dst links to their ends by pointer doubling, chains and cycles of any length.
+
+    A cycle is broken at its smallest member, which then has no link of its
+    own. ``links`` needs one row per (keys, src). Links that have reached their
+    end are set aside; the rest doubles its reach every round. What is left once
+    the reach covers the longest group of open links leads into a cycle, and the
+    smallest member seen from there is the cycle's.
     """
-    cur = cut(links.select(*keys, "src", "dst", F.col("dst").alias("lo")))
-    for _ in range(rounds):
-        nxt = cur.select(*keys, F.col("src").alias("dst"), F.col("dst").alias("dst2"), F.col("lo").alias("lo2"))
-        if cur.join(nxt, [*keys, "dst"], "left_semi").isEmpty():
-            return cur.filter("src <> dst").select(*keys, "src", "dst")
-        cur = cut(
-            cur.join(nxt, [*keys, "dst"], "left").select(
+    columns = [*keys, "src", "dst", "lo"]
+    current = cut(links.select(*keys, "src", "dst", F.col("dst").alias("lo")))
+    settled, reach = current.limit(0), 1
+    while True:
+        known = current.unionByName(settled)
+        onward = known.select(*keys, F.col("src").alias("dst"), F.col("dst").alias("dst2"), F.col("lo").alias("lo2"))
+        stepped = cut(
+            current.join(onward, [*keys, "dst"], "left").select(
                 *keys,
                 "src",
                 F.coalesce("dst2", "dst").alias("dst"),
                 F.least("lo", F.coalesce("lo2", "lo")).alias("lo"),
+                F.col("dst2").isNotNull().alias("open"),
             )
         )
-    ends = cur.select(*keys, F.col("src").alias("dst"), F.col("lo").alias("cycle_min"))
-    return (
-        cur.join(ends, [*keys, "dst"], "left")
-        .select(*keys, "src", F.coalesce("cycle_min", "dst").alias("dst"))
-        .filter("src <> dst")
-    )
+        settled = settled.unionByName(stepped.filter("not open").select(columns))
+        current = stepped.filter("open").select(columns)
+        longest = current.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+        if longest is None:
+            return settled.filter("src <> dst").select(*keys, "src", "dst")
+        reach *= 2
+        if reach > 2 * longest:
+            break
+    ends = current.select(*keys, F.col("src").alias("dst"), F.col("lo").alias("cycle_min"))
+    cyclic = current.join(ends, [*keys, "dst"], "left").select(*keys, "src", F.coalesce("cycle_min", "dst").alias("dst"))
+    return settled.select(*keys, "src", "dst").unionByName(cyclic).filter("src <> dst")
+
+
+def digits_first(number: Column) -> Column:
+    """Text that sorts like the number, however long: the count of its digits, then the digits."""
+    text = number.cast("string")
+    return F.concat(F.lpad(F.length(text).cast("string"), 2, "0"), text)
 
 
 def previous_row(

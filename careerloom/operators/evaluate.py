@@ -13,6 +13,7 @@ from careerloom.functions import (
     case_key, email_domains, first_nonempty, match_key, org_match_key, prf, ratio, secret_flags,
 )
 from careerloom.functions.text import SYNTHETIC_DOMAINS
+from careerloom.operators.common import digits_first
 
 # Fixed order of the report and fixed quality floors.
 REPORT_TYPES = ("person", "certifications", "education", "jobs", "organizations", "skills")
@@ -261,7 +262,7 @@ def render_batch_lines(detail: DataFrame, top: int = 10) -> DataFrame:
     )
     errors = ranked_errors(detail, top)
     item = F.concat(F.lit("  "), "key", F.lit(" ("), "etype", F.lit(") — "), F.col("n_docs").cast("string"), F.lit(" documents"))
-    rk = F.lpad(F.col("rk").cast("string"), 6, "0")
+    rk = digits_first(F.col("rk"))
     return (
         fixed.unionByName(line(n, 0, F.lit(""), F.concat(F.lit("Batch evaluation — "), "n", F.lit(" documents evaluated"))))
         .unionByName(line(docs, 2, F.col("doc_id").cast("string"), _line(F.col("doc_id").cast("string"), 20)))

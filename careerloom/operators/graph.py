@@ -556,7 +556,10 @@ def match_pattern(triples: DataFrame, patterns: list[tuple[str, str, str]]) -> D
             else:
                 names[term[1:]] = col
         df = df.select(KEY, *[F.col(c).alias(n) for n, c in names.items()])
-        out = df if out is None else out.join(df, [KEY, *[n for n in names if n in out.columns]])
+        shared = [n for n in names if out is not None and n in out.columns]
+        if out is not None and names and not shared:
+            raise ValueError(f"pattern {pattern} shares no variable with those before it: order the patterns so that each does")
+        out = df if out is None else out.join(df, [KEY, *shared])
     return out
 
 

@@ -178,7 +178,12 @@ def apply_corrections(entities: DataFrame, edits: DataFrame) -> tuple[DataFrame,
     Returns (entities, rejected or unmatched edits with a reason).
     """
     judged = check_edits(edits)
-    good = judged.filter("reject is null").select(KEY, "kind", "entity_id", "patch")
+    # Several edits of one entity count as one patch; for a field edited twice the greatest value, so no row multiplies.
+    fields = judged.filter("reject is null").select(KEY, "kind", "entity_id", F.explode("patch").alias("f", "v"))
+    fields = fields.groupBy(KEY, "kind", "entity_id", "f").agg(F.max("v").alias("v"))
+    good = fields.groupBy(KEY, "kind", "entity_id").agg(
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("f", "v")))).alias("patch")
+    )
     hits = good.join(entities.select(KEY, "kind", "entity_id", "doc_id", "label"), [KEY, "kind", "entity_id"])
     primary = good.select(KEY, "kind", "entity_id", F.col("patch").alias("p1"))
     # By label: only where the patch renames, and not in a document the id was found in.

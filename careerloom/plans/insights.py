@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from careerloom.operators.common import KEY
 from careerloom.plans import render as R
 from careerloom.plans import texts as TX
+from careerloom.runtime import cut
 
 Frames = Mapping[str, DataFrame]
 
@@ -39,15 +40,16 @@ def _metadata(frames: Frames) -> DataFrame:
     return out
 
 
-def package_insight(content: DataFrame, frames: Frames, analysis_type: str, analysis_date: Column) -> DataFrame:
-    """Content (session_id, part, content) with title, tags, hints, counts and date."""
+def package_insight(
+    content: DataFrame, frames: Frames, analysis_type: str, analysis_date: Column, metadata: DataFrame | None = None
+) -> DataFrame:
+    """Content (session_id, content) with title, tags, hints, counts and date."""
     title, tags, hints = TX.INSIGHTS[analysis_type]
     words = lambda xs: F.array(*[F.lit(x) for x in xs])
-    return content.join(_metadata(frames), KEY).select(
+    return content.join(_metadata(frames) if metadata is None else metadata, KEY).select(
         KEY,
         F.lit(analysis_type).alias("analysis_type"),
         F.lit(title).alias("title"),
-        "part",
         "content",
         F.col("source_document").alias("source_file"),
         "person_name",
@@ -65,38 +67,21 @@ def insight_lines(frames: Frames, types: list[str] | None = None) -> DataFrame:
     return R.union(*[ANALYZERS[t](frames).withColumn("analysis_type", F.lit(t)) for t in types or ANALYZERS])
 
 
-def crowded_sessions(frames: Frames, max_rows: int) -> DataFrame:
-    """Sessions with more than ``max_rows`` rows in all frames together."""
-    parts = [frames[n].select(KEY) for n in ("jobs", "skills", "tech")]
-    counts = R.union(*[p.groupBy(KEY).agg(F.count("*").alias("n")) for p in parts])
-    return counts.groupBy(KEY).agg(F.sum("n").alias("n")).filter(F.col("n") > max_rows)
+def run_battery(frames: Frames, analysis_date: Column, types: list[str] | None = None) -> tuple[DataFrame, dict[str, str]]:
+    """All analyses for all persons, one document each: a view of ``insight_lines``.
 
-
-def run_battery(
-    frames: Frames, analysis_date: Column, types: list[str] | None = None, max_rows: int = 1_000_000
-) -> tuple[DataFrame, dict[str, str]]:
-    """All analyses for all persons; one that cannot be planned is reported, not fatal.
-
-    A document is one row with ``part`` 1. Persons with more than ``max_rows``
-    rows get theirs in several parts.
+    Every analysis is written on its own, so one that fails while planning or
+    while running is reported and leaves the others whole.
     """
+    metadata = cut(_metadata(frames))
     docs, failed = [], {}
-    big = crowded_sessions(frames, max_rows)
-    total = big.agg(F.sum("n").alias("n")).first().n or 0
-
-    def texts(rows: DataFrame) -> DataFrame:
-        if not total:
-            return R.assemble_text(rows).withColumn("part", F.lit(1))
-        ids = big.select(KEY)
-        small = R.assemble_text(rows.join(ids, KEY, "left_anti")).withColumn("part", F.lit(1))
-        slices = int(2 * total // max_rows) + 1
-        return small.unionByName(R.assemble_parts(rows.join(ids, KEY, "left_semi"), slices))
-
     for t in types or list(ANALYZERS):
         try:
-            docs.append(package_insight(texts(ANALYZERS[t](frames)), frames, t, analysis_date))
+            docs.append(cut(package_insight(R.assemble_text(ANALYZERS[t](frames)), frames, t, analysis_date, metadata)))
         except Exception as e:  # noqa: BLE001
             failed[t] = str(e)
+    if not docs:
+        raise RuntimeError(f"all analyses failed: {failed}")
     return R.union(*docs), failed
 
 
@@ -122,7 +107,7 @@ def to_markdown(insights: DataFrame) -> DataFrame:
 def retrieval_entries(insights: DataFrame) -> DataFrame:
     """Flat rows for a vector store; the id names session and analysis."""
     return insights.select(
-        F.concat_ws(":", F.col(KEY).cast("string"), "analysis_type", F.when(F.col("part") > 1, F.col("part").cast("string"))).alias("id"),
+        F.concat_ws(":", F.col(KEY).cast("string"), "analysis_type").alias("id"),
         F.col("content").alias("document"),
         "analysis_type", "title", "source_file", "person_name", "analysis_date",
         F.lit("graph_analysis").alias("source"),

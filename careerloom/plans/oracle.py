@@ -394,5 +394,7 @@ def compose(query: str) -> str:
     visit(query)
     if not need:
         return query
-    blocks = ",\n".join(f"{n} AS ({BLOCKS[n]})" for n in BLOCKS if n in need)
+    # A recursive block can't be materialised; the others are computed once.
+    once = lambda n: "" if re.search(rf"\b{n}\b", BLOCKS[n]) else "MATERIALIZED "
+    blocks = ",\n".join(f"{n} AS {once(n)}({BLOCKS[n]})" for n in BLOCKS if n in need)
     return f"WITH RECURSIVE {blocks}\n{query}"

@@ -99,7 +99,7 @@ def citation_audit(texts: DataFrame, key: str, text: str) -> DataFrame:
     ``[a + b]`` cites both.
     """
     span = F.explode(bracket_citations(text)).alias("span")
-    inner = F.split(F.substring("span", 2, 1 << 20), r" \+ ")
+    inner = F.split(F.substr("span", F.lit(2)), r" \+ ")
     names = texts.select(key, span).select(key, F.explode(inner).alias("name"))
     name = strip(F.replace("name", F.lit("]"), F.lit("")))
     return (

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from careerloom.operators import analyze as A
-from careerloom.operators.common import KEY
+from careerloom.operators.common import KEY, digits_first
 from careerloom.plans import texts as TX
 
 ORD = ["sec", "a", "b", "seq"]
@@ -64,16 +64,6 @@ def assemble_text(rows: DataFrame, name: str = "content") -> DataFrame:
     return _pack(rows, [KEY], name)
 
 
-def assemble_parts(rows: DataFrame, slices: int, name: str = "content") -> DataFrame:
-    """Texts in numbered parts: (session_id, part, content), for persons too large for one row.
-
-    Lines are range-partitioned in document order, so a part is what one
-    partition holds of a person; joined by part they give the whole text.
-    """
-    placed = rows.repartitionByRange(slices, KEY, *ORD).withColumn("part", F.spark_partition_id() + 1)
-    return _pack(placed, [KEY, "part"], name)
-
-
 def _names(persons: DataFrame) -> DataFrame:
     return persons.select(KEY, first_name().alias("name"))
 
@@ -181,7 +171,7 @@ def render_evolution(persons: DataFrame, jobs: DataFrame, tech: DataFrame) -> Da
     return union(
         lines(head, 0, fill(TX.EVOLUTION_HEAD, name="name", jobs=_zero("n")), "", "## Chronological Technology Timeline", ""),
         lines(line, 1, title, fill("**Tools:** {t}", t=F.coalesce("tools", F.lit(TX.NO_TOOLS))), F.when(has, F.lit("")), a=F.col("ord")),
-        lines(ach, 1, F.concat(F.lit("- "), "text"), a=F.col("ord"), b=F.lpad(F.col("i").cast("string"), 9, "0")),
+        lines(ach, 1, F.concat(F.lit("- "), "text"), a=F.col("ord"), b=digits_first(F.col("i"))),
         lines(line, 1, "", a=F.col("ord"), b=F.lit("~")),
         lines(_having(steps, names), 2, "## Transition Analysis", ""),
         lines(steps, 3, fill("**{x} → {y}**", x="from_title", y="to_title"), a=F.col("ord")),

@@ -189,11 +189,11 @@ def test_streams_equal_batch_and_survive_restart(spark, tmp_path):
     assert rows(feeds.latest_rows(spark, out + "4")) == rows(want.filter(F.col("session_id").isin(ready)).select("session_id", "document_id", "status"))
 
 
-def test_large_persons_come_in_parts(spark, frames):
-    whole = {(r.session_id, r.analysis_type): r.content for r in I.run_battery(frames, F.lit("2024-01-01"))[0].collect()}
-    docs = I.run_battery(frames, F.lit("2024-01-01"), max_rows=2)[0].orderBy("part").collect()
-    assert max(r.part for r in docs) > 1
-    joined = {}
-    for r in docs:
-        joined.setdefault((r.session_id, r.analysis_type), []).append(r.content)
-    assert {k: "\n".join(v) for k, v in joined.items()} == whole
+def test_a_failing_analysis_leaves_the_others(spark, frames, monkeypatch):
+    def breaks(f):
+        return I.ANALYZERS["esco_coverage"](f).withColumn("line", F.raise_error(F.lit("no")).cast("string"))
+
+    monkeypatch.setitem(I.ANALYZERS, "skill_gap", breaks)
+    docs, failed = I.run_battery(frames, F.lit("2024-01-01"))
+    assert list(failed) == ["skill_gap"]
+    assert {r.analysis_type for r in docs.collect()} == set(I.ANALYZERS) - {"skill_gap"}

@@ -227,10 +227,12 @@ def test_pattern_queries(world):
 
 
 def test_chains_and_cycles(spark):
-    links = [("a", "b"), ("b", "c"), ("x", "z"), ("z", "y"), ("y", "x"), ("q", "z"), *[(f"n{i:02d}", f"n{i + 1:02d}") for i in range(30)]]
+    links = [("a", "b"), ("b", "c"), ("x", "z"), ("z", "y"), ("y", "x"), ("q", "z"), ("s", "s")]
+    links += [(f"n{i:03d}", f"n{i + 1:03d}") for i in range(200)]
+    links += [(f"c{i:03d}", f"c{(i + 7) % 200:03d}") for i in range(200)] + [(f"a{i:03d}", f"a{i + 1:03d}" if i < 49 else "c100") for i in range(50)]
     df = spark.createDataFrame([(1, *e) for e in links], "session_id int, src string, dst string")
     got = {r.src: r.dst for r in resolve_chains(df, ["session_id"]).collect()}
-    assert got == {"a": "c", "b": "c", "z": "x", "y": "x", "q": "x", **{f"n{i:02d}": "n30" for i in range(30)}}
+    assert got == {"a": "c", "b": "c", "z": "x", "y": "x", "q": "x", **{f"n{i:03d}": "n200" for i in range(200)}, **{f"c{i:03d}": "c000" for i in range(1, 200)}, **{f"a{i:03d}": "c000" for i in range(50)}}
 
 
 def test_order_helpers_cross_chunks(spark):
