@@ -4,6 +4,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from careerloom.operators import graph
 from careerloom.plans.queries.registry import query
 from careerloom.runtime import shared_dir
 from careerloom.streaming import feeds
@@ -40,7 +41,7 @@ def _(c):
 def _(c):
     out, ckpt = _folders(c)
     stream = c.event_stream().select("session_id", F.md5("payload").alias("file_hash"), F.col("ts").alias("upload_ts"))
-    feeds.stream_dedup_uploads(stream, out, ckpt, delay="3650 days").awaitTermination()
+    feeds.stream_dedup_uploads(stream, out, ckpt).awaitTermination()
     return c.spark.read.parquet(out).groupBy("session_id", "file_hash").agg(F.count("*").cast("int").alias("n"))
 
 
@@ -52,9 +53,14 @@ def _(c):
     return feeds.event_counts(c.events, delay=None).withColumn("window_start", _text("window_start"))
 
 
-@query("stream_event_counts")
+@query(
+    "stream_event_counts",
+    """SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS window_start, event, count(*) AS n_events
+       FROM (SELECT time_bucket(INTERVAL 1 hour, ts) AS w, event FROM event)
+       WHERE w + INTERVAL 1 hour <= (SELECT max(ts) FROM event) - INTERVAL 10 minutes GROUP BY 1, 2""",
+)
 def _(c):
-    # Append mode keeps back the windows the watermark has not closed, so no batch SQL equals it.
+    # Append mode keeps back the windows that the watermark has not closed.
     out, ckpt = _folders(c)
     feeds.stream_event_counts(c.event_stream(), out, ckpt).awaitTermination()
     return c.spark.read.parquet(out).withColumn("window_start", _text("window_start"))
@@ -62,18 +68,20 @@ def _(c):
 
 @query(
     "stream_rebuild",
-    """SELECT session_id, count(*) AS n_documents, CAST(sum(n_events) AS BIGINT) AS n_events FROM doc_status
-       WHERE session_id IN (SELECT session_id FROM event WHERE event = 'complete') AND session_id IN (SELECT session_id FROM doc_status WHERE status = 'complete' GROUP BY 1 HAVING count(*) >= 2) GROUP BY 1""",
+    "SELECT session_id, s, p, o, o_kind, o_type FROM triple WHERE session_id IN (SELECT document_id FROM event WHERE event = 'complete')",
 )
 def _(c):
+    """Finished uploads rebuild the graphs of their sessions; here a user's uploads belong to the session of the same number."""
     out, ckpt = _folders(c)
+    c.store("job", "raw_skill", "raw_edu", "raw_org")
 
     def rebuild(touched):
-        rows = c.doc_status.join(touched, "session_id", "left_semi")
-        return rows.groupBy("session_id").agg(F.count("*").alias("n_documents"), F.sum("n_events").alias("n_events"))
-
-    done = c.event_stream().filter("event = 'complete'")
-    feeds.stream_rebuild(
-        done, rebuild, out, ckpt, completed=lambda: c.doc_status.filter("status = 'complete'")
-    ).awaitTermination()
-    return feeds.latest_rows(c.spark, out)
+        of = lambda df: df.join(touched, "session_id", "left_semi")
+        return graph.build_graph(
+            of(c.merged_person), of(c.merged_refs), of(c.job), of(c.job_skill), of(c.raw_skill), of(c.raw_edu),
+            of(c.raw_cert), of(c.raw_org), c.as_of,
+        )
+
+    done = c.event_stream().filter("event = 'complete'").select(F.col("document_id").alias("session_id"))
+    feeds.stream_rebuild(done, rebuild, out, ckpt).awaitTermination()
+    return feeds.latest_rows(c.spark, out).select("session_id", "s", "p", "o", "o_kind", "o_type")

@@ -67,14 +67,25 @@ def current_status(spark, path: str) -> DataFrame:
     )
 
 
-def stream_dedup_uploads(uploads: DataFrame, path: str, checkpoint: str, delay: str = "1 hour") -> StreamingQuery:
-    """First upload of each content per session within the watermark."""
+def stream_dedup_uploads(uploads: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """First upload of each content per session, however long ago it was.
+
+    What was taken before is a table next to the stream, not state: a batch
+    keeps its own firsts and drops those an earlier batch has. A replayed batch
+    overwrites its folder and does not look at later ones.
+    """
+
+    def take(batch: DataFrame, batch_id: int) -> None:
+        row = F.struct(*batch.columns)
+        firsts = batch.groupBy(KEY, "file_hash").agg(F.min_by(row, "upload_ts").alias("r")).select("r.*")
+        if batch_id:
+            before = batch.sparkSession.read.schema(f"{KEY} {batch.schema[KEY].dataType.simpleString()}, file_hash string, batch_id long")
+            known = before.option("basePath", path).parquet(path).filter(F.col("batch_id") < batch_id)
+            firsts = firsts.join(known, [KEY, "file_hash"], "left_anti")
+        firsts.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
     return (
-        uploads.withWatermark("upload_ts", delay)
-        .dropDuplicatesWithinWatermark([KEY, "file_hash"])
-        .writeStream.format("parquet")
-        .outputMode("append")
-        .option("path", path)
+        uploads.writeStream.foreachBatch(take)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
@@ -111,9 +122,11 @@ def stream_rebuild(
     """Recompute the sessions a batch of finished documents touched.
 
     ``rebuild`` maps touched session ids to their full new rows. ``completed``
-    gives the completed documents; sessions below ``min_documents`` wait. Rows go
-    to a folder per batch, and ``latest_rows`` keeps a session's newest version,
-    so replays and partial failures cannot leave a mixture.
+    gives the completed documents; sessions below ``min_documents`` wait. A
+    batch first writes which sessions it rebuilds and then their rows, each to a
+    folder of its own; ``latest_rows`` takes a session's newest version, so
+    replays and partial failures cannot leave a mixture, and a session rebuilt
+    to nothing is gone.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
@@ -121,7 +134,9 @@ def stream_rebuild(
         if completed is not None:
             ready = completed().groupBy(KEY).agg(F.count("*").alias("n")).filter(F.col("n") >= min_documents)
             touched = touched.join(ready, KEY, "left_semi")
-        rebuild(touched).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        marks = f"{path}/touched/batch_id={batch_id}"
+        touched.write.mode("overwrite").parquet(marks)
+        rebuild(batch.sparkSession.read.parquet(marks)).write.mode("overwrite").parquet(f"{path}/rows/batch_id={batch_id}")
 
     return (
         finished.writeStream.foreachBatch(run)
@@ -133,6 +148,6 @@ def stream_rebuild(
 
 def latest_rows(spark, path: str) -> DataFrame:
     """Every session's rows as of its newest rebuild."""
-    rows = spark.read.option("basePath", path).parquet(path)
-    newest = rows.groupBy(KEY).agg(F.max("batch_id").alias("batch_id"))
-    return rows.join(newest, [KEY, "batch_id"], "left_semi").drop("batch_id")
+    read = lambda part: spark.read.option("basePath", f"{path}/{part}").parquet(f"{path}/{part}")
+    newest = read("touched").groupBy(KEY).agg(F.max("batch_id").alias("batch_id"))
+    return read("rows").join(newest, [KEY, "batch_id"], "left_semi").drop("batch_id")
