@@ -243,13 +243,15 @@ def _battery(c, types=None):
 
 @query(
     "package_insight",
-    f"""SELECT session_id, analysis_type, title, content, source_document AS source_file, person_name, '{_DATE}' AS analysis_date,
-        {_q('|'.join(TX.INSIGHTS['role_progression'][1]))} AS tags, {_q('|'.join(TX.INSIGHTS['role_progression'][2]))} AS query_hints, entity_count, job_count, skill_count
-        FROM ({_packed('role_progression')})""",
+    " UNION ALL ".join(
+        f"""SELECT session_id, analysis_type, title, content, source_document AS source_file, person_name, '{_DATE}' AS analysis_date,
+        {_q('|'.join(TX.INSIGHTS[k][1]))} AS tags, {_q('|'.join(TX.INSIGHTS[k][2]))} AS query_hints, entity_count, job_count, skill_count
+        FROM ({_packed(k)})"""
+        for k in ANALYSIS_TYPES
+    ),
 )
 def _(c):
-    out = _battery(c, ["role_progression"])
-    return out.withColumn("tags", F.array_join("tags", "|")).withColumn("query_hints", F.array_join("query_hints", "|"))
+    return _battery(c).withColumn("tags", F.array_join("tags", "|")).withColumn("query_hints", F.array_join("query_hints", "|"))
 
 
 @query(
@@ -262,10 +264,15 @@ def _(c):
 
 @query(
     "insight_lines",
-    f"SELECT session_id, 'esco_coverage' AS analysis_type, line FROM (SELECT session_id, unnest(string_split(content, chr(10))) AS line FROM ({_COVERAGE}))",
+    " UNION ALL ".join(
+        f"SELECT session_id, '{k}' AS analysis_type, unnest(string_split(content, chr(10))) AS line FROM ({_CONTENT[k]})" for k in ANALYSIS_TYPES
+    ),
 )
 def _(c):
-    return I.insight_lines(c.career_frames(), ["esco_coverage"]).select("session_id", "analysis_type", "line")
+    c.store("job", "skill", "tech", "matches")
+    # A line that holds a line break is two lines of the text.
+    lines = I.insight_lines(c.career_frames())
+    return lines.select("session_id", "analysis_type", F.explode(F.split("line", "\n")).alias("line"))
 
 
 def _yaml(kind: str) -> str:
@@ -279,29 +286,29 @@ def _yaml(kind: str) -> str:
     )
 
 
-@query("to_markdown", f"SELECT session_id, analysis_type, {_yaml('esco_coverage')} AS markdown FROM ({_packed('esco_coverage')})")
+@query("to_markdown", " UNION ALL ".join(f"SELECT session_id, analysis_type, {_yaml(k)} AS markdown FROM ({_packed(k)})" for k in ANALYSIS_TYPES))
 def _(c):
-    return I.to_markdown(_battery(c, ["esco_coverage"]))
+    return I.to_markdown(_battery(c))
 
 
 _ENTRY = "session_id || ':' || analysis_type AS id, content AS document, analysis_type, title, source_document AS source_file, person_name, '2001-01-01' AS analysis_date, 'graph_analysis' AS source"
 
 
-@query("retrieval_entries", f"SELECT {_ENTRY} FROM ({_packed('role_progression')})")
+_ENTRIES = " UNION ALL ".join(f"SELECT {_ENTRY} FROM ({_packed(k)})" for k in ANALYSIS_TYPES)
+
+
+@query("retrieval_entries", _ENTRIES)
 def _(c):
-    return I.retrieval_entries(_battery(c, ["role_progression"]))
+    return I.retrieval_entries(_battery(c))
 
 
-@query(
-    "upsert_entries",
-    f"SELECT {_ENTRY} FROM ({_packed('role_progression')}) UNION ALL SELECT {_ENTRY} FROM ({_packed('esco_coverage')})",
-)
+@query("upsert_entries", _ENTRIES)
 def _(c):
-    new = cut(I.retrieval_entries(_battery(c, ["role_progression", "esco_coverage"])))
-    old = new.filter("analysis_type = 'esco_coverage'").unionByName(
-        new.filter("analysis_type = 'role_progression'").withColumn("document", F.lit("outdated"))
-    )
-    return I.upsert_entries(old, new.filter("analysis_type = 'role_progression'"))
+    """Half of the analyses are outdated and replaced, one is missing and added."""
+    new = cut(I.retrieval_entries(_battery(c)))
+    fresh = F.col("analysis_type").isin("role_progression", "skill_gap", "career_topology")
+    old = new.filter(~fresh).unionByName(new.filter(fresh & (F.col("analysis_type") != "skill_gap")).withColumn("document", F.lit("outdated")))
+    return I.upsert_entries(old, new.filter(fresh))
 
 
 # ---------------------------------------------------------------- prompts
