@@ -63,12 +63,34 @@ def _rolled(h: np.ndarray, k: int) -> np.ndarray:
     return _mixed(out, 0)
 
 
+def _sliding_min(a: np.ndarray, width: int) -> np.ndarray:
+    """Minimum of every ``width`` neighbours, by doubling."""
+    done = 1
+    while 2 * done <= width:
+        a, done = np.minimum(a[:-done], a[done:]), 2 * done
+    return np.minimum(a[: len(a) - (width - done)], a[width - done :]) if done < width else a
+
+
+def _lowest(a: np.ndarray, width: int, most: int = 1 << 23) -> np.ndarray:
+    """Positions of the first smallest of every ``width`` neighbours, piece by piece for very long texts."""
+    found = []
+    for start in range(0, len(a) - width + 1, most):
+        part = a[start : start + most + width - 1]
+        # Value and position in one number: the smallest names its place.
+        coded = (part & ~np.uint64(0xFFFFFF)) | np.arange(len(part), dtype=np.uint64)
+        low = _sliding_min(coded, width) & np.uint64(0xFFFFFF)
+        keep = np.ones(len(low), bool)
+        keep[1:] = low[1:] != low[:-1]
+        found.append(low[keep].astype(np.int64) + start)
+    return np.unique(np.concatenate(found))
+
+
 @dataclass(frozen=True)
 class Shape:
     """Words per paragraph, distance of starts, words per shingle, bands and rows per band."""
 
-    length: int = 24
-    gap: int = 27
+    length: int = 20
+    gap: int = 31
     shingle: int = 5
     bands: int = 2
     rows: int = 3
@@ -83,8 +105,7 @@ class Shape:
         a = a[:n]
         if len(a) < self.gap:
             return np.array([a.argmin()])
-        at = np.lib.stride_tricks.sliding_window_view(a, self.gap).argmin(1) + np.arange(len(a) - self.gap + 1)
-        at = np.unique(at)
+        at = _lowest(a, self.gap)
         # Where one word or line repeats, equal hashes follow each other: one start per gap is enough.
         fresh = np.ones(len(at), bool)
         fresh[1:] = (a[at[1:]] != a[at[:-1]]) | (np.diff(at) >= self.gap)
@@ -97,7 +118,10 @@ class Shape:
         """Content hash and band keys of the paragraphs at the given starts."""
         grams = _rolled(h, self.shingle)
         per = self.length - self.shingle + 1
-        content = _rolled(h, self.length)[at]
+        content = np.zeros(len(at), np.uint64)
+        for i in range(self.length):
+            content = (content * np.uint64(0x100000001B3)) ^ h[at + i]
+        content = _mixed(content, 0)
         keys = np.empty((len(at), self.bands), np.uint64)
         for b in range(self.bands):
             key = np.full(len(at), b, np.uint64)
@@ -110,7 +134,10 @@ class Shape:
 
     def sets(self, words: np.ndarray) -> np.ndarray:
         """Shingles of paragraphs, one row each, from their word hashes."""
-        return np.stack([_rolled(w, self.shingle) for w in words])
+        out = np.zeros((len(words), self.length - self.shingle + 1), np.uint64)
+        for i in range(self.shingle):
+            out = (out * np.uint64(0x100000001B3)) ^ words[:, i : i + out.shape[1]]
+        return _mixed(out, 0)
 
 
 def _word_hashes(text: bytes | None) -> np.ndarray:
@@ -190,45 +217,75 @@ def _near_classes(members: DataFrame, words: DataFrame, shape: Shape, similarity
     units = units.join(words, "cls").repartition("key", "p", "q").sortWithinPartitions("key", "p", "q", "part")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
-
-        def done():
-            ids, part, tables = (np.concatenate(x) for x in zip(*held))
-            left, right = part == now[1], part == now[2]
-            hits = _alike(tables[left], tables[right], similarity)
-            a, b = ids[left], ids[right]
-            root_a, root_b = a.copy(), b.copy()
-            far = np.iinfo(np.int64).max
-            while True:
-                new_a = np.minimum(root_a, np.where(hits, root_b[None, :], far).min(1))
-                new_b = np.minimum(root_b, np.where(hits, new_a[:, None], far).min(0))
-                if (new_a == root_a).all() and (new_b == root_b).all():
-                    break
-                root_a, root_b = new_a, new_b
-            ids, roots = np.concatenate([a, b]), np.concatenate([root_a, root_b])
-            keep = ids != roots
-            yield pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(roots[keep])], names=["cls", "root"])
-
+        rest: tuple | None = None
         for batch in batches:
-            key = np.stack([batch.column(c).to_numpy() for c in ("key", "p", "q")])
-            ids, part = batch.column("cls").to_numpy(), batch.column("part").to_numpy()
-            words_now = np.array([np.frombuffer(w.as_py(), "<u4") for w in batch.column("words")]).reshape(len(ids), -1)
-            cuts = np.flatnonzero((np.diff(key) != 0).any(0)) + 1
-            for s, e in zip([0, *cuts], [*cuts, len(ids)]):
-                if s == e:
-                    continue
-                name = tuple(key[:, s])
-                if name != now:
-                    if held:
-                        yield from done()
-                    now, held = name, []
-                held.append((ids[s:e], part[s:e], shape.sets(words_now[s:e].astype(np.uint64))))
-        if held:
-            yield from done()
+            key = np.stack([batch.column(c).to_numpy() for c in ("key", "p", "q")], axis=1)
+            words = np.frombuffer(b"".join(batch.column("words").to_pylist()), "<u4").reshape(len(key), -1)
+            rows = key, batch.column("cls").to_numpy(), batch.column("part").to_numpy(), words
+            if rest is not None:
+                rows = tuple(np.concatenate(x) for x in zip(rest, rows))
+            # The last unit may go on in the next batch.
+            last = np.flatnonzero((np.diff(rows[0], axis=0) != 0).any(1))
+            cut_at = last[-1] + 1 if len(last) else 0
+            rest = tuple(x[cut_at:] for x in rows)
+            if cut_at:
+                yield from _forest_of_units(*(x[:cut_at] for x in rows), shape, similarity)
+        if rest is not None and len(rest[0]):
+            yield from _forest_of_units(*rest, shape, similarity)
 
     return batches_of(units.select("key", "p", "q", "part", "cls", "words"), compare, "cls long, root long")
 
 
+def _roots(n: int, i: np.ndarray, j: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Smallest id that each of ``n`` nodes reaches over the links (i, j)."""
+    roots = ids.copy()
+    while True:
+        low = np.minimum(roots[i], roots[j])
+        new = roots.copy()
+        np.minimum.at(new, i, low)
+        np.minimum.at(new, j, low)
+        if (new == roots).all():
+            return roots
+        roots = new
+
+
+def _forest_of_units(key, cls, part, words, shape: Shape, similarity: float, small: int = 32, step: int = 20_000) -> Iterator[pa.RecordBatch]:
+    """``cls, root`` of whole units: pairs of small ones all at once, a large one by its inverted list."""
+    tables = np.sort(shape.sets(words.astype(np.uint64)), axis=1)
+    first = np.flatnonzero(np.concatenate([[True], (np.diff(key, axis=0) != 0).any(1)]))
+    sizes = np.diff([*first, len(key)])
+    links: list[tuple[np.ndarray, np.ndarray]] = []
+    for size in np.unique(sizes[sizes <= small]):
+        if size < 2:
+            continue
+        at = first[sizes == size]
+        x, y = np.triu_indices(size, 1)
+        i, j = (at[:, None] + x).ravel(), (at[:, None] + y).ravel()
+        cross = (part[i] != part[j]) | (key[i, 1] == key[i, 2])  # within one piece only where the unit is that piece
+        i, j = i[cross], j[cross]
+        for s in range(0, len(i), step):
+            a, b = i[s : s + step], j[s : s + step]
+            alike = _jaccard(tables[a], tables[b]) >= similarity - 1e-9
+            links.append((a[alike], b[alike]))
+    for s, size in zip(first[sizes > small], sizes[sizes > small]):
+        left = np.flatnonzero(part[s : s + size] == key[s, 1]) + s
+        right = np.flatnonzero(part[s : s + size] == key[s, 2]) + s
+        i, j = np.nonzero(_alike(tables[left], tables[right], similarity))
+        links.append((left[i], right[j]))
+    if links:
+        i, j = (np.concatenate(x) for x in zip(*links))
+        roots = _roots(len(cls), i, j, cls)
+        pairs = _unique_pairs(np.column_stack([cls, roots])[cls != roots])
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["cls", "root"])
+
+
+def _jaccard(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Jaccard similarity of the sets in the rows of two sorted tables, row by row."""
+    new_a, new_b = (np.concatenate([np.ones((len(x), 1), bool), x[:, 1:] != x[:, :-1]], axis=1) for x in (a, b))
+    both = ((a[:, :, None] == b[:, None, :]).any(2) & new_a).sum(1)
+    return both / (new_a.sum(1) + new_b.sum(1) - both)
+
+
 def repeated_passages(
     docs: DataFrame,
     similarity: float = 0.8,
