@@ -290,7 +290,7 @@ def _rows(df: DataFrame, id_col: str, parts: list[Column], lists: list[tuple[str
     )
 
 
-def provenance(with_doc: bool = True) -> list[Column]:
+def provenance() -> list[Column]:
     return [
         _lit(V.CONFIDENCE, F.col("confidence"), V.XSD_DOUBLE),
         _lit(V.SOURCE_DOC, F.col("source_doc")),

@@ -137,13 +137,13 @@ def session_stats(sessions: DataFrame, documents: DataFrame, graph_counts: DataF
     )
     hint = (
         F.when(F.col("complete") > 0, F.lit(None))
-        .when(F.col("total_documents") == 0, "Upload a resume document to this session first.")
-        .when(F.col("processing") + F.col("pending") > 0, "Extraction is still running — retry in a few seconds.")
+        .when(F.col("total_documents") == 0, "This session has no document yet: add one.")
+        .when(F.col("processing") + F.col("pending") > 0, "Documents are still being read: try again later.")
         .when(
             F.col("error") > 0,
-            "All documents failed extraction. Check each document's error_message via GET /documents/<id>.",
+            "No document could be read: see the error message of each.",
         )
-        .otherwise("Upload a resume document to this session first.")
+        .otherwise("This session has no document yet: add one.")
     )
     counts = [c for c in graph_counts.columns if c != KEY]
     out = sessions.select(KEY).join(docs, KEY, "left").join(graph_counts, KEY, "left")

@@ -95,7 +95,7 @@ def lookup(labels: DataFrame, taxonomy: DataFrame) -> DataFrame:
     Labels are reduced to distinct keys before any matching.
     """
     keys = labels.select(case_key("label").alias("label")).filter("label <> ''").distinct()
-    hits = drop_circular(broader_of(best_match(match_candidates(keys, taxonomy)), taxonomy))
+    hits = drop_circular(broader_of(best_match(match_candidates(keys, taxonomy, limit=None)), taxonomy))
     return keys.join(hits, "label", "left").select(
         F.col("label").alias("label_key"), "concept_uri", "preferred_label", "broader_uri", "broader_label"
     )

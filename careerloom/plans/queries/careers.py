@@ -145,19 +145,19 @@ def _(c):
 
 @query("best_match", "SELECT label, concept_uri, preferred_label, CAST(score AS INTEGER) AS score FROM best")
 def _(c):
-    return J.best_match(J.match_candidates(c.taxonomy_labels, c.taxonomy))
+    return J.best_match(J.match_candidates(c.taxonomy_labels, c.taxonomy, limit=None))
 
 
 @query("broader_of", "SELECT label, concept_uri, broader_uri, broader_label FROM broader")
 def _(c):
-    return J.broader_of(J.best_match(J.match_candidates(c.taxonomy_labels, c.taxonomy)), c.taxonomy).select(
+    return J.broader_of(J.best_match(J.match_candidates(c.taxonomy_labels, c.taxonomy, limit=None)), c.taxonomy).select(
         "label", "concept_uri", "broader_uri", "broader_label"
     )
 
 
 @query("drop_circular", "SELECT label, concept_uri, preferred_label, broader_uri, broader_label FROM uncircular")
 def _(c):
-    hits = J.broader_of(J.best_match(J.match_candidates(c.taxonomy_labels, c.taxonomy)), c.taxonomy)
+    hits = J.broader_of(J.best_match(J.match_candidates(c.taxonomy_labels, c.taxonomy, limit=None)), c.taxonomy)
     return J.drop_circular(hits).select("label", "concept_uri", "preferred_label", "broader_uri", "broader_label")
 
 

@@ -6,7 +6,6 @@ from careerloom.functions.text import EMAIL_PATTERN, SECRET_PATTERNS
 from careerloom.operators import evaluate as K
 from careerloom.operators import view
 from careerloom.plans.queries.registry import query
-from careerloom.runtime import cut
 
 _FIELDS = ("label", "name", "title", "degree_type", "field_of_study", "text")
 

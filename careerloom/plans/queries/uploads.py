@@ -89,8 +89,8 @@ def _(c):
     "session_stats",
     """SELECT session_id, coalesce(n, 0) AS total_documents, coalesce(pending, 0) AS pending, coalesce(processing, 0) AS processing, coalesce(complete, 0) AS complete, coalesce(error, 0) AS error,
               CASE WHEN complete > 0 THEN coalesce(k, 0) ELSE 0 END AS skill_count,
-              CASE WHEN complete > 0 THEN NULL WHEN coalesce(n, 0) = 0 THEN 'Upload a resume document to this session first.' WHEN pending + processing > 0 THEN 'Extraction is still running — retry in a few seconds.'
-                   ELSE 'All documents failed extraction. Check each document''s error_message via GET /documents/<id>.' END AS hint
+              CASE WHEN complete > 0 THEN NULL WHEN coalesce(n, 0) = 0 THEN 'This session has no document yet: add one.' WHEN pending + processing > 0 THEN 'Documents are still being read: try again later.'
+                   ELSE 'No document could be read: see the error message of each.' END AS hint
        FROM session LEFT JOIN (SELECT session_id, count(*) AS n, count(*) FILTER (status = 'pending') AS pending, count(*) FILTER (status = 'processing') AS processing,
               count(*) FILTER (status = 'complete') AS complete, count(*) FILTER (status = 'error') AS error FROM doc_status GROUP BY 1) USING (session_id)
        LEFT JOIN (SELECT source AS session_id, count(*) AS k FROM documents GROUP BY 1) USING (session_id)""",

@@ -93,7 +93,7 @@ def stream_dedup_uploads(uploads: DataFrame, path: str, checkpoint: str) -> Stre
 
 
 def event_counts(events: DataFrame, width: str = "1 hour", delay: str | None = "10 minutes") -> DataFrame:
-    """Events per kind and window, with the documents that had an error."""
+    """Events per kind and window."""
     df = events.withWatermark("ts", delay) if delay else events
     return df.groupBy(F.window("ts", width).alias("w"), "event").agg(F.count("*").alias("n_events")).select(
         F.col("w.start").alias("window_start"), "event", "n_events"
