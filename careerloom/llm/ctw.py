@@ -182,6 +182,43 @@ def _merged(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return keys, np.bincount(where, np.concatenate([n for _, n in found]), len(keys)).astype(np.int64)
 
 
+def _distinct(texts: list[bytes], train: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Distinct pairs and words of a block's texts, sorted, with their counts in the training texts."""
+    found: dict[int, list] = {PAIRS: [], WORDS: []}
+    for start, end in _runs(texts, 2 << 20):
+        for learn in (True, False):
+            mine = [t for t, f in zip(texts[start:end], train[start:end]) if f == learn]
+            if mine:
+                for kind, keys in ((PAIRS, pair_keys(mine)), (WORDS, np.concatenate([_word_keys(t) for t in mine]))):
+                    keys, n = np.unique(keys, return_counts=True)
+                    found[kind].append((keys, n * int(learn)))
+        for kind in found:
+            if len(found[kind]) > 8:
+                found[kind] = [_merged(found[kind])]
+    return {kind: _merged(found[kind]) for kind in found}
+
+
+def _runs(texts: list[bytes], most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of at most ``most`` bytes together, or of one longer text."""
+    start = 0
+    while start < len(texts):
+        end, n = start, 0
+        while end < len(texts) and (end == start or n + len(texts[end]) <= most):
+            n += len(texts[end])
+            end += 1
+        yield start, end
+        start = end
+
+
+def _dealt(kind: int, keys: np.ndarray, parts: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Parts and the positions of their keys, in key order."""
+    part = _part_of(kind, keys, parts)
+    order = np.argsort(part, kind="stable")
+    cuts = np.searchsorted(part[order], np.arange(parts + 1))
+    for p in np.unique(part).tolist():
+        yield p, order[cuts[p] : cuts[p + 1]]
+
+
 def _gather(parts: int, block_bytes: int):
     """A task's texts in blocks: the texts themselves, packed, and every block's counts by part."""
 
@@ -190,48 +227,11 @@ def _gather(parts: int, block_bytes: int):
         held: list[tuple] = []
         size = 0
 
-        def counted(ids, flags, texts):
-            step, start = 2 << 20, 0
-            found = {PAIRS: [], WORDS: []}
-            while start < len(texts):
-                end, n = start, 0
-                while end < len(texts) and (end == start or n + len(texts[end]) <= step):
-                    n += len(texts[end])
-                    end += 1
-                train = np.array(flags[start:end], bool)
-                for kind in (PAIRS, WORDS):
-                    for learn in (True, False):
-                        mine = [t for t, f in zip(texts[start:end], train) if f == learn]
-                        if mine:
-                            keys = pair_keys(mine) if kind == PAIRS else np.concatenate([_word_keys(t) for t in mine])
-                            keys, n_of = np.unique(keys, return_counts=True)
-                            found[kind].append((keys, n_of * int(learn)))
-                    if len(found[kind]) > 8:
-                        found[kind] = [_merged(found[kind])]
-                start = end
-            for kind in (PAIRS, WORDS):
-                keys, n = _merged(found[kind])
-                part = _part_of(kind, keys, parts)
-                order = np.argsort(part, kind="stable")
-                cuts = np.searchsorted(part[order], np.arange(parts + 1))
-                out = []
-                for p in range(parts):
-                    at = order[cuts[p] : cuts[p + 1]]
-                    if len(at):
-                        out.append((kind, p, base + blocks, len(at), _packed_keys(keys[at]), _packed(n[at].astype(np.uint32))))
-                if out:
-                    yield _rows(out)
-
         def block():
             nonlocal held, size, blocks
             if held:
                 ids, flags, texts = zip(*held)
-                start = 0
-                while start < len(texts):
-                    end, n = start, 0
-                    while end < len(texts) and (end == start or n + len(texts[end]) <= 1 << 20):
-                        n += len(texts[end])
-                        end += 1
+                for start, end in _runs(texts, 1 << 20):
                     batch = pa.RecordBatch.from_arrays(
                         [pa.array(ids[start:end], pa.int64()), pa.array(flags[start:end], pa.bool_()), pa.array(texts[start:end], pa.binary())],
                         names=["doc_id", "train", "text"],
@@ -239,9 +239,13 @@ def _gather(parts: int, block_bytes: int):
                     sink = pa.BufferOutputStream()
                     with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
                         out.write_batch(batch)
-                    yield _rows([(TEXTS, -1, base + blocks, end - start, b"", sink.getvalue().to_pybytes())])
-                    start = end
-                yield from counted(ids, flags, texts)
+                    yield _rows([(TEXTS, start, base + blocks, end - start, b"", sink.getvalue().to_pybytes())])
+                for kind, (keys, n) in _distinct(texts, np.array(flags, bool)).items():
+                    out = [
+                        (kind, p, base + blocks, len(at), _packed_keys(keys[at]), _packed(n[at].astype(np.uint32)))
+                        for p, at in _dealt(kind, keys, parts)
+                    ]
+                    yield _rows(out)
                 held, size, blocks = [], 0, blocks + 1
 
         for batch in batches:
@@ -276,7 +280,7 @@ def score(
     learn: Column,
     id_col: str = "doc_id",
     text_col: str = "text",
-    block_bytes: int = 8 << 20,
+    block_bytes: int = 14 << 20,
     parts: int | None = None,
 ) -> DataFrame:
     """``doc_id, n_tokens, n_known, train_tokens, base_score, score`` of every row, whole texts.
@@ -328,7 +332,8 @@ def score(
                 totals = np.array([n.sum(), (n > 0).sum()], np.int64)
                 yield _rows([(WORDS, rows[0][1], -1, 2, b"", totals.tobytes())])
             for r, k in zip(rows, asked):
-                yield _rows([(r[0], r[1], r[2], r[3], r[4], _packed(values[np.searchsorted(keys, k)]))])
+                # In the order of the block's own keys, which it can make again from its texts.
+                yield _rows([(r[0], r[1], r[2], r[3], b"", _packed(values[np.searchsorted(keys, k)]))])
 
     asked = gathered.filter(F.col("kind") != TEXTS).repartition(2 * parts, "kind", "part").sortWithinPartitions("kind", "part", "block")
     answers = cut(batches_of(asked, answer, SCHEMA))
@@ -337,40 +342,50 @@ def score(
     n_train, n_distinct = (int(x) for x in np.sum(totals, axis=0)) if totals else (0, 0)
     scale = np.log10(n_train + n_distinct + 1)
 
+    def judged_block(values: dict[tuple[int, int], np.ndarray], packed: list[bytes]) -> Iterator[pa.RecordBatch]:
+        tables = [pa.ipc.open_stream(x).read_all().combine_chunks() for x in packed]
+        texts = [t for x in tables for t in x.column("text").to_pylist()]
+        train = np.concatenate([x.column("train").to_numpy() for x in tables])
+        value_of = {}
+        for kind, (keys, _) in _distinct(texts, train).items():
+            v = np.empty(len(keys))
+            for p, at in _dealt(kind, keys, parts):
+                v[at] = values[kind, p]
+            value_of[kind] = keys, v
+        for x in tables:
+            texts = x.column("text").to_pylist()
+            keys, v = value_of[PAIRS]
+            cuts = np.cumsum([0] + [len(t) + 1 for t in texts])[:-1]
+            scores = np.add.reduceat(v[np.searchsorted(keys, pair_keys(texts))], cuts)
+            words = [_word_keys(t) for t in texts]
+            sizes = np.array([len(w) for w in words])
+            cuts = np.cumsum(sizes) - sizes
+            keys, v = value_of[WORDS]
+            c = v[np.searchsorted(keys, np.concatenate(words))]
+            base = np.add.reduceat(np.log10(c + 1), cuts) - sizes * scale
+            known = np.add.reduceat((c > 0).astype(np.int64), cuts)
+            yield pa.RecordBatch.from_arrays(
+                [x.column("doc_id").combine_chunks(), x.column("train").combine_chunks(), *map(pa.array, (sizes.astype(np.int64), known, base, scores))],
+                names=["doc_id", "train", "n_tokens", "n_known", "base_score", "score"],
+            )
+
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, tables, raw = None, {}, {PAIRS: [], WORDS: []}
+        now, values, packed = None, {}, []
         for batch in batches:
             for row in zip(*(batch.column(c) for c in _NAMES)):
-                kind, _, block, n, keys, data = (x.as_py() for x in row)
+                kind, part, block, n, _, data = (x.as_py() for x in row)
                 if block != now:
-                    now, tables, raw = block, {}, {PAIRS: [], WORDS: []}
-                if kind != TEXTS:
-                    raw[kind].append((_unpacked_keys(keys, n), _unpacked(data, np.float32 if kind == PAIRS else np.int64, n)))
-                    continue
-                for of in (PAIRS, WORDS):
-                    if raw[of]:
-                        k, v = (np.concatenate(x) for x in zip(*raw[of]))
-                        order = np.argsort(k)
-                        tables[of], raw[of] = (k[order], v[order].astype(float)), []
-                texts = pa.ipc.open_stream(data).read_all().combine_chunks()
-                raw_texts = texts.column("text").to_pylist()
-                pairs = pair_keys(raw_texts)
-                k, v = tables[PAIRS]
-                cuts = np.cumsum([0] + [len(t) + 1 for t in raw_texts])[:-1]
-                scores = np.add.reduceat(v[np.searchsorted(k, pairs)], cuts)
-                words = [_word_keys(t) for t in raw_texts]
-                sizes = np.array([len(w) for w in words])
-                cuts = np.cumsum(sizes) - sizes
-                k, v = tables[WORDS]
-                c = v[np.searchsorted(k, np.concatenate(words))]
-                base = np.add.reduceat(np.log10(c + 1), cuts) - sizes * scale
-                known = np.add.reduceat((c > 0).astype(np.int64), cuts)
-                yield pa.RecordBatch.from_arrays(
-                    [texts.column("doc_id").combine_chunks(), texts.column("train").combine_chunks(), *map(pa.array, (sizes.astype(np.int64), known, base, scores))],
-                    names=["doc_id", "train", "n_tokens", "n_known", "base_score", "score"],
-                )
+                    if packed:
+                        yield from judged_block(values, packed)
+                    now, values, packed = block, {}, []
+                if kind == TEXTS:
+                    packed.append(data)
+                else:
+                    values[kind, part] = _unpacked(data, np.float32 if kind == PAIRS else np.int64, n)
+        if packed:
+            yield from judged_block(values, packed)
 
     together = gathered.filter(F.col("kind") == TEXTS).union(answers.filter("block >= 0"))
-    together = together.repartition("block").sortWithinPartitions("block", "kind")
+    together = together.repartition("block").sortWithinPartitions("block", "kind", "part")
     judged = batches_of(together, judge, "doc_id long, train boolean, n_tokens long, n_known long, base_score double, score double")
     return judged.select("doc_id", "train", "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"), "base_score", "score")
