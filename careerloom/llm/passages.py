@@ -352,6 +352,8 @@ def repeated_passages(
     members = cut(_colliding(found))
     repeated = found.groupBy("cls").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo <> hi")
     wanted = repeated.select("cls", F.lit(0).alias("near")).union(members.select("cls", F.lit(1))).groupBy("cls").agg(F.max("near").alias("near"))
+    # Written before they are joined: only then can Spark split the rows of a paragraph that very many documents have.
+    wanted = cut(wanted)
     spots = cut(found.select("cls", "doc_id", "loc").join(wanted, "cls"))
     one = spots.filter("near = 1").groupBy("cls").agg(F.min(F.struct("doc_id", "loc")).alias("one")).select("cls", "one.*")
     words = look_up(one.select("doc_id", "loc"), 0, shape.length).join(one, ["doc_id", "loc"]).select("cls", "words")
@@ -359,6 +361,7 @@ def repeated_passages(
     parts = components(forest, "cls", "root").withColumnRenamed("node", "cls")
     placed = spots.join(parts, "cls", "left").select("doc_id", "loc", F.coalesce("component", "cls").alias("comp"))
     first = placed.groupBy("comp").agg(F.min(F.struct("doc_id", "loc")).alias("lead"), F.max("doc_id").alias("last")).filter("lead.doc_id <> last")
+    first = cut(first)
     pos = F.col("loc").bitwiseAND(0xFFFFFFFF)
     k_pos = F.col("k_loc").bitwiseAND(0xFFFFFFFF)
     hits = (
