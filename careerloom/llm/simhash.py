@@ -95,7 +95,7 @@ class GrayTree:
         self.width = width
 
     def search(
-        self, queries: np.ndarray, reach: int, head: int = 64, head_reach: int = 64, step: int = 2048
+        self, queries: np.ndarray, reach: int, head: int = 64, head_reach: int = 64, step: int = 512
     ) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Pairs (position of the query, position of the code), by query.
 
@@ -216,17 +216,18 @@ def links(
         now, owned, ids, sketches, tree, forest = None, [], None, None, None, None
 
         def found(q_fp, q_ids, q_sketches, inside):
-            for qi, at in tree.search(q_fp, reach, head, head_reach):
-                keep = ids[at] != q_ids[qi]
-                if inside:
-                    keep &= ids[at] > q_ids[qi]
-                if least_match is not None:
-                    alike = 1 - np.bitwise_count(q_sketches[qi] ^ sketches[at]).sum(1, dtype=np.int64) / (64 * sketches.shape[1])
-                    keep &= alike >= least_match
-                if keep.any():
-                    # The frontier keeps the queries' order, so equal ones stand together.
-                    a, b = forest.joined(q_ids, qi[keep], at[keep])
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            for qis, ats in tree.search(q_fp, reach, head, head_reach):
+                # In a dense group nearly all pairs are close: they are looked at in pieces of bounded size.
+                for start in range(0, len(qis), 1 << 18):
+                    qi, at = qis[start : start + (1 << 18)], ats[start : start + (1 << 18)]
+                    keep = ids[at] > q_ids[qi] if inside else ids[at] != q_ids[qi]
+                    if least_match is not None:
+                        alike = 1 - np.bitwise_count(q_sketches[qi] ^ sketches[at]).sum(1, dtype=np.int64) / (64 * sketches.shape[1])
+                        keep &= alike >= least_match
+                    if keep.any():
+                        # The frontier keeps the queries' order, so equal ones stand together.
+                        a, b = forest.joined(q_ids, qi[keep], at[keep])
+                        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
         def grown():
             nonlocal tree, forest, ids, sketches, owned
