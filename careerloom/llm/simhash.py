@@ -154,15 +154,17 @@ def links(
     reach: int = 2,
     tables: int = 1,
     least_match: float | None = None,
-    part_rows: int = 2048,
+    part_rows: int = 65536,
+    least_parts: int = 16,
     most_parts: int = 65536,
 ) -> DataFrame:
     """Pairs ``a, b`` of ids that connect all fingerprints that differ in at most ``reach`` bits.
 
     ``classes`` has one row per fingerprint: ``fp`` and ``rep``, and with
-    ``least_match`` a ``sketch``, in which that share of bits must agree too. A
-    part holds ``part_rows`` fingerprints, more only beyond ``most_parts``
-    parts; the parts' top nodes, 20 bytes each and at most ``most_parts``, are
+    ``least_match`` a ``sketch``, in which that share of bits must agree too. There
+    are at least ``least_parts`` parts, and a part holds at most ``part_rows``
+    fingerprints, more only beyond ``most_parts`` parts. Few parts matter: a
+    fingerprint visits all parts that may hold a partner. The parts' top nodes, 20 bytes each and at most ``most_parts``, are
     the only thing that is broadcast. The search is exact, without a cap on
     partners. A wide reach needs several ``tables``: in each the fingerprint is
     rotated, and one of its equal segments, put first, holds at most its share
@@ -172,7 +174,7 @@ def links(
     spark = classes.sparkSession
     head, head_reach = (64, reach) if tables == 1 else (64 // tables, reach // tables)
     sketch = F.col("sketch") if least_match is not None else F.lit(b"")
-    n_parts = min(most_parts, max(1, -(-classes.count() // part_rows)))
+    n_parts = min(most_parts, max(least_parts, -(-classes.count() // part_rows)))
     turns = F.explode(F.array(*(F.lit(t) for t in range(tables)))).alias("tab")
     turned = classes.select("fp", "rep", sketch.alias("sketch"), turns).select("rep", "sketch", "tab", _rotated(F.col("fp"), tables).alias("fp"))
     ranked = turned.withColumn("rank", gray_rank(F.col("fp"))).repartitionByRange(n_parts * tables, "tab", "rank")
