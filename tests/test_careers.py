@@ -170,7 +170,7 @@ def test_streams_equal_batch_and_survive_restart(spark, tmp_path):
     assert rows(feeds.current_status(spark, out)) == rows(want)
 
     feeds.stream_dedup_uploads(
-        stream().select("session_id", F.md5("payload").alias("file_hash"), F.col("ts").alias("upload_ts")), out + "2", ckpt + "2", "30 days"
+        stream().select("session_id", F.md5("payload").alias("file_hash"), F.col("ts").alias("upload_ts")), out + "2", ckpt + "2"
     ).awaitTermination()
     assert spark.read.parquet(out + "2").count() == df.select("session_id", "payload").distinct().count()
 
