@@ -2,15 +2,17 @@
 
 Passages repeat in the middle of lines, so the text itself says where a
 paragraph starts: at the words whose hash is the smallest of ``gap`` in a row.
-A paragraph is ``length`` words from such a start. A passage of at least
-``length + gap`` words thus holds a whole paragraph with the same start
-wherever it stands. Paragraphs get MinHash bands over five-word shingles;
-different paragraphs that collide in a band are compared by exact Jaccard, and
-equal ones need no comparison. Two bands of three rows find a pair of similarity
-0.8 with probability 0.76, so a passage of two such paragraphs with 0.94; equal
-paragraphs are always found. Of every component of paragraphs the first
-occurrence stays. The others are joined to stretches, extended word by word
-along the first one, and a run of ``least`` words or more is a repeated passage.
+A passage of ``length + gap - 1`` words (50) thus holds a whole paragraph of
+``length`` words with the same start wherever it stands. Equal paragraphs are
+compared with their surroundings: each run of ``least`` words around them is
+looked up by its own first occurrence, so every exact repeat of that size is found.
+
+For near copies, the ``near`` words from a start get MinHash bands over five-word
+shingles; different ones that collide in a band are compared by exact Jaccard.
+In 50 words one changed inner word leaves a similarity of 0.804. Three bands of
+two rows find a pair of similarity 0.8 with probability 0.95. Of every component
+the first occurrence stays; the others are joined to stretches and extended word
+by word along it. A stretch of ``least`` words or more is a repeated passage.
 """
 
 from __future__ import annotations
@@ -85,19 +87,35 @@ def _lowest(a: np.ndarray, width: int, most: int = 1 << 23) -> np.ndarray:
     return np.unique(np.concatenate(found))
 
 
+class _Windows:
+    """Hashes of any runs of words of one text, each in constant time."""
+
+    def __init__(self, h: np.ndarray):
+        base, back = 0x5851F42D4C957F2D, pow(0x5851F42D4C957F2D, -1, 2**64)
+        powers = np.full(len(h) + 1, base, np.uint64)
+        self.back = np.full(len(h) + 1, back, np.uint64)
+        powers[0] = self.back[0] = 1
+        powers, self.back = np.cumprod(powers), np.cumprod(self.back)
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mixed(h, 5) * powers[:-1])])
+
+    def between(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return _mixed((self.sums[end] - self.sums[start]) * self.back[start], 6)
+
+
 @dataclass(frozen=True)
 class Shape:
-    """Words per paragraph, distance of starts, words per shingle, bands and rows per band."""
+    """Words per paragraph, distance of starts, words per shingle, words per paragraph compared by similarity, bands and rows per band."""
 
     length: int = 20
     gap: int = 31
     shingle: int = 5
-    bands: int = 2
-    rows: int = 3
+    near: int = 50
+    bands: int = 3
+    rows: int = 2
     anchor: int = 3
 
     def starts(self, h: np.ndarray) -> np.ndarray:
-        """Starts of whole paragraphs: the smallest of ``gap`` hashes in a row."""
+        """Starts of whole paragraphs: the first smallest of ``gap`` hashes in a row, whatever surrounds them."""
         a = _rolled(h, self.anchor)
         n = len(h) - self.length + 1
         if n <= 0:
@@ -105,36 +123,32 @@ class Shape:
         a = a[:n]
         if len(a) < self.gap:
             return np.array([a.argmin()])
-        at = _lowest(a, self.gap)
-        # Where one word or line repeats, equal hashes follow each other: one start per gap is enough.
-        fresh = np.ones(len(at), bool)
-        fresh[1:] = (a[at[1:]] != a[at[:-1]]) | (np.diff(at) >= self.gap)
-        run = np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))
-        far = (at - at[run]) // self.gap
-        fresh[1:] |= far[1:] != far[:-1]
-        return at[fresh]
-
-    def signatures(self, h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Content hash and band keys of the paragraphs at the given starts."""
-        grams = _rolled(h, self.shingle)
-        per = self.length - self.shingle + 1
-        content = np.zeros(len(at), np.uint64)
-        for i in range(self.length):
-            content = (content * np.uint64(0x100000001B3)) ^ h[at + i]
-        content = _mixed(content, 0)
+        return _lowest(a, self.gap)
+
+    def signatures(self, h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Hash of the paragraphs at the given starts, of paragraph and surroundings, and words on the right; then, for
+        starts with ``near`` words, hash and band keys of these."""
+        windows = _Windows(h)
+        room = np.minimum(self.gap, len(h) - at - self.length)
+        left = np.minimum(self.gap, at)
+        content = windows.between(at, at + self.length)
+        around = windows.between(at - left, at + self.length + room) ^ _mixed((left * 64 + room).astype(np.uint64), 7)
+        at = at[at + self.near <= len(h)]
         keys = np.empty((len(at), self.bands), np.uint64)
-        for b in range(self.bands):
-            key = np.full(len(at), b, np.uint64)
-            for r in range(self.rows):
-                m = _mixed(grams, 1 + b * self.rows + r)
-                least = np.lib.stride_tricks.sliding_window_view(m, per)[at].min(1)
-                key = _mixed(key * np.uint64(31) + least, 77)
-            keys[:, b] = key
-        return content.view(np.int64), keys.view(np.int64)
+        if len(at):
+            grams = _rolled(h, self.shingle)
+            for b in range(self.bands):
+                key = np.full(len(at), b, np.uint64)
+                for r in range(self.rows):
+                    m = _mixed(grams, 1 + b * self.rows + r)
+                    key = _mixed(key * np.uint64(31) + _sliding_min(m, self.near - self.shingle + 1)[at], 77)
+                keys[:, b] = key
+        near = windows.between(at, at + self.near)
+        return content.view(np.int64), around.view(np.int64), room.astype(np.int8), near.view(np.int64), keys.view(np.int64)
 
     def sets(self, words: np.ndarray) -> np.ndarray:
         """Shingles of paragraphs, one row each, from their word hashes."""
-        out = np.zeros((len(words), self.length - self.shingle + 1), np.uint64)
+        out = np.zeros((len(words), self.near - self.shingle + 1), np.uint64)
         for i in range(self.shingle):
             out = (out * np.uint64(0x100000001B3)) ^ words[:, i : i + out.shape[1]]
         return _mixed(out, 0)
@@ -298,7 +312,8 @@ def repeated_passages(
     """``doc_id, start_word, n_words, removed, kept_doc_id``: one row per repeated passage of a document.
 
     ``removed`` passages occur before, in the document ``kept_doc_id``; the
-    other rows are those first occurrences. First is the smallest id. Passages
+    other rows are those first occurrences, as far as at least ``least`` of
+    their words are not removed themselves. First is the smallest id. Passages
     that one document repeats by itself are left alone. Documents without
     repeated passages, empty and null texts, and rows with a null id have no
     rows. Of rows that repeat id and text one speaks for all; rows that share
@@ -315,68 +330,119 @@ def repeated_passages(
                 h = _word_hashes(text.as_py())
                 at = shape.starts(h)
                 if len(at):
-                    content, keys = shape.signatures(h, at)
-                    out.append((np.full(len(at), ids[i]), (hashes[i] << 32) | at, content, keys))
+                    content, around, room, near, keys = shape.signatures(h, at)
+                    # Starts too close to the end of the text have no paragraph to compare by similarity.
+                    none = len(at) - len(near)
+                    near = np.concatenate([near, np.zeros(none, np.int64)])
+                    sizes = np.repeat([shape.bands, 0], [len(keys), none])
+                    out.append((np.full(len(at), ids[i]), (hashes[i] << 32) | at, content, around, room, near, sizes, keys.ravel()))
                     held += len(at)
                 if out and (held >= 50_000 or i + 1 == batch.num_rows):
-                    a, b, c, d = (np.concatenate(x) for x in zip(*out))
-                    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(d) + 1, dtype=np.int32) * shape.bands), pa.array(d.ravel()))
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(c), lists], names=["doc_id", "loc", "cls", "keys"])
+                    *columns, sizes, keys = (np.concatenate(x) for x in zip(*out))
+                    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(keys))
+                    names = ["doc_id", "loc", "cls", "around", "room", "near", "keys"]
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, columns), lists], names=names)
                     out, held = [], 0
 
     # loc: the text's hash and the paragraph's first word in one number.
-    found = cut(batches_of(rows.select("doc_id", "t", "text"), scan, "doc_id long, loc long, cls long, keys array<long>"))
+    found = cut(batches_of(
+        rows.select("doc_id", "t", "text"), scan, "doc_id long, loc long, cls long, around long, room byte, near long, keys array<long>"
+    ))
 
-    def look_up(spots: DataFrame, before: int, after: int) -> DataFrame:
-        """``words``: word hashes from ``before`` words before each of the spots ``doc_id, loc`` to ``after`` behind it."""
+    def read_at(spots: DataFrame, value, kind: str) -> DataFrame:
+        """``doc_id, loc, words``: what ``value`` makes of the word hashes of a text and each of the places in it."""
 
         def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                ids, hashes = batch.column("doc_id").to_pylist(), batch.column("t").to_pylist()
+                ids = batch.column("doc_id").to_pylist()
                 out = []
                 for i, (text, at) in enumerate(zip(batch.column("text"), batch.column("at"))):
-                    h = _word_hashes(text.as_py()).astype("<u4")
-                    for loc in at.as_py():
-                        pos = loc & 0xFFFFFFFF
-                        out.append((ids[i], loc, h[max(0, pos - before) : pos + after].tobytes()))
+                    locs = np.array(at.as_py(), np.int64)
+                    out.extend(zip([ids[i]] * len(locs), locs.tolist(), value(_word_hashes(text.as_py()), locs & 0xFFFFFFFF)))
                     if out and (len(out) >= 20_000 or i + 1 == batch.num_rows):
-                        kinds = (pa.int64(), pa.int64(), pa.binary())
+                        kinds = (pa.int64(), pa.int64(), pa.binary() if kind == "binary" else pa.list_(pa.int64()))
                         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["doc_id", "loc", "words"])
                         out = []
 
         at = spots.distinct().groupBy("doc_id", F.shiftright("loc", 32).cast("int").alias("t")).agg(F.collect_list("loc").alias("at"))
         joined = rows.join(at, ["doc_id", "t"]).select("doc_id", "t", "text", "at")
-        return batches_of(joined, look, "doc_id long, loc long, words binary").dropDuplicates(["doc_id", "loc"])
-
-    # Paragraphs that more than one document has, and those that share a band with another one.
-    members = cut(_colliding(found))
-    repeated = found.groupBy("cls").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo <> hi")
-    wanted = repeated.select("cls", F.lit(0).alias("near")).union(members.select("cls", F.lit(1))).groupBy("cls").agg(F.max("near").alias("near"))
-    # Written before they are joined: only then can Spark split the rows of a paragraph that very many documents have.
-    wanted = cut(wanted)
-    spots = cut(found.select("cls", "doc_id", "loc").join(wanted, "cls"))
-    one = spots.filter("near = 1").groupBy("cls").agg(F.min(F.struct("doc_id", "loc")).alias("one")).select("cls", "one.*")
-    words = look_up(one.select("doc_id", "loc"), 0, shape.length).join(one, ["doc_id", "loc"]).select("cls", "words")
+        return batches_of(joined, look, f"doc_id long, loc long, words {kind}").dropDuplicates(["doc_id", "loc"])
+
+    def look_up(spots: DataFrame, before: int, after: int) -> DataFrame:
+        """``words``: word hashes from ``before`` words before each of the spots ``doc_id, loc`` to ``after`` behind it."""
+
+        def value(h: np.ndarray, at: np.ndarray) -> list[bytes]:
+            h = h.astype("<u4")
+            return [h[max(0, pos - before) : pos + after].tobytes() for pos in at.tolist()]
+
+        return read_at(spots, value, "binary")
+
+    def joined_stretches(hits: DataFrame) -> DataFrame:
+        """Hits ``s, e`` of a text along the same text at the same distance that touch are one stretch."""
+        along = Window.partitionBy("doc_id", "t", "k_doc", "k_t", "off").orderBy("s", "e")
+        reached = F.max("e").over(along.rowsBetween(Window.unboundedPreceding, -1))
+        fresh = hits.withColumn("fresh", (reached.isNull() | (F.col("s") > reached)).cast("int"))
+        runs = fresh.withColumn("no", F.sum("fresh").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+        return runs.groupBy("doc_id", "t", "k_doc", "k_t", "off", "no").agg(F.min("s").alias("s"), F.max("e").alias("e"))
+
+    pos = F.col("loc").bitwiseAND(0xFFFFFFFF)
+    k_pos = F.col("k_loc").bitwiseAND(0xFFFFFFFF)
+    t, k_t = F.shiftright("loc", 32).alias("t"), F.shiftright("k_loc", 32).alias("k_t")
+    # Equal paragraphs of several documents. Written before they are joined: only then can Spark split the rows of a
+    # paragraph that very many documents have.
+    repeated = cut(found.groupBy("cls").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo <> hi").select("cls"))
+    spots = cut(found.select("cls", "doc_id", "loc", "around", "room").join(repeated, "cls"))
+    # Where the surroundings are equal too, the first occurrence speaks for all.
+    firsts = cut(spots.groupBy("cls", "around").agg(F.min(F.struct("doc_id", "loc")).alias("first")).select("cls", "around", "first.*"))
+    firsts_of = firsts.select("around", F.col("doc_id").alias("k_doc"), F.col("loc").alias("k_loc"))
+    placed = cut(spots.select("around", "doc_id", "loc", "room").join(firsts_of, "around"))
+    copies = placed.filter("doc_id <> k_doc").select(
+        "doc_id", t, "k_doc", k_t, (pos - k_pos).alias("off"), (pos - F.least(pos, F.lit(shape.gap))).alias("s"), (pos + shape.length + F.col("room")).alias("e")
+    )
+    # The others meet in the runs of ``least`` words around the paragraph: each run is compared with its own first
+    # occurrence, so that an early document that has less of a passage hides nobody's match.
+    several = cut(firsts.groupBy("cls").count().filter("count > 1").select("cls"))
+
+    def runs_around(h: np.ndarray, at: np.ndarray) -> Iterator[list[int]]:
+        windows = _Windows(h)
+        for pos in at.tolist():
+            start = np.arange(max(0, pos + shape.length - least), min(pos, len(h) - least) + 1)
+            yield windows.between(start, start + least).view(np.int64).tolist()
+
+    alone = firsts.join(several, "cls", "left_semi").select("doc_id", "loc")
+    windows = cut(read_at(alone, runs_around, "array<long>"))
+    start = F.greatest(F.lit(0).cast("long"), pos + shape.length - least)
+    windows = windows.select("doc_id", "loc", start.alias("start"), F.posexplode("words").alias("i", "run"))
+    windows = windows.select("doc_id", "loc", (F.col("start") + F.col("i")).alias("start"), "run")
+    lead = F.min(F.struct("doc_id", "loc", "start"))
+    leads = windows.groupBy("run").agg(lead.alias("lead"), F.max("doc_id").alias("last")).filter("lead.doc_id <> last")
+    met = windows.join(cut(leads.select("run", "lead")), "run").filter("doc_id <> lead.doc_id")
+    shift = F.col("lead.start") - F.col("start")
+    # How far the runs reach before and behind the paragraph's first word, for all places of the document that look alike.
+    met = met.select(
+        "doc_id", "loc", F.col("lead.doc_id").alias("m_doc"), F.shiftright("lead.loc", 32).alias("m_t"), (pos + shift).alias("m_pos"), (F.col("start") - pos).alias("from")
+    ).groupBy("doc_id", "loc", "m_doc", "m_t", "m_pos").agg(F.min("from").alias("lo"), (F.max("from") + least).alias("hi"))
+    met = cut(met.select(F.col("doc_id").alias("k_doc"), F.col("loc").alias("k_loc"), "m_doc", "m_t", "m_pos", "lo", "hi"))
+    others = placed.filter("doc_id = k_doc").join(met, ["k_doc", "k_loc"]).select(
+        "doc_id", t, F.col("m_doc").alias("k_doc"), F.col("m_t").alias("k_t"), (pos - F.col("m_pos")).alias("off"), (pos + F.col("lo")).alias("s"), (pos + F.col("hi")).alias("e")
+    )
+    exact = joined_stretches(copies.union(others)).drop("no")
+
+    # Different paragraphs of ``near`` words that share a band.
+    members = cut(_colliding(found.select(F.col("near").alias("cls"), "keys").filter(F.size("keys") > 0)))
+    wanted = cut(members.select("cls").distinct())
+    spots = cut(found.filter(F.size("keys") > 0).select(F.col("near").alias("cls"), "doc_id", "loc").join(wanted, "cls"))
+    one = spots.groupBy("cls").agg(F.min(F.struct("doc_id", "loc")).alias("one")).select("cls", "one.*")
+    words = look_up(one.select("doc_id", "loc"), 0, shape.near).join(one, ["doc_id", "loc"]).select("cls", "words")
     forest = cut(_near_classes(members, words, shape, similarity, piece))
     parts = components(forest, "cls", "root").withColumnRenamed("node", "cls")
-    placed = spots.join(parts, "cls", "left").select("doc_id", "loc", F.coalesce("component", "cls").alias("comp"))
+    placed = spots.join(cut(parts), "cls").select("doc_id", "loc", F.col("component").alias("comp"))
     first = placed.groupBy("comp").agg(F.min(F.struct("doc_id", "loc")).alias("lead"), F.max("doc_id").alias("last")).filter("lead.doc_id <> last")
     first = cut(first)
-    pos = F.col("loc").bitwiseAND(0xFFFFFFFF)
-    k_pos = F.col("k_loc").bitwiseAND(0xFFFFFFFF)
-    hits = (
-        placed.join(first, "comp")
-        .filter("doc_id <> lead.doc_id")
-        .select("doc_id", "loc", F.col("lead.doc_id").alias("k_doc"), F.col("lead.loc").alias("k_loc"))
-        .select("doc_id", F.shiftright("loc", 32).alias("t"), "k_doc", F.shiftright("k_loc", 32).alias("k_t"), pos.alias("pos"), (pos - k_pos).alias("off"))
-        .distinct()
-    )
-    # Neighbouring paragraphs that match the same text at the same distance are one stretch.
-    along = Window.partitionBy("doc_id", "t", "k_doc", "k_t", "off").orderBy("pos")
-    fresh = F.coalesce((F.col("pos") - F.lag("pos").over(along) > shape.gap).cast("int"), F.lit(1))
-    stretches = hits.withColumn("fresh", fresh).withColumn("no", F.sum("fresh").over(along))
+    hits = placed.join(first, "comp").filter("doc_id <> lead.doc_id").select("doc_id", "loc", F.col("lead.doc_id").alias("k_doc"), F.col("lead.loc").alias("k_loc"))
+    hits = hits.select("doc_id", t, "k_doc", k_t, (pos - k_pos).alias("off"), pos.alias("s"), (pos + shape.near).alias("e")).distinct()
     name = ["doc_id", "t", "k_doc", "k_t", "off", "no"]
-    stretches = cut(stretches.groupBy(*name).agg(F.min("pos").alias("s"), (F.max("pos") + shape.length).alias("e")))
+    stretches = cut(joined_stretches(hits))
     # Both ends are extended word by word along the first occurrence.
     ends = stretches.select(*name, F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("s").alias("at")), F.struct(F.lit(1).alias("side"), F.col("e").alias("at")))).alias("end"))
     ends = ends.select(
@@ -395,6 +461,12 @@ def repeated_passages(
             for i, (side, loc, w, k_loc, v) in enumerate(zip(*(batch.column(c) for c in ("side", "loc", "words", "k_loc", "k_words")))):
                 a, b = (min(shape.gap, x.as_py() & 0xFFFFFFFF) for x in (loc, k_loc))
                 w, v = np.frombuffer(w.as_py(), "<u4"), np.frombuffer(v.as_py(), "<u4")
+                # Similar paragraphs may begin and end with words that the other one has not: these are no part of the passage.
+                inner, other = (w[:a][::-1], v[::-1]) if side.as_py() else (w[a:], v)
+                known = np.isin(_rolled(inner.astype(np.uint64), shape.anchor), _rolled(other.astype(np.uint64), shape.anchor))
+                if not known[:1].all() or not len(known):
+                    more[i] = -known.argmax() if known.any() else -len(inner)
+                    continue
                 w, v = (w[a:], v[b:]) if side.as_py() else (w[:a][::-1], v[:b][::-1])
                 n = min(len(w), len(v))
                 same = w[:n] == v[:n]
@@ -408,7 +480,9 @@ def repeated_passages(
     longer = longer.groupBy(*name).agg(
         F.max(F.when(F.col("side") == 0, F.col("more"))).alias("l"), F.max(F.when(F.col("side") == 1, F.col("more"))).alias("r")
     )
-    matched = cut(stretches.join(longer, name).select("doc_id", "t", "k_doc", "k_t", "off", (F.col("s") - F.col("l")).alias("s"), (F.col("e") + F.col("r")).alias("e")))
+    near = stretches.join(longer, name).select("doc_id", "t", "k_doc", "k_t", "off", (F.col("s") - F.col("l")).alias("s"), (F.col("e") + F.col("r")).alias("e"))
+    # Every stretch is long enough by itself.
+    matched = cut(exact.unionByName(near).filter(F.col("e") - F.col("s") >= least))
     spans = matched.select("doc_id", "t", F.lit(True).alias("removed"), "s", "e", F.col("k_doc").alias("kept")).union(
         matched.select("k_doc", "k_t", F.lit(False), F.col("s") - F.col("off"), F.col("e") - F.col("off"), "k_doc").distinct()
     )
@@ -418,7 +492,15 @@ def repeated_passages(
     runs = spans.withColumn("fresh", (reached.isNull() | (F.col("s") > reached)).cast("int"))
     runs = runs.withColumn("run", F.sum("fresh").over(along.rowsBetween(Window.unboundedPreceding, 0)))
     merged = runs.groupBy("doc_id", "t", "removed", "run").agg(F.min("s").alias("s"), F.max("e").alias("e"), F.min("kept").alias("kept"))
-    return merged.filter(F.col("e") - F.col("s") >= least).select(
+    merged = cut(merged)
+    # A first occurrence that is removed itself, but for fewer than ``least`` words, is none. How many words are removed
+    # before a place follows from the ends of the removed runs before it.
+    ends = F.explode(F.array(*(F.struct(F.col(c).alias("at"), F.lit(way).alias("way")) for c, way in (("s", 1), ("e", -1)))))
+    ends = merged.withColumn("end", ends).select("*", F.when(F.col("removed"), F.col("end.way")).otherwise(0).alias("way"), F.col("end.at").alias("at"))
+    before = Window.partitionBy("doc_id", "t").orderBy("at")
+    gone = F.sum(F.col("way") * -F.col("at")).over(before) + F.sum("way").over(before) * F.col("at")
+    gone = ends.withColumn("gone", gone).groupBy("doc_id", "t", "removed", "s", "e", "kept").agg((F.max("gone") - F.min("gone")).alias("gone"))
+    return gone.filter(F.col("removed") | (F.col("e") - F.col("s") - F.col("gone") >= least)).select(
         "doc_id",
         F.col("t").cast("int").alias("text_hash"),
         F.col("s").cast("long").alias("start_word"),
