@@ -32,3 +32,15 @@ def test_near_copies_with_inner_changes(spark):
     assert all(1000 <= i for i in got)
     assert sum(len(got.get(1000 + i, set()) & set(range(70, 180))) >= 50 for i in range(60)) >= 57
     assert all(len(words - set(range(70, 180))) <= 10 for words in got.values())
+
+
+def test_first_document_with_less_hides_nothing(spark):
+    r = random.Random(12)
+    rows, n = [], 40
+    for i in range(n):
+        whole = text_of(r, 51)
+        part = whole[5:45]
+        rows += [(i, " ".join([*text_of(r, 40), *part, *text_of(r, 40)]))]
+        rows += [(i + k, " ".join([*text_of(r, 60), *whole, *text_of(r, 60)])) for k in (1000, 2000)]
+    got = removed_words(spark, rows)
+    assert got == {2000 + i: set(range(60, 111)) for i in range(n)}
