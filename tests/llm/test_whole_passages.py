@@ -44,3 +44,16 @@ def test_first_document_with_less_hides_nothing(spark):
         rows += [(i + k, " ".join([*text_of(r, 60), *whole, *text_of(r, 60)])) for k in (1000, 2000)]
     got = removed_words(spark, rows)
     assert got == {2000 + i: set(range(60, 111)) for i in range(n)}
+
+
+def test_repetitive_passages(spark):
+    r = random.Random(13)
+    rows, n = [], 40
+    for i in range(n):
+        refrain = text_of(r, 3)
+        passage = [*refrain, *text_of(r, 7), *refrain, *text_of(r, 8), *refrain, *text_of(r, 27)]
+        rows += [(i, " ".join([*text_of(r, 40), *refrain, *text_of(r, 12), *passage, *text_of(r, 40)]))]
+        rows += [(1000 + i, " ".join([*text_of(r, 50), *passage, *text_of(r, 30)]))]
+    rows += [(500, " ".join([*text_of(r, 40), *["der"] * 90, *text_of(r, 40)])), (1500, " ".join([*text_of(r, 20), *["der"] * 60, *text_of(r, 20)]))]
+    got = removed_words(spark, rows)
+    assert got == {**{1000 + i: set(range(50, 101)) for i in range(n)}, 1500: set(range(20, 80))}
