@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from careerloom.llm.common import WORD, batches_of, rows_of, words_of
 from careerloom.llm.components import components
+from careerloom.llm.passages import _alike, _roots
 from careerloom.runtime import cut
 
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -292,62 +293,156 @@ def near_duplicates(
     )
 
 
-def sketch_of(text: bytes | None, shingle: int = 5, bits: int = 256) -> bytes:
-    """One bit per bin of the smallest shingle hash that falls into it; empty bins borrow from others.
-
-    Two texts agree in a share (1 + J) / 2 of the bits on average, J being the
-    Jaccard similarity of their shingles.
-    """
+def shingles_of(text: bytes | None, shingle: int = 5) -> np.ndarray:
+    """Distinct hashes of a text's word shingles, sorted; a shorter text is one shingle."""
     words = words_of(text)
     if not words:
-        return bytes(bits // 8)
+        return np.empty(0, np.uint64)
     n = max(1, len(words) - shingle + 1)
     grams = map(b" ".join, zip(*(words[k:] for k in range(shingle)))) if len(words) >= shingle else [b" ".join(words)]
-    h = np.unique(np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(5)), np.uint64, n))
-    bins = (h >> np.uint64(56)).astype(np.int64) * bits // 256
-    filled, first = np.unique(bins, return_index=True)
-    value = np.zeros(bits, np.uint64)
-    full = np.zeros(bits, bool)
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(5)), np.uint64, n))
+
+
+def _smallest(h: np.ndarray, bins: int = 256) -> np.ndarray:
+    """The smallest shingle hash of each bin; empty bins borrow from others."""
+    at = (h >> np.uint64(56)).astype(np.int64) * bins // 256
+    filled, first = np.unique(at, return_index=True)
+    value = np.zeros(bins, np.uint64)
+    full = np.zeros(bins, bool)
     value[filled], full[filled] = h[first], True
     empty, step = np.flatnonzero(~full), 0
-    while len(empty):
+    while len(empty) and len(filled):
         step += 1
-        lender = ((empty * 0x9E3779B1 + step * 0x85EBCA6B) % 0x7FFFFFFF) % bits
+        lender = ((empty * 0x9E3779B1 + step * 0x85EBCA6B) % 0x7FFFFFFF) % bins
         ok = full[lender]
         value[empty[ok]] = value[lender[ok]] + (empty[ok].astype(np.uint64) << np.uint64(1))
         empty = empty[~ok]
+    return value
+
+
+def sketch_of(text: bytes | None, shingle: int = 5, bits: int = 256) -> bytes:
+    """One bit per bin of the smallest shingle hash that falls into it; empty bins borrow from others.
+
+    Two texts agree in a share (1 + J) / 2 of the bits on average, J being the
+    Jaccard similarity of their shingles.
+    """
+    h = shingles_of(text, shingle)
+    return _sketch(_smallest(h, bits)) if len(h) else bytes(bits // 8)
+
+
+def _sketch(value: np.ndarray) -> bytes:
     return np.packbits(((value * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(63)).astype(bool)).tobytes()
 
 
+def _bands(value: np.ndarray, bands: int, rows: int) -> list[int]:
+    """Keys of ``bands`` groups of ``rows`` bins, taken from all over the table."""
+    picked = value[np.arange(bands * rows) * len(value) // (bands * rows)]
+    return [xxhash.xxh64_intdigest(picked[b * rows : (b + 1) * rows].tobytes(), b) - (1 << 63) for b in range(bands)]
+
+
+def _exact_links(sets: DataFrame, similarity: float, piece: int) -> DataFrame:
+    """``a, b``: forests of the rows ``comp, rep, set`` of a group whose sets have that Jaccard similarity.
+
+    A large group is cut into pieces; every pair of pieces is one unit of work.
+    """
+    sizes = sets.groupBy("comp").agg(F.ceil(F.count("*") / piece).alias("parts"))
+    spread = sets.join(sizes, "comp").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other")
+    units = spread.select("comp", "rep", "set", "part", other).select(
+        "comp", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), "part", "rep", "set"
+    )
+    units = units.repartition("comp", "p", "q").sortWithinPartitions("comp", "p", "q", "part")
+
+    def linked(unit, rows):
+        left, right = ([(rep, s) for part, rep, s in rows if part == side] for side in unit[1:])
+        hits = _alike([s for _, s in left], [s for _, s in right], similarity) if left and right else np.zeros((0, 0), bool)
+        ids = np.array([rep for rep, _ in left + right], np.int64)
+        i, j = np.nonzero(hits)
+        roots = _roots(len(ids), i, j + len(left), ids)
+        keep = ids != roots
+        return ids[keep], roots[keep]
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in batches:
+            columns = (batch.column(c).to_pylist() for c in ("comp", "p", "q", "part", "rep", "set"))
+            for comp, p, q, part, rep, data in zip(*columns):
+                if (comp, p, q) != now:
+                    if held:
+                        a, b = linked(now, held)
+                        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+                    now, held = (comp, p, q), []
+                held.append((part, rep, np.frombuffer(data, np.uint64)))
+        if held:
+            a, b = linked(now, held)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    return batches_of(units, compare, "a long, b long")
+
+
 def similar_documents(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, reach: int = 11, least_match: float = 0.855
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    shingle: int = 5,
+    reach: int = 11,
+    least_match: float = 0.855,
+    similarity: float = 0.8,
+    bands: int = 10,
+    rows_per_band: int = 4,
+    piece: int = 256,
 ) -> DataFrame:
-    """``doc_id, component_id`` of documents whose shingles have a similarity of about 0.8 or more.
-
-    Such texts differ in up to eleven of 64 bits, where unrelated short texts
-    meet them too; a second sketch of 256 bits, in which texts of similarity
-    0.8 agree in 90 percent, tells the two apart. Rows with a null id and texts
-    without words are in no group and not returned.
+    """``doc_id, component_id`` of documents whose sets of shingles have a Jaccard similarity of at least ``similarity``.
+
+    Candidates come from two sides. Fingerprints of such texts differ in 9.7 of
+    64 bits on average, so a reach of eleven meets three quarters of the pairs
+    at 0.8; a sketch of 256 bits turns unrelated short texts away. Ten bands of
+    four smallest shingle hashes meet 0.995 of them. Within the groups that the
+    candidates form, the sets themselves are compared, and only pairs of that
+    similarity link. Rows with a null id and texts without words are in no
+    group and not returned.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t.as_py() for t in batch.column("text")]
             fps = np.array([fingerprint_of(t, shingle) for t in texts], np.uint64)
+            made, keys, sketches = [], [], []
+            for t in texts:
+                h = shingles_of(t, shingle)
+                value = _smallest(h)
+                made.append(xxhash.xxh64_intdigest(h.tobytes()) - (1 << 63))
+                keys.append(_bands(value, bands, rows_per_band))
+                sketches.append(_sketch(value))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(fps.view(np.int64)), pa.array([sketch_of(t, shingle) for t in texts], pa.binary())],
-                names=["doc_id", "fp", "sketch"],
+                [batch.column("doc_id"), pa.array(fps.view(np.int64)), pa.array(sketches, pa.binary()), pa.array(made, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
+                names=["doc_id", "fp", "sketch", "made", "keys"],
             )
 
     rows = rows_of(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     rows = rows.filter("doc_id is not null").filter(F.col("text").cast("string").rlike(WORD))
-    prints = cut(batches_of(rows, run, "doc_id long, fp long, sketch binary"))
-    classes = cut(prints.groupBy("fp", "sketch").agg(F.min("doc_id").alias("rep")))
-    parts = components(links(classes, reach, tables=4, least_match=least_match))
-    of_class = classes.join(parts, classes["rep"] == parts["node"], "left").select(
-        "fp", "sketch", F.coalesce("component", "rep").alias("component_id")
-    )
-    return prints.join(of_class, ["fp", "sketch"]).select("doc_id", "component_id")
+    prints = cut(batches_of(rows, run, "doc_id long, fp long, sketch binary, made long, keys array<long>"))
+    # Texts with the same set of shingles are one; what is searched is one of them, and its id may be another row's too.
+    classes = cut(prints.groupBy("made").agg(F.min(F.struct("doc_id", "fp", "sketch", "keys")).alias("one")).select("made", "one.*"))
+    met = links(classes.select("fp", F.col("made").alias("rep"), "sketch"), reach, tables=4, least_match=least_match)
+    keyed = classes.select("made", F.explode("keys").alias("key"))
+    hubs = keyed.groupBy("key").agg(F.min("made").alias("hub"), F.max("made").alias("last")).filter("hub <> last").select("key", "hub")
+    groups = components(met.union(keyed.join(cut(hubs), "key").filter("made <> hub").select("made", "hub"))).withColumnRenamed("node", "made")
+    wanted = classes.select("made", "doc_id").join(groups, "made").select("made", "doc_id", F.col("component").alias("comp"))
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingles_of(t.as_py(), shingle) for t in batch.column("text")]
+            # Of rows that share the id only the one that the class was made from counts.
+            own = pa.array([xxhash.xxh64_intdigest(h.tobytes()) - (1 << 63) == m for h, m in zip(found, batch.column("made").to_pylist())])
+            columns = [batch.column("comp"), batch.column("made"), pa.array([h.tobytes() for h in found], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["comp", "rep", "set"]).filter(own)
+
+    read = batches_of(rows.join(wanted, "doc_id").select("text", "made", "comp"), sets, "comp long, rep long, set binary")
+    parts = components(_exact_links(cut(read.dropDuplicates(["rep"])), similarity, piece)).withColumnRenamed("node", "made")
+    placed = classes.select("made", "doc_id").join(parts, "made", "left").select("made", "doc_id", F.coalesce("component", "made").alias("comp"))
+    smallest = placed.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
+    return prints.select("doc_id", "made").join(placed.select("made", "comp").join(smallest, "comp"), "made").select("doc_id", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
