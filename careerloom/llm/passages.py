@@ -300,12 +300,37 @@ def _jaccard(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return both / (new_a.sum(1) + new_b.sum(1) - both)
 
 
+def _met(table: pa.Table, least: int, length: int, names: list[str]) -> pa.RecordBatch:
+    """The stretches that the runs ``words`` around places share with the first place of each run."""
+    lists = table.column("words").combine_chunks()
+    runs, sizes = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
+    doc, loc = (np.repeat(table.column(c).to_numpy(), sizes) for c in ("doc_id", "loc"))
+    pos = loc & 0xFFFFFFFF
+    start = np.maximum(0, pos + length - least) + np.arange(len(runs)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    order = np.lexsort((start, loc, doc, runs))
+    runs, doc, loc, pos, start = (x[order] for x in (runs, doc, loc, pos, start))
+    first = np.flatnonzero(np.concatenate([[True], runs[1:] != runs[:-1]])) if len(runs) else np.empty(0, np.int64)
+    lead = np.repeat(first, np.diff([*first, len(runs)]))
+    hit = doc != doc[lead]
+    m_doc, m_t, m_pos = doc[lead], loc[lead] >> 32, pos + start[lead] - start
+    same = [x[hit] for x in (doc, loc, m_doc, m_t, m_pos)]
+    reach = (start - pos)[hit]
+    order = np.lexsort((reach, *same))
+    same, reach = [x[order] for x in same], reach[order]
+    new = np.ones(len(reach), bool)
+    new[1:] = np.any([x[1:] != x[:-1] for x in same], axis=0)
+    first = np.flatnonzero(new)
+    last = np.concatenate([first[1:], [len(reach)]])[: len(first)] - 1
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (*(x[first] for x in same), reach[first], reach[last] + least)], names=names)
+
+
 def repeated_passages(
     docs: DataFrame,
     similarity: float = 0.8,
     least: int = 50,
     shape: Shape = Shape(),
     piece: int = 1024,
+    few: int = 64,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -350,23 +375,25 @@ def repeated_passages(
     ))
 
     def read_at(spots: DataFrame, value, kind: str) -> DataFrame:
-        """``doc_id, loc, words``: what ``value`` makes of the word hashes of a text and each of the places in it."""
+        """``doc_id, loc, tag, words``: what ``value`` makes of the word hashes of a text and each of the places in it."""
 
         def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 ids = batch.column("doc_id").to_pylist()
                 out = []
                 for i, (text, at) in enumerate(zip(batch.column("text"), batch.column("at"))):
-                    locs = np.array(at.as_py(), np.int64)
-                    out.extend(zip([ids[i]] * len(locs), locs.tolist(), value(_word_hashes(text.as_py()), locs & 0xFFFFFFFF)))
+                    at = at.as_py()
+                    locs = np.array([x["loc"] for x in at], np.int64)
+                    tags = [x["tag"] for x in at]
+                    out.extend(zip([ids[i]] * len(at), locs.tolist(), tags, value(_word_hashes(text.as_py()), locs & 0xFFFFFFFF)))
                     if out and (len(out) >= 20_000 or i + 1 == batch.num_rows):
-                        kinds = (pa.int64(), pa.int64(), pa.binary() if kind == "binary" else pa.list_(pa.int64()))
-                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["doc_id", "loc", "words"])
+                        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary() if kind == "binary" else pa.list_(pa.int64()))
+                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["doc_id", "loc", "tag", "words"])
                         out = []
 
-        at = spots.distinct().groupBy("doc_id", F.shiftright("loc", 32).cast("int").alias("t")).agg(F.collect_list("loc").alias("at"))
+        at = spots.groupBy("doc_id", F.shiftright("loc", 32).cast("int").alias("t")).agg(F.collect_set(F.struct("loc", "tag")).alias("at"))
         joined = rows.join(at, ["doc_id", "t"]).select("doc_id", "t", "text", "at")
-        return batches_of(joined, look, f"doc_id long, loc long, words {kind}").dropDuplicates(["doc_id", "loc"])
+        return batches_of(joined, look, f"doc_id long, loc long, tag long, words {kind}")
 
     def look_up(spots: DataFrame, before: int, after: int) -> DataFrame:
         """``words``: word hashes from ``before`` words before each of the spots ``doc_id, loc`` to ``after`` behind it."""
@@ -375,7 +402,7 @@ def repeated_passages(
             h = h.astype("<u4")
             return [h[max(0, pos - before) : pos + after].tobytes() for pos in at.tolist()]
 
-        return read_at(spots, value, "binary")
+        return read_at(spots.withColumn("tag", F.lit(0).cast("long")), value, "binary").drop("tag").dropDuplicates(["doc_id", "loc"])
 
     def joined_stretches(hits: DataFrame) -> DataFrame:
         """Hits ``s, e`` of a text along the same text at the same distance that touch are one stretch."""
@@ -401,7 +428,7 @@ def repeated_passages(
     )
     # The others meet in the runs of ``least`` words around the paragraph: each run is compared with its own first
     # occurrence, so that an early document that has less of a passage hides nobody's match.
-    several = cut(firsts.groupBy("cls").count().filter("count > 1").select("cls"))
+    several = cut(firsts.groupBy("cls").count().filter("count > 1"))
 
     def runs_around(h: np.ndarray, at: np.ndarray) -> Iterator[list[int]]:
         windows = _Windows(h)
@@ -409,20 +436,44 @@ def repeated_passages(
             start = np.arange(max(0, pos + shape.length - least), min(pos, len(h) - least) + 1)
             yield windows.between(start, start + least).view(np.int64).tolist()
 
-    alone = firsts.join(several, "cls", "left_semi").select("doc_id", "loc")
+    # The tag of a paragraph with few different surroundings is its hash; they are compared in one place. The runs of
+    # a frequent one are dealt out one by one.
+    tag = F.when((F.col("count") <= few) & (F.col("cls") != 0), F.col("cls")).otherwise(0).alias("tag")
+    alone = firsts.join(several, "cls").select("doc_id", "loc", tag)
     windows = cut(read_at(alone, runs_around, "array<long>"))
+    columns = ["doc_id", "loc", "m_doc", "m_t", "m_pos", "lo", "hi"]
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = pa.RecordBatch.from_pylist([], windows_schema)
+        for batch in batches:
+            arrays = [batch.column(c).cast(windows_schema.field(c).type) for c in windows_schema.names]
+            table = pa.Table.from_batches([rest, pa.RecordBatch.from_arrays(arrays, schema=windows_schema)]).combine_chunks()
+            tags = table.column("tag").to_numpy()
+            # The last paragraph may go on in the next batch.
+            last = np.flatnonzero(np.diff(tags))
+            at = int(last[-1]) + 1 if len(last) else 0
+            if at:
+                yield _met(table.slice(0, at), least, shape.length, columns)
+            rest = (table.slice(at).combine_chunks().to_batches() or [rest.slice(0, 0)])[0]
+        if rest.num_rows:
+            yield _met(pa.Table.from_batches([rest]), least, shape.length, columns)
+
+    windows_schema = pa.schema([("doc_id", pa.int64()), ("loc", pa.int64()), ("tag", pa.int64()), ("words", pa.list_(pa.int64()))])
+    small = windows.filter("tag <> 0").repartition("tag").sortWithinPartitions("tag")
+    met = batches_of(small, meet, "doc_id long, loc long, m_doc long, m_t long, m_pos long, lo long, hi long")
     start = F.greatest(F.lit(0).cast("long"), pos + shape.length - least)
-    windows = windows.select("doc_id", "loc", start.alias("start"), F.posexplode("words").alias("i", "run"))
+    windows = windows.filter("tag = 0").select("doc_id", "loc", start.alias("start"), F.posexplode("words").alias("i", "run"))
     windows = windows.select("doc_id", "loc", (F.col("start") + F.col("i")).alias("start"), "run")
     lead = F.min(F.struct("doc_id", "loc", "start"))
     leads = windows.groupBy("run").agg(lead.alias("lead"), F.max("doc_id").alias("last")).filter("lead.doc_id <> last")
-    met = windows.join(cut(leads.select("run", "lead")), "run").filter("doc_id <> lead.doc_id")
-    shift = F.col("lead.start") - F.col("start")
-    # How far the runs reach before and behind the paragraph's first word, for all places of the document that look alike.
-    met = met.select(
-        "doc_id", "loc", F.col("lead.doc_id").alias("m_doc"), F.shiftright("lead.loc", 32).alias("m_t"), (pos + shift).alias("m_pos"), (F.col("start") - pos).alias("from")
+    dealt = windows.join(cut(leads.select("run", "lead")), "run").filter("doc_id <> lead.doc_id")
+    # How far the runs reach before and behind the paragraph's first word.
+    dealt = dealt.select(
+        "doc_id", "loc", F.col("lead.doc_id").alias("m_doc"), F.shiftright("lead.loc", 32).alias("m_t"),
+        (pos + F.col("lead.start") - F.col("start")).alias("m_pos"), (F.col("start") - pos).alias("from"),
     ).groupBy("doc_id", "loc", "m_doc", "m_t", "m_pos").agg(F.min("from").alias("lo"), (F.max("from") + least).alias("hi"))
-    met = cut(met.select(F.col("doc_id").alias("k_doc"), F.col("loc").alias("k_loc"), "m_doc", "m_t", "m_pos", "lo", "hi"))
+    # It holds for all places of the document that look alike.
+    met = cut(met.union(dealt.select(*columns)).select(F.col("doc_id").alias("k_doc"), F.col("loc").alias("k_loc"), *columns[2:]))
     others = placed.filter("doc_id = k_doc").join(met, ["k_doc", "k_loc"]).select(
         "doc_id", t, F.col("m_doc").alias("k_doc"), F.col("m_t").alias("k_t"), (pos - F.col("m_pos")).alias("off"), (pos + F.col("lo")).alias("s"), (pos + F.col("hi")).alias("e")
     )
