@@ -9,6 +9,7 @@ sparse dot product.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -23,6 +24,7 @@ _SHAPE = bytes(
     ord("A") if 65 <= b <= 90 else ord("0") if 48 <= b <= 57 else ord("a") if b >= 128 or 97 <= b <= 122 else b
     for b in range(256)
 )
+_RUN = re.compile(rb"(.)\1+", re.DOTALL)
 
 
 class _Codes(dict):
@@ -32,7 +34,7 @@ class _Codes(dict):
         if len(self) >= 200_000:
             self.clear()
         shape = word.translate(_SHAPE)
-        runs = bytes(b for i, b in enumerate(shape[:256]) if i == 0 or b != shape[i - 1])
+        runs = _RUN.sub(rb"\1", shape)
         code = zlib.crc32(word.lower()) << 31 | zlib.crc32(runs) >> 1
         if len(word) <= 64:
             self[word] = code
