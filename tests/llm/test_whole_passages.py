@@ -57,3 +57,14 @@ def test_repetitive_passages(spark):
     rows += [(500, " ".join([*text_of(r, 40), *["der"] * 90, *text_of(r, 40)])), (1500, " ".join([*text_of(r, 20), *["der"] * 60, *text_of(r, 20)]))]
     got = removed_words(spark, rows)
     assert got == {**{1000 + i: set(range(50, 101)) for i in range(n)}, 1500: set(range(20, 80))}
+
+
+def test_frequent_paragraphs_are_compared_alike(spark):
+    r = random.Random(14)
+    line, rows = text_of(r, 30), []
+    for i in range(30):
+        whole = [*text_of(r, 15), *line, *text_of(r, 15)]
+        rows += [(i + k, " ".join([*text_of(r, 30), *whole, *text_of(r, 30)])) for k in (1000, 2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    one_by_one, in_one_place = (sorted(map(tuple, passages.repeated_passages(df, few=few).collect())) for few in (1, 1000))
+    assert one_by_one == in_one_place and sum(x[4] for x in one_by_one) == 30
