@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from careerloom.llm import bpe, ctw, lattice, mixing, passages, quality, simhash, topk, toxicity, wordpiece
+from careerloom.llm import bpe, ctw, digests, divergence, lattice, mixing, passages, quality, simhash, topk, toxicity, variants, wordpiece
 from careerloom.llm.common import bucket
 
 QUERIES: dict = {}
@@ -131,3 +131,88 @@ def paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def context_tree_weighting(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.coalesce(bucket("doc_id", 7) == 2, F.lit(False))
     return ctw.score(table(spark, sf_dir, "documents"), ~held_out).withColumn("held_out", ~F.col("train")).drop("train")
+
+
+@query(
+    "op11_digest_index",
+    """
+    WITH d AS (SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256 FROM documents),
+    g AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY text_sha256)
+    SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, text_sha256 FROM d JOIN g USING (text_sha256)
+    """,
+)
+def digest_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests.exact_duplicates(table(spark, sf_dir, "documents"), digests.DigestIndex.scratch(spark))
+
+
+@query(
+    "op12_dominance_skyband",
+    r"""
+    WITH d AS (
+      SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents
+    ), w AS (
+      SELECT row, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d
+    ), t AS (
+      SELECT lang, term, count(*) AS lang_c FROM w GROUP BY lang, term HAVING count(DISTINCT row) >= 30
+    ), l AS (SELECT lang, count(*) AS v, sum(lang_c) AS lang_n FROM t GROUP BY lang),
+    g AS (SELECT DISTINCT lang, source FROM d),
+    c AS (SELECT lang, source, term, count(*) AS c FROM w JOIN t USING (lang, term) GROUP BY lang, source, term),
+    k AS (
+      SELECT g.lang, g.source, t.term, t.lang_c, coalesce(c.c, 0) AS c, l.v, l.lang_n, coalesce(sum(c.c) OVER (PARTITION BY g.lang, g.source), 0) AS n
+      FROM g JOIN t USING (lang) JOIN l USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = t.term
+    ), p AS (
+      SELECT lang, source, term, c, 1 + (1000000000::HUGEINT * (c + 5)) // (n + 5 * v) AS p, 1 + (1000000000::HUGEINT * (lang_c + 5)) // (lang_n + 5 * v) AS q FROM k
+    ), s AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term GROUP BY ALL),
+    r AS (
+      SELECT g.lang, g.source, 'pair' AS part, h.source AS item, coalesce(s.value, 0) AS value
+      FROM g JOIN g h ON g.lang = h.lang AND g.source <> h.source LEFT JOIN s ON s.lang = g.lang AND s.source = g.source AND s.item = h.source
+      UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE c > 0 AND p > q
+    ), ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM r)
+    SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR rank <= 50
+    """,
+)
+def dominance_skyband(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op13_trie_node_pairs",
+    """
+    WITH RECURSIVE crc AS (
+      SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)),
+        lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
+    ), runs AS (
+      SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS run
+      FROM documents
+    ), r AS (
+      SELECT run, count(*) AS n, hex(encode(concat(doc_id, ':', run))) AS x FROM runs WHERE length(run) >= 6 GROUP BY doc_id, run
+    ), h AS (
+      SELECT run, n, xor(list_reduce(list_prepend(4294967295, list_transform(range(length(x) // 2),
+          lambda i: (instr('0123456789ABCDEF', x[2 * i + 1]) - 1) * 16 + instr('0123456789ABCDEF', x[2 * i + 2]) - 1)),
+        lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)])), 4294967295) AS h
+      FROM r, crc
+    ), m AS (
+      SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, CAST(h % length(run) AS INTEGER)) || substr(run, CAST(h % length(run) AS INTEGER) + 2) ELSE run END AS word, n FROM h
+    ), w AS (
+      SELECT word, CAST(sum(n) AS BIGINT) AS n FROM m WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5
+    ), v AS (
+      SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS less FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w)
+    ), near AS (
+      SELECT a.word, b.word AS other, b.n FROM v a JOIN v b ON a.i = b.i AND a.less = b.less AND a.word <> b.word
+      UNION SELECT v.word, w.word, w.n FROM v JOIN w ON v.less = w.word
+      UNION SELECT w.word, v.word, v.n FROM v JOIN w ON v.less = w.word
+    ), top AS (
+      SELECT word, count(*) AS n_near, max(n) AS top_n, min(CASE WHEN n = most THEN other END) AS other
+      FROM (SELECT word, other, n, max(n) OVER (PARTITION BY word) AS most FROM near) GROUP BY word
+    ), f AS (
+      SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN top_n >= 5 * w.n THEN other END AS form, CASE WHEN top_n >= 5 * w.n THEN top_n END AS form_n
+      FROM w LEFT JOIN top USING (word)
+    ), walk AS (
+      SELECT word, word AS at FROM f UNION ALL SELECT walk.word, f.form FROM walk JOIN f ON f.word = walk.at WHERE f.form IS NOT NULL
+    ), root AS (SELECT walk.word, walk.at AS root FROM walk JOIN f ON f.word = walk.at WHERE f.form IS NULL)
+    SELECT word, form, root, n, n_near, form_n FROM f JOIN root USING (word)
+    """,
+)
+def trie_node_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.spelling_variants(table(spark, sf_dir, "documents"))
