@@ -5,8 +5,11 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: int | str = "*", memory: str = "12g", app: str = "careerloom") -> SparkSession:
@@ -50,7 +53,81 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut = path, None
+    return out
+
+
+def cut_by(df: DataFrame, *keys: str, sort: tuple[str, ...] = (), buckets: int | None = None, unique: bool = False) -> DataFrame:
+    """``cut`` into a table that is bucketed by ``keys`` and sorted by them and ``sort``.
+
+    Joins and groups on the keys read it where it lies, without an exchange on
+    its side. Without ``buckets`` their number follows ``buckets_for``.
+    ``unique`` keeps one row per key.
+    """
+    spark = df.sparkSession
+    n = buckets or buckets_for(df)
+    name = f"cut_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}"
+    rows = by_bucket(df, n, *keys)
+    rows = _one_per_key(rows, keys) if unique else rows
+    rows.write.format("parquet").option("path", path).bucketBy(n, *keys).sortBy(*keys, *sort).saveAsTable(name)
+    out = spark.table(name)
+    out._cut = path, name
+    return out
+
+
+def buckets_for(df: DataFrame, size: int = 64 << 20) -> int:
+    """Buckets of about ``size`` bytes as the optimiser expects them, 16 at least and 50,000 at most."""
+    return min(50_000, max(16, size_of(df) // size))
+
+
+def by_bucket(df: DataFrame, buckets: int, *keys: str) -> DataFrame:
+    """Every bucket of a table to come in one task, however many partitions there are: one file per bucket and write."""
+    return df.repartition(2 * buckets, F.pmod(F.hash(*keys), F.lit(buckets)))
+
+
+def _one_per_key(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """The first row of every key, where all rows of a key are in one partition: no second exchange."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for batch in batches:
+            found = list(zip(*(batch.column(k).to_pylist() for k in keys)))
+            yield batch.filter(pa.array([now != before for now, before in zip(found, [last, *found])], pa.bool_()))
+            last = found[-1] if found else last
+
+    return rows.sortWithinPartitions(*keys).mapInArrow(run, rows.schema)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder in any store that Spark can write to."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete the tables behind frames made by ``cut`` and ``cut_by`` once nobody reads them any more.
+
+    The driver also looks for what it no longer refers to, so that the shuffle
+    files of finished stages go as well.
+    """
+    spark = frames[0].sparkSession
+    for frame in frames:
+        path, name = frame._cut
+        if name:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+        remove(spark, path)
+    spark.sparkContext._jvm.System.gc()
+
+
+def size_of(df: DataFrame) -> int:
+    """Bytes that the optimiser expects of a frame; without a way to ask it, too many for any bound."""
+    try:
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except AttributeError:
+        return 1 << 62
 
 
 def broadcast_if_small(df: DataFrame, max_bytes: int = 64 << 20) -> DataFrame:
@@ -58,7 +135,4 @@ def broadcast_if_small(df: DataFrame, max_bytes: int = 64 << 20) -> DataFrame:
 
     Above the bound the frame is returned as it is and the join shuffles.
     """
-    from pyspark.sql import functions as F
-
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return F.broadcast(df) if size <= max_bytes else df
+    return F.broadcast(df) if size_of(df) <= max_bytes else df
