@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from careerloom.llm.common import rows_of
-from careerloom.runtime import cut, shared_dir
+from careerloom.runtime import by_bucket, cut, shared_dir
 
 #: Digests that more than one row in so many has get their answer by a broadcast of at most so many rows.
 HEAVY = 1024
@@ -69,7 +69,7 @@ class DigestIndex:
         )
 
     def _write(self, rows: DataFrame) -> None:
-        rows = rows.select("digest", "keep_id").repartition(self.buckets, "digest")
+        rows = by_bucket(rows.select("digest", "keep_id"), self.buckets, "digest")
         rows.write.format("parquet").bucketBy(self.buckets, "digest").sortBy("digest").mode("append").saveAsTable(self.table)
 
     def entries(self) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from careerloom.llm.common import WORD, batches_of, rows_of, words_of
 from careerloom.llm.components import components
-from careerloom.runtime import cut
+from careerloom.runtime import buckets_for, cut, cut_by, discard
 
 _WORD = re.compile(WORD)
 
@@ -179,37 +179,59 @@ def _alike(a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
 
 
 def _colliding(found: DataFrame) -> DataFrame:
-    """``key, cls``: different paragraphs that share a band, each once per band."""
+    """``key, cls, doc``: different paragraphs that share a band, each once per band, with the first document that has them.
+
+    Paragraphs first seen in one document are no candidates for each other: whoever has one of them repeats that
+    document exactly. Overlapping paragraphs of a text would otherwise be most of all candidates.
+    """
+    names, schema = ["key", "cls", "doc"], "key long, cls long, doc long"
 
     def once_per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = batch.column("keys")
-            pairs = np.column_stack([keys.flatten().to_numpy(), np.repeat(batch.column("cls").to_numpy(), np.diff(keys.offsets.to_numpy()))])
-            pairs = _unique_pairs(pairs)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["key", "cls"])
+            sizes = np.diff(keys.offsets.to_numpy())
+            rows = [keys.flatten().to_numpy(), *(np.repeat(batch.column(c).to_numpy(), sizes) for c in ("cls", "doc"))]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in _first_of(*rows)], names=names)
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of rows sorted by key and paragraph, those of keys with several paragraphs; holds one row back."""
-        last, told = None, False  # the row before, and whether it was passed on
+        """Of rows sorted by key, paragraph and document, those of keys with several documents.
+
+        Holds back the last key's rows while they are of one document, else its last row.
+        """
+        held = [np.empty(0, np.int64)] * 3
+        told = None  # the key whose rows, all but new ones, were passed on
         for batch in batches:
-            key, cls = batch.column("key").to_numpy(), batch.column("cls").to_numpy()
-            if last is not None:
-                key, cls = np.concatenate([[last[0]], key]), np.concatenate([[last[1]], cls])
-            if not len(key):
+            n_held = len(held[0])
+            rows = [np.concatenate([h, batch.column(c).to_numpy()]) for h, c in zip(held, names)]
+            if not len(rows[0]):
                 continue
-            new = np.ones(len(key), bool)
-            new[1:] = (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])
-            key, cls = key[new], cls[new]
-            same = key[1:] == key[:-1]
-            out = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-            passed = out[-1] or (told and len(key) == 1)
-            if told:
-                out[0] = False
-            last, told = (key[-1], cls[-1]), bool(passed)
-            yield pa.RecordBatch.from_arrays([pa.array(key[out]), pa.array(cls[out])], names=["key", "cls"])
-
-    pairs = batches_of(found.select("cls", "keys"), once_per_task, "key long, cls long")
-    return batches_of(pairs.repartition("key").sortWithinPartitions("key", "cls"), shared, "key long, cls long")
+            new = np.ones(len(rows[0]), bool)
+            new[1:] = (rows[0][1:] != rows[0][:-1]) | (rows[1][1:] != rows[1][:-1])
+            old = np.cumsum(new)[n_held - 1] if n_held else 0
+            key, cls, doc = (x[new] for x in rows)
+            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            several = np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first)
+            several |= key[first] == told if told is not None else False
+            out = np.repeat(several, np.diff([*first, len(key)]))
+            open_ = first[-1]
+            if key[0] == told:
+                out[:old] = False
+            told = int(key[-1]) if several[-1] else None
+            # A key of one document so far may still meet another one.
+            held = [x[open_:] if told is None else x[-1:] for x in (key, cls, doc)]
+            yield pa.RecordBatch.from_arrays([pa.array(x[out]) for x in (key, cls, doc)], names=names)
+
+    rows = batches_of(found.select("cls", "keys", F.col("doc_id").alias("doc")), once_per_task, schema)
+    return batches_of(rows.repartition("key").sortWithinPartitions(*names), shared, schema)
+
+
+def _first_of(key: np.ndarray, cls: np.ndarray, doc: np.ndarray) -> list[np.ndarray]:
+    """The smallest document of every key and paragraph."""
+    order = np.lexsort((doc, cls, key))
+    key, cls, doc = key[order], cls[order], doc[order]
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])
+    return [key[new], cls[new], doc[new]]
 
 
 def _unique_pairs(pairs: np.ndarray) -> np.ndarray:
@@ -225,8 +247,8 @@ def _near_classes(members: DataFrame, words: DataFrame, shape: Shape, similarity
     # A large bucket is cut into pieces; every pair of pieces is one unit of work.
     spread = members.join(sizes, "key").withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("other")
-    units = spread.select("key", "cls", "part", other).select(
-        "key", "cls", "part", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q")
+    units = spread.select("key", "cls", "doc", "part", other).select(
+        "key", "cls", "doc", "part", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q")
     )
     units = units.join(words, "cls").repartition("key", "p", "q").sortWithinPartitions("key", "p", "q", "part")
 
@@ -235,7 +257,7 @@ def _near_classes(members: DataFrame, words: DataFrame, shape: Shape, similarity
         for batch in batches:
             key = np.stack([batch.column(c).to_numpy() for c in ("key", "p", "q")], axis=1)
             words = np.frombuffer(b"".join(batch.column("words").to_pylist()), "<u4").reshape(len(key), -1)
-            rows = key, batch.column("cls").to_numpy(), batch.column("part").to_numpy(), words
+            rows = key, *(batch.column(c).to_numpy() for c in ("cls", "doc", "part")), words
             if rest is not None:
                 rows = tuple(np.concatenate(x) for x in zip(rest, rows))
             # The last unit may go on in the next batch.
@@ -247,7 +269,7 @@ def _near_classes(members: DataFrame, words: DataFrame, shape: Shape, similarity
         if rest is not None and len(rest[0]):
             yield from _forest_of_units(*rest, shape, similarity)
 
-    return batches_of(units.select("key", "p", "q", "part", "cls", "words"), compare, "cls long, root long")
+    return batches_of(units.select("key", "p", "q", "part", "cls", "doc", "words"), compare, "cls long, root long")
 
 
 def _roots(n: int, i: np.ndarray, j: np.ndarray, ids: np.ndarray) -> np.ndarray:
@@ -263,7 +285,7 @@ def _roots(n: int, i: np.ndarray, j: np.ndarray, ids: np.ndarray) -> np.ndarray:
         roots = new
 
 
-def _forest_of_units(key, cls, part, words, shape: Shape, similarity: float, small: int = 32, step: int = 20_000) -> Iterator[pa.RecordBatch]:
+def _forest_of_units(key, cls, doc, part, words, shape: Shape, similarity: float, small: int = 32, step: int = 20_000) -> Iterator[pa.RecordBatch]:
     """``cls, root`` of whole units: pairs of small ones all at once, a large one by its inverted list."""
     tables = np.sort(shape.sets(words.astype(np.uint64)), axis=1)
     first = np.flatnonzero(np.concatenate([[True], (np.diff(key, axis=0) != 0).any(1)]))
@@ -276,6 +298,7 @@ def _forest_of_units(key, cls, part, words, shape: Shape, similarity: float, sma
         x, y = np.triu_indices(size, 1)
         i, j = (at[:, None] + x).ravel(), (at[:, None] + y).ravel()
         cross = (part[i] != part[j]) | (key[i, 1] == key[i, 2])  # within one piece only where the unit is that piece
+        cross &= doc[i] != doc[j]
         i, j = i[cross], j[cross]
         for s in range(0, len(i), step):
             a, b = i[s : s + step], j[s : s + step]
@@ -284,7 +307,7 @@ def _forest_of_units(key, cls, part, words, shape: Shape, similarity: float, sma
     for s, size in zip(first[sizes > small], sizes[sizes > small]):
         left = np.flatnonzero(part[s : s + size] == key[s, 1]) + s
         right = np.flatnonzero(part[s : s + size] == key[s, 2]) + s
-        i, j = np.nonzero(_alike(tables[left], tables[right], similarity))
+        i, j = np.nonzero(_alike(tables[left], tables[right], similarity) & (doc[left][:, None] != doc[right]))
         links.append((left[i], right[j]))
     if links:
         i, j = (np.concatenate(x) for x in zip(*links))
@@ -344,15 +367,27 @@ def repeated_passages(
     rows. Of rows that repeat id and text one speaks for all; rows that share
     an id but not the text are told apart by ``text_hash``.
     """
-    rows = rows_of(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    rows = rows.filter("doc_id is not null and text is not null").withColumn("t", F.hash("text"))
+    rows = rows_of(docs, id_col, text_col).select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("binary").alias("text"))
+    rows = rows.filter("doc_id is not null and text is not null").select("doc_id", F.hash("text").alias("t"), "text")
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [_word_hashes(text.as_py()).astype("<u4").tobytes() for text in batch.column("text")]
+            enough = pa.array([len(w) >= 4 * shape.length for w in words])
+            columns = [batch.column("doc_id"), batch.column("t"), pa.array(words, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "t", "words"]).filter(enough)
+
+    # The words of every text that is long enough, as hashes: texts are read once, and all later look-ups of places in
+    # them join where this table lies.
+    buckets = buckets_for(docs)
+    texts = cut_by(batches_of(rows, hashed, "doc_id long, t int, words binary"), "doc_id", "t", buckets=buckets, unique=True)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, hashes = batch.column("doc_id").to_numpy(), batch.column("t").to_numpy().astype(np.int64)
             out, held = [], 0
-            for i, text in enumerate(batch.column("text")):
-                h = _word_hashes(text.as_py())
+            for i, words in enumerate(batch.column("words")):
+                h = np.frombuffer(words.as_py(), "<u4").astype(np.uint64)
                 at = shape.starts(h)
                 if len(at):
                     content, around, room, near, keys = shape.signatures(h, at)
@@ -370,9 +405,7 @@ def repeated_passages(
                     out, held = [], 0
 
     # loc: the text's hash and the paragraph's first word in one number.
-    found = cut(batches_of(
-        rows.select("doc_id", "t", "text"), scan, "doc_id long, loc long, cls long, around long, room byte, near long, keys array<long>"
-    ))
+    found = cut(batches_of(texts, scan, "doc_id long, loc long, cls long, around long, room byte, near long, keys array<long>"))
 
     def read_at(spots: DataFrame, value, kind: str) -> DataFrame:
         """``doc_id, loc, tag, words``: what ``value`` makes of the word hashes of a text and each of the places in it."""
@@ -381,28 +414,30 @@ def repeated_passages(
             for batch in batches:
                 ids = batch.column("doc_id").to_pylist()
                 out = []
-                for i, (text, at) in enumerate(zip(batch.column("text"), batch.column("at"))):
+                for i, (words, at) in enumerate(zip(batch.column("words"), batch.column("at"))):
                     at = at.as_py()
+                    h = np.frombuffer(words.as_py(), "<u4").astype(np.uint64)
                     locs = np.array([x["loc"] for x in at], np.int64)
                     tags = [x["tag"] for x in at]
-                    out.extend(zip([ids[i]] * len(at), locs.tolist(), tags, value(_word_hashes(text.as_py()), locs & 0xFFFFFFFF)))
+                    out.extend(zip([ids[i]] * len(at), locs.tolist(), tags, value(h, locs & 0xFFFFFFFF)))
                     if out and (len(out) >= 20_000 or i + 1 == batch.num_rows):
                         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary() if kind == "binary" else pa.list_(pa.int64()))
                         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["doc_id", "loc", "tag", "words"])
                         out = []
 
-        at = spots.groupBy("doc_id", F.shiftright("loc", 32).cast("int").alias("t")).agg(F.collect_set(F.struct("loc", "tag")).alias("at"))
-        joined = rows.join(at, ["doc_id", "t"]).select("doc_id", "t", "text", "at")
+        at = spots.select("doc_id", F.shiftright("loc", 32).cast("int").alias("t"), "loc", "tag").repartition(buckets, "doc_id", "t")
+        at = at.groupBy("doc_id", "t").agg(F.collect_set(F.struct("loc", "tag")).alias("at"))
+        joined = texts.hint("merge").join(at, ["doc_id", "t"]).select("doc_id", "words", "at")
         return batches_of(joined, look, f"doc_id long, loc long, tag long, words {kind}")
 
     def look_up(spots: DataFrame, before: int, after: int) -> DataFrame:
-        """``words``: word hashes from ``before`` words before each of the spots ``doc_id, loc`` to ``after`` behind it."""
+        """``words``: word hashes from ``before`` words before each of the spots ``doc_id, loc, tag`` to ``after`` behind it."""
 
         def value(h: np.ndarray, at: np.ndarray) -> list[bytes]:
             h = h.astype("<u4")
             return [h[max(0, pos - before) : pos + after].tobytes() for pos in at.tolist()]
 
-        return read_at(spots.withColumn("tag", F.lit(0).cast("long")), value, "binary").drop("tag").dropDuplicates(["doc_id", "loc"])
+        return read_at(spots, value, "binary")
 
     def joined_stretches(hits: DataFrame) -> DataFrame:
         """Hits ``s, e`` of a text along the same text at the same distance that touch are one stretch."""
@@ -423,6 +458,7 @@ def repeated_passages(
     firsts = cut(spots.groupBy("cls", "around").agg(F.min(F.struct("doc_id", "loc")).alias("first")).select("cls", "around", "first.*"))
     firsts_of = firsts.select("around", F.col("doc_id").alias("k_doc"), F.col("loc").alias("k_loc"))
     placed = cut(spots.select("around", "doc_id", "loc", "room").join(firsts_of, "around"))
+    discard(repeated, spots)
     copies = placed.filter("doc_id <> k_doc").select(
         "doc_id", t, "k_doc", k_t, (pos - k_pos).alias("off"), (pos - F.least(pos, F.lit(shape.gap))).alias("s"), (pos + shape.length + F.col("room")).alias("e")
     )
@@ -440,7 +476,8 @@ def repeated_passages(
     # a frequent one are dealt out one by one.
     tag = F.when((F.col("count") <= few) & (F.col("cls") != 0), F.col("cls")).otherwise(0).alias("tag")
     alone = firsts.join(several, "cls").select("doc_id", "loc", tag)
-    windows = cut(read_at(alone, runs_around, "array<long>"))
+    windows = runs = cut(read_at(alone, runs_around, "array<long>"))
+    discard(firsts, several)
     columns = ["doc_id", "loc", "m_doc", "m_t", "m_pos", "lo", "hi"]
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -466,7 +503,8 @@ def repeated_passages(
     windows = windows.select("doc_id", "loc", (F.col("start") + F.col("i")).alias("start"), "run")
     lead = F.min(F.struct("doc_id", "loc", "start"))
     leads = windows.groupBy("run").agg(lead.alias("lead"), F.max("doc_id").alias("last")).filter("lead.doc_id <> last")
-    dealt = windows.join(cut(leads.select("run", "lead")), "run").filter("doc_id <> lead.doc_id")
+    leads = cut(leads.select("run", "lead"))
+    dealt = windows.join(leads, "run").filter("doc_id <> lead.doc_id")
     # How far the runs reach before and behind the paragraph's first word.
     dealt = dealt.select(
         "doc_id", "loc", F.col("lead.doc_id").alias("m_doc"), F.shiftright("lead.loc", 32).alias("m_t"),
@@ -474,26 +512,32 @@ def repeated_passages(
     ).groupBy("doc_id", "loc", "m_doc", "m_t", "m_pos").agg(F.min("from").alias("lo"), (F.max("from") + least).alias("hi"))
     # It holds for all places of the document that look alike.
     met = cut(met.union(dealt.select(*columns)).select(F.col("doc_id").alias("k_doc"), F.col("loc").alias("k_loc"), *columns[2:]))
+    discard(runs, leads)
     others = placed.filter("doc_id = k_doc").join(met, ["k_doc", "k_loc"]).select(
         "doc_id", t, F.col("m_doc").alias("k_doc"), F.col("m_t").alias("k_t"), (pos - F.col("m_pos")).alias("off"), (pos + F.col("lo")).alias("s"), (pos + F.col("hi")).alias("e")
     )
-    exact = joined_stretches(copies.union(others)).drop("no")
+    exact = cut(joined_stretches(copies.union(others)).drop("no"))
+    discard(placed, met)
 
     # Different paragraphs of ``near`` words that share a band.
-    members = cut(_colliding(found.select(F.col("near").alias("cls"), "keys").filter(F.size("keys") > 0)))
+    members = cut(_colliding(found.select("doc_id", F.col("near").alias("cls"), "keys").filter(F.size("keys") > 0)))
     wanted = cut(members.select("cls").distinct())
     spots = cut(found.filter(F.size("keys") > 0).select(F.col("near").alias("cls"), "doc_id", "loc").join(wanted, "cls"))
-    one = spots.groupBy("cls").agg(F.min(F.struct("doc_id", "loc")).alias("one")).select("cls", "one.*")
-    words = look_up(one.select("doc_id", "loc"), 0, shape.near).join(one, ["doc_id", "loc"]).select("cls", "words")
+    discard(found, wanted)
+    one = spots.groupBy("cls").agg(F.min(F.struct("doc_id", "loc")).alias("one")).select("one.*", F.col("cls").alias("tag"))
+    words = look_up(one, 0, shape.near).select(F.col("tag").alias("cls"), "words")
     forest = cut(_near_classes(members, words, shape, similarity, piece))
+    discard(members)
     parts = components(forest, "cls", "root").withColumnRenamed("node", "cls")
-    placed = spots.join(cut(parts), "cls").select("doc_id", "loc", F.col("component").alias("comp"))
+    parts = cut(parts)
+    placed = spots.join(parts, "cls").select("doc_id", "loc", F.col("component").alias("comp"))
     first = placed.groupBy("comp").agg(F.min(F.struct("doc_id", "loc")).alias("lead"), F.max("doc_id").alias("last")).filter("lead.doc_id <> last")
     first = cut(first)
     hits = placed.join(first, "comp").filter("doc_id <> lead.doc_id").select("doc_id", "loc", F.col("lead.doc_id").alias("k_doc"), F.col("lead.loc").alias("k_loc"))
     hits = hits.select("doc_id", t, "k_doc", k_t, (pos - k_pos).alias("off"), pos.alias("s"), (pos + shape.near).alias("e")).distinct()
     name = ["doc_id", "t", "k_doc", "k_t", "off", "no"]
     stretches = cut(joined_stretches(hits))
+    discard(spots, forest, parts, first)
     # Both ends are extended word by word along the first occurrence.
     ends = stretches.select(*name, F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("s").alias("at")), F.struct(F.lit(1).alias("side"), F.col("e").alias("at")))).alias("end"))
     ends = ends.select(
@@ -501,7 +545,9 @@ def repeated_passages(
         F.shiftleft("t", 32).bitwiseOR(F.col("end.at")).alias("loc"),
         F.shiftleft("k_t", 32).bitwiseOR(F.col("end.at") - F.col("off")).alias("k_loc"),
     )
-    around = cut(look_up(ends.select("doc_id", "loc").union(ends.select("k_doc", "k_loc")), shape.gap, shape.gap))
+    places = ends.select("doc_id", "loc").union(ends.select("k_doc", "k_loc")).withColumn("tag", F.lit(0).cast("long"))
+    around = cut(look_up(places, shape.gap, shape.gap).drop("tag"))
+    discard(texts)
     both = ends.join(around, ["doc_id", "loc"]).join(
         around.select(F.col("doc_id").alias("k_doc"), F.col("loc").alias("k_loc"), F.col("words").alias("k_words")), ["k_doc", "k_loc"]
     )
@@ -534,6 +580,7 @@ def repeated_passages(
     near = stretches.join(longer, name).select("doc_id", "t", "k_doc", "k_t", "off", (F.col("s") - F.col("l")).alias("s"), (F.col("e") + F.col("r")).alias("e"))
     # Every stretch is long enough by itself.
     matched = cut(exact.unionByName(near).filter(F.col("e") - F.col("s") >= least))
+    discard(exact, stretches, around)
     spans = matched.select("doc_id", "t", F.lit(True).alias("removed"), "s", "e", F.col("k_doc").alias("kept")).union(
         matched.select("k_doc", "k_t", F.lit(False), F.col("s") - F.col("off"), F.col("e") - F.col("off"), "k_doc").distinct()
     )
@@ -544,6 +591,7 @@ def repeated_passages(
     runs = runs.withColumn("run", F.sum("fresh").over(along.rowsBetween(Window.unboundedPreceding, 0)))
     merged = runs.groupBy("doc_id", "t", "removed", "run").agg(F.min("s").alias("s"), F.max("e").alias("e"), F.min("kept").alias("kept"))
     merged = cut(merged)
+    discard(matched)
     # A first occurrence that is removed itself, but for fewer than ``least`` words, is none. How many words are removed
     # before a place follows from the ends of the removed runs before it.
     ends = F.explode(F.array(*(F.struct(F.col(c).alias("at"), F.lit(way).alias("way")) for c, way in (("s", 1), ("e", -1)))))

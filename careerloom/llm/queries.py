@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from careerloom.llm import bpe, ctw, digests, divergence, lattice, mixing, passages, quality, simhash, topk, toxicity, variants, wordpiece
 from careerloom.llm.common import bucket
+from careerloom.runtime import buckets_for
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -142,7 +143,8 @@ def context_tree_weighting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """,
 )
 def digest_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digests.exact_duplicates(table(spark, sf_dir, "documents"), digests.DigestIndex.scratch(spark))
+    docs = table(spark, sf_dir, "documents")
+    return digests.exact_duplicates(docs, digests.DigestIndex.scratch(spark, buckets_for(docs)))
 
 
 @query(
