@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from datetime import date, timedelta
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from careerloom import vocab as V
 from careerloom.functions import case_key, dates_within_days, is_expired, mint_iri, org_dedup_key, title_similarity
 from careerloom.operators.common import KEY, canonical_map
-from careerloom.runtime import cut
+from careerloom.runtime import cut, cut_by
 
 ORDER = ("doc_id", "pos")
 
@@ -189,6 +191,42 @@ def similar_titles(
     return matched.unionByName(same)
 
 
+def absorbed_jobs(pairs: DataFrame, days: int) -> DataFrame:
+    """(session, job_id, leader): jobs that an earlier leader absorbs, by one sweep along the dates of an organization.
+
+    ``pairs``: session, org_key, a, b with a before b as ``(start_key, job_id)`` structs, similar and close in time. In
+    the order of b every a is decided before b is, so whether it leads is known. Only the absorbed jobs of the last
+    ``days`` are remembered, however long a chain is.
+    """
+    flat = pairs.select(KEY, "org_key", *[F.col(f"{x}.{c}").alias(f"{x}_{c}") for x in "ba" for c in ("start_key", "job_id")])
+    order = ["b_start_key", "b_job_id", "a_start_key", "a_job_id"]
+    rows = flat.repartition(KEY, "org_key").sortWithinPartitions(KEY, "org_key", *order)
+    key_type = pairs.schema[KEY].dataType.simpleString()
+
+    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group = now = None
+        absorbed: dict[str, str] = {}  # job -> its start
+        for batch in batches:
+            out = []
+            for key, org, start, job, a_start, a_job in zip(*(batch.column(c).to_pylist() for c in (KEY, "org_key", *order))):
+                if (key, org) != group:
+                    group, now, absorbed = (key, org), None, {}
+                if start != now:
+                    now = start
+                    if start:
+                        oldest = str(date.fromisoformat(start) - timedelta(days=days))
+                        absorbed = {j: d for j, d in absorbed.items() if not d or d >= oldest}
+                # The first leader takes the job; its other pairs come right behind.
+                if job not in absorbed and a_job not in absorbed:
+                    absorbed[job] = start
+                    out.append((key, job, a_job))
+            columns = zip(*out) if out else ([], [], [])
+            kinds = [batch.schema.field(KEY).type, pa.string(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=[KEY, "job_id", "leader"])
+
+    return rows.mapInArrow(sweep, f"{KEY} {key_type}, job_id string, leader string")
+
+
 def dedup_jobs(
     jobs: DataFrame,
     org_map: DataFrame,
@@ -202,7 +240,8 @@ def dedup_jobs(
     Jobs of one organization are taken by (start date, id). A job is absorbed by
     the earliest leader with a similar title within ``days``; an absorbed job
     leads nobody. After the exact pass a job has at most one partner per date
-    and title, so the pair table is bounded by dates, not by group size.
+    and title, so the pair table is bounded by dates, not by group size. Chains
+    of jobs are resolved in one sweep, however long they are.
     """
     keyed = cut(_keyed_jobs(jobs, org_map))
     alive = cut(_job_heads(keyed))
@@ -221,30 +260,11 @@ def dedup_jobs(
     new = alive.select(
         KEY, "org_key", F.col("title_key").alias("title_new"), F.col("start_date").alias("d_new"), node.alias("b"), bucket.alias("bucket")
     )
-    edges = cut(
-        old.join(new, [KEY, "org_key", "title_new", "bucket"])
-        .filter((F.col("a") < F.col("b")) & dates_within_days("d_new", "d_old", days))
-        .select(KEY, "a", "b")
+    edges = old.join(new, [KEY, "org_key", "title_new", "bucket"]).filter(
+        (F.col("a") < F.col("b")) & dates_within_days("d_new", "d_old", days)
     )
-    open_edges, absorbed = edges, None
-    while not open_edges.isEmpty():
-        leaders = open_edges.select(KEY, "a").join(
-            open_edges.select(KEY, F.col("b").alias("a")), [KEY, "a"], "left_anti"
-        ).distinct()
-        gone = cut(open_edges.join(leaders, [KEY, "a"], "left_semi").select(KEY, "b").distinct())
-        absorbed = gone if absorbed is None else absorbed.unionByName(gone)
-        open_edges = cut(
-            open_edges.join(gone, [KEY, "b"], "left_anti").join(
-                gone.select(KEY, F.col("b").alias("a")), [KEY, "a"], "left_anti"
-            ).select(KEY, "a", "b")
-        )
-    if absorbed is None:
-        return exact
-    merged = (
-        edges.join(absorbed.select(KEY, F.col("b").alias("a")), [KEY, "a"], "left_anti")
-        .groupBy(KEY, "b")
-        .agg(F.min("a").alias("a"))
-        .select(KEY, F.col("b.job_id").alias("canonical_id"), F.col("a.job_id").alias("leader"))
+    merged = absorbed_jobs(edges.select(KEY, "org_key", "a", "b"), days).select(
+        KEY, F.col("job_id").alias("canonical_id"), "leader"
     )
     return exact.join(merged, [KEY, "canonical_id"], "left").select(
         KEY, "id", F.coalesce("leader", "canonical_id").alias("canonical_id")
@@ -529,6 +549,17 @@ def build_graph(
     return out if clash.isEmpty() else out.distinct()
 
 
+def store(triples: DataFrame) -> DataFrame:
+    """The graph as a table bucketed by session and subject and sorted by predicate.
+
+    Whatever is asked per node, or joined with nodes, reads it where it lies;
+    a filter on predicates reads the pages that have them. A bucket per shuffle
+    partition: what the optimiser expects of so many joins is no guide.
+    """
+    buckets = int(triples.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cut_by(triples, KEY, "s", sort=("p", KEY, "s"), buckets=buckets)
+
+
 # ---------------------------------------------------------------- queries over the graph
 
 def graph_stats(triples: DataFrame) -> DataFrame:

@@ -5,11 +5,14 @@ documents: session_id, document_id, filename, upload_ts, status, file_hash
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from careerloom.functions import case_key, strip
 from careerloom.operators.common import KEY
+from careerloom.sources.versions import VersionedTables
 
 # Fixed rules of the upload path.
 ALLOWED_EXTENSIONS = (".pdf", ".docx", ".doc", ".txt", ".md")
@@ -174,29 +177,33 @@ def apply_corrections(entities: DataFrame, edits: DataFrame) -> tuple[DataFrame,
     """Patch entities by id, and rename same-labelled ones in the session's other documents.
 
     entities: session_id, doc_id, kind, entity_id, label, user_verified, user_notes, alt_labels
-    edits:    session_id, kind, entity_id, patch map<string,string>
+    edits:    session_id, kind, entity_id, patch map<string,string>, seq
+    A field is a register: of several edits the one with the largest ``seq`` counts (ties: the greater value), so a
+    later edit wins whatever came in between. Renamings by label follow the same order.
     Returns (entities, rejected or unmatched edits with a reason).
     """
     judged = check_edits(edits)
-    # Several edits of one entity count as one patch; for a field edited twice the greatest value, so no row multiplies.
-    fields = judged.filter("reject is null").select(KEY, "kind", "entity_id", F.explode("patch").alias("f", "v"))
-    fields = fields.groupBy(KEY, "kind", "entity_id", "f").agg(F.max("v").alias("v"))
+    fields = judged.filter("reject is null").select(KEY, "kind", "entity_id", "seq", F.explode("patch").alias("f", "v"))
+    fields = fields.groupBy(KEY, "kind", "entity_id", "f").agg(
+        F.max_by("v", F.struct("seq", "v")).alias("v"), F.max("seq").alias("seq")
+    )
     good = fields.groupBy(KEY, "kind", "entity_id").agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("f", "v")))).alias("patch")
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("f", "v")))).alias("patch"), F.max("seq").alias("seq")
     )
     hits = good.join(entities.select(KEY, "kind", "entity_id", "doc_id", "label"), [KEY, "kind", "entity_id"])
     primary = good.select(KEY, "kind", "entity_id", F.col("patch").alias("p1"))
     # By label: only where the patch renames, and not in a document the id was found in.
     rename = hits.filter(F.array_contains(F.map_keys("patch"), "label") & (F.col("kind") != "person"))
-    secondary = rename.groupBy(KEY, "kind", case_key("label").alias("k")).agg(
-        F.min_by("patch", "entity_id").alias("p2"), F.collect_set("doc_id").alias("home")
-    )
+    k = case_key("label").alias("k")
+    secondary = rename.groupBy(KEY, "kind", k).agg(F.max_by("patch", F.struct("seq", "entity_id")).alias("p2"))
+    home = rename.select(KEY, "kind", k, "doc_id", F.lit(True).alias("home")).distinct()
     e = (
-        entities.withColumn("k", case_key("label"))
+        entities.withColumn("k", k)
         .join(primary, [KEY, "kind", "entity_id"], "left")
         .join(secondary, [KEY, "kind", "k"], "left")
+        .join(home, [KEY, "kind", "k", "doc_id"], "left")
     )
-    patch = F.coalesce("p1", F.when(~F.array_contains("home", F.col("doc_id")), F.col("p2")))
+    patch = F.coalesce("p1", F.when(F.col("home").isNull(), F.col("p2")))
     value = lambda f: F.try_element_at("_patch", F.lit(f))
     alts = F.coalesce("alt_labels", F.array().cast("array<string>"))
     renamed = F.coalesce((F.col("kind") == "skill") & (value("label") != F.col("label")), F.lit(False))
@@ -283,7 +290,11 @@ def latest_session(sessions: DataFrame) -> DataFrame:
     return sessions.agg(F.max_by(F.struct(KEY, "updated_at"), F.struct("updated_at", KEY)).alias("r")).select("r.*")
 
 
-def purge_sessions(gone: DataFrame, **tables: DataFrame) -> dict[str, DataFrame]:
-    """Every table without the rows of the sessions in ``gone``."""
-    ids = gone.select(KEY).distinct()
-    return {name: df.join(ids, KEY, "left_anti") for name, df in tables.items()}
+def purge_sessions(tables: VersionedTables, version: int, gone: DataFrame, names: Sequence[str]) -> None:
+    """Take sessions out of all their tables at once.
+
+    One commit names the sessions and gives them no rows: readers see none from
+    then on, in any of the tables, and the next compaction leaves them out for good.
+    """
+    none = {name: tables.read(name).limit(0) for name in names}
+    tables.commit(version, gone, **none)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from careerloom import vocab as V
 from careerloom.functions import alnum_key, strip
 from careerloom.operators.common import KEY
+from careerloom.runtime import cut_by
 
 _KINDS = tuple(V.TYPE_IRI)
 
@@ -35,13 +36,14 @@ REFERENCE_RULES = (
 )
 
 
-def dangling(triples: DataFrame, rules=REFERENCE_RULES, namespace: str = V.RES) -> DataFrame:
+def dangling(triples: DataFrame, rules=REFERENCE_RULES, namespace: str = V.RES, facts: DataFrame | None = None) -> DataFrame:
     """Edges into our namespace whose target has no type; all rules in one anti join."""
     p = F.col("p")
     refs = triples.filter(
         p.isin(*[x for names, _, _ in rules for x in names]) & (F.col("o_kind") == "iri") & F.col("o").startswith(namespace)
     ).select(KEY, "s", "p", "o")
-    typed = triples.filter(p == V.RDF_TYPE).select(KEY, F.col("s").alias("o"))
+    typed = triples.filter(p == V.RDF_TYPE) if facts is None else facts.filter("typed")
+    typed = typed.select(KEY, F.col("s").alias("o"))
     pick = lambda i: F.coalesce(*[F.when(p.isin(*r[0]), F.lit(r[i])) for r in rules])
     message = F.concat(_local(p), F.lit(" points at "), "o", F.lit(", which has no typed node in the graph"))
     return refs.join(typed, [KEY, "o"], "left_anti").select(
@@ -61,15 +63,15 @@ def technology_dangling(triples: DataFrame) -> DataFrame:
     return dangling(triples, REFERENCE_RULES[2:])
 
 
-def _subject_profile(triples: DataFrame) -> DataFrame:
-    """All per-node facts the label and job rules need, in one aggregation."""
+def node_facts(triples: DataFrame) -> DataFrame:
+    """All per-node facts that the rules and counts need, one row per (session, s), in one aggregation."""
     p, o = F.col("p"), F.col("o")
     has = lambda iri: F.max(F.coalesce(p == iri, F.lit(False)))
-    is_a = lambda k: F.max((p == V.RDF_TYPE) & (o == V.TYPE_IRI[k]))
     literal_label = (p == V.PREF_LABEL) & (F.col("o_kind") == "literal") & (strip("o") != "")
     return triples.groupBy(KEY, "s").agg(
-        F.max((p == V.RDF_TYPE) & o.isin(*V.TYPE_IRI.values())).alias("known"),
-        is_a("job").alias("is_job"),
+        F.count("*").alias("n"),
+        *[F.count_if((p == V.RDF_TYPE) & (o == iri)).alias(f"n_{k}") for k, iri in V.TYPE_IRI.items()],
+        F.max(p == V.RDF_TYPE).alias("typed"),
         F.max(literal_label).alias("labelled"),
         F.min(F.when(p == V.PREF_LABEL, o)).alias("label"),
         has(V.HIRING_ORG).alias("has_org"),
@@ -78,13 +80,14 @@ def _subject_profile(triples: DataFrame) -> DataFrame:
     )
 
 
-def node_rules(triples: DataFrame) -> DataFrame:
+def node_rules(triples: DataFrame, facts: DataFrame | None = None) -> DataFrame:
     """Missing labels, and jobs without organization, start date or technologies."""
     label = F.coalesce("label", "s")
-    job = F.col("is_job")
+    job = F.col("n_job") > 0
+    known = sum((F.col(f"n_{k}") for k in _KINDS), F.lit(0)) > 0
     msg = lambda tail: F.concat(F.lit("Job '"), label, F.lit(tail))
     candidates = [
-        (F.col("known") & ~F.col("labelled"), "error", "missing_label",
+        (known & ~F.col("labelled"), "error", "missing_label",
          F.concat(F.lit("Entity "), "s", F.lit(" has no non-empty skos:prefLabel"))),
         (job & ~F.col("has_org"), "warning", "job_missing_organization", msg("' has no schema:hiringOrganization link")),
         (job & ~F.col("has_start"), "warning", "job_missing_dates", msg("' has no schema:startDate")),
@@ -93,23 +96,14 @@ def node_rules(triples: DataFrame) -> DataFrame:
     found = F.array(
         *[F.when(cond, F.struct(*_issue(level, check, F.col("s"), m))) for cond, level, check, m in candidates]
     )
-    return _subject_profile(triples).select(KEY, F.explode(F.array_compact(found)).alias("i")).select(KEY, "i.*")
+    facts = node_facts(triples) if facts is None else facts
+    return facts.select(KEY, F.explode(F.array_compact(found)).alias("i")).select(KEY, "i.*")
 
 
-def near_duplicate_skills(triples: DataFrame) -> DataFrame:
+def near_duplicate_skills(triples: DataFrame, facts: DataFrame | None = None) -> DataFrame:
     """Distinct skill labels that differ in case or punctuation only."""
-    p, o = F.col("p"), F.col("o")
-    labels = (
-        triples.filter(p.isin(V.RDF_TYPE, V.PREF_LABEL))
-        .groupBy(KEY, "s")
-        .agg(
-            F.max((p == V.RDF_TYPE) & (o == V.TYPE_IRI["skill"])).alias("is_skill"),
-            F.min(F.when(p == V.PREF_LABEL, o)).alias("label"),
-        )
-        .filter("is_skill and label is not null")
-        .select(KEY, "label", alnum_key("label").alias("k"))
-        .filter("k <> ''")
-    )
+    facts = node_facts(triples) if facts is None else facts
+    labels = facts.filter("n_skill > 0 and label is not null").select(KEY, "label", alnum_key("label").alias("k")).filter("k <> ''")
     # collect_set combines before the shuffle, so repeats of a label never travel.
     groups = labels.groupBy(KEY, "k").agg(F.array_sort(F.collect_set("label")).alias("labels")).filter("size(labels) > 1")
     message = F.concat(
@@ -118,23 +112,22 @@ def near_duplicate_skills(triples: DataFrame) -> DataFrame:
     return groups.select(KEY, *_issue("warning", "near_duplicate_skills", F.col("k"), message))
 
 
-def no_person(triples: DataFrame) -> DataFrame:
-    person = (F.col("p") == V.RDF_TYPE) & (F.col("o") == V.TYPE_IRI["person"])
-    bare = triples.groupBy(KEY).agg(F.max(person).alias("has")).filter("not has")
+def no_person(triples: DataFrame, facts: DataFrame | None = None) -> DataFrame:
+    facts = node_facts(triples) if facts is None else facts
+    bare = facts.groupBy(KEY).agg(F.sum("n_person").alias("n")).filter("n = 0")
     return bare.select(KEY, *_issue("warning", "no_person", F.lit(""), F.lit("Graph contains no Person node")))
 
 
-def graph_kind_counts(triples: DataFrame) -> DataFrame:
+def graph_kind_counts(triples: DataFrame, facts: DataFrame | None = None) -> DataFrame:
     """(session_id, kind, in_graph), zero included for sessions with triples."""
-    counts = triples.groupBy(KEY).agg(
-        *[F.count_if((F.col("p") == V.RDF_TYPE) & (F.col("o") == iri)).alias(k) for k, iri in V.TYPE_IRI.items()]
-    )
+    facts = node_facts(triples) if facts is None else facts
+    counts = facts.groupBy(KEY).agg(*[F.sum(f"n_{k}").alias(k) for k in _KINDS])
     return counts.unpivot([KEY], list(_KINDS), "kind", "in_graph")
 
 
-def completeness(triples: DataFrame, extracted: DataFrame) -> DataFrame:
+def completeness(triples: DataFrame, extracted: DataFrame, facts: DataFrame | None = None) -> DataFrame:
     """Compare the graph with what extraction produced: (session_id, kind, extracted)."""
-    both = graph_kind_counts(triples).join(extracted.filter("extracted > 0"), [KEY, "kind"])
+    both = graph_kind_counts(triples, facts).join(extracted.filter("extracted > 0"), [KEY, "kind"])
     lost, low = F.col("in_graph") == 0, F.col("in_graph") < F.col("extracted") * 0.5
     gone = F.concat(
         F.lit("Extraction produced "), F.col("extracted").cast("string"), F.lit(" "), "kind",
@@ -154,15 +147,17 @@ def completeness(triples: DataFrame, extracted: DataFrame) -> DataFrame:
     )
 
 
-def all_issues(triples: DataFrame, extracted: DataFrame | None = None) -> DataFrame:
+def all_issues(triples: DataFrame, extracted: DataFrame | None = None, facts: DataFrame | None = None) -> DataFrame:
+    """Every issue of every session. ``facts``: ``node_facts`` as a table; written here when not given."""
+    facts = cut_by(node_facts(triples), KEY, "s") if facts is None else facts
     parts = [
-        dangling(triples),
-        node_rules(triples),
-        near_duplicate_skills(triples),
-        no_person(triples),
+        dangling(triples, facts=facts),
+        node_rules(triples, facts),
+        near_duplicate_skills(triples, facts),
+        no_person(triples, facts),
     ]
     if extracted is not None:
-        parts.append(completeness(triples, extracted))
+        parts.append(completeness(triples, extracted, facts))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
@@ -170,18 +165,16 @@ def all_issues(triples: DataFrame, extracted: DataFrame | None = None) -> DataFr
 
 
 def validation_report(triples: DataFrame, extracted: DataFrame | None = None) -> DataFrame:
-    """One row per session: valid (no errors), issue counts, graph size."""
-    issues = all_issues(triples, extracted).groupBy(KEY).agg(
+    """One row per session: valid (no errors), issue counts, graph size.
+
+    The triples are read twice: once for what is known of each node, once for the references.
+    """
+    facts = cut_by(node_facts(triples), KEY, "s")
+    issues = all_issues(triples, extracted, facts).groupBy(KEY).agg(
         F.count_if(F.col("level") == "error").alias("errors"),
         F.count_if(F.col("level") == "warning").alias("warnings"),
     )
-    sizes = triples.groupBy(KEY).agg(
-        F.count("*").alias("triple_count"),
-        *[
-            F.count_if((F.col("p") == V.RDF_TYPE) & (F.col("o") == iri)).alias(f"{k}_count")
-            for k, iri in V.TYPE_IRI.items()
-        ],
-    )
+    sizes = facts.groupBy(KEY).agg(F.sum("n").alias("triple_count"), *[F.sum(f"n_{k}").alias(f"{k}_count") for k in _KINDS])
     zero = F.lit(0).cast("long")
     return (
         sizes.join(issues, KEY, "left")

@@ -8,6 +8,7 @@ uploads and ``events`` the status feed.
 
 from __future__ import annotations
 
+import uuid
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from careerloom import vocab as V
 from careerloom.operators import analyze, graph, normalize, sessions, taxonomy
-from careerloom.runtime import cut
+from careerloom.runtime import cut, shared_dir
 from careerloom.streaming import feeds
 
 AS_OF = "2001-01-01"
@@ -94,7 +95,7 @@ class Careers:
                 F.col("o_custkey").alias("session_id"),
                 self._doc().alias("doc_id"),
                 _sv("j", "o_orderkey").alias("job_id"),
-                F.col("o_orderpriority").alias("title"),
+                F.concat("o_orderpriority", F.when(F.col("o_orderkey") % 4 == 1, "s").when(F.col("o_orderkey") % 4 == 2, " I").otherwise("")).alias("title"),
                 _sv("s", "supp").alias("org_id"),
                 start.alias("start_date"),
                 F.when(status != "O", F.date_add(start, (30 * (1 + F.coalesce("n", F.lit(0)))).cast("int"))).alias("end_date"),
@@ -268,7 +269,7 @@ class Careers:
         """The stored graph: built on first use in an application, then read while it runs."""
         key = (self.spark.sparkContext.applicationId, self.dir)
         if key not in _STORED:
-            _STORED[key] = cut(self.build_triples())
+            _STORED[key] = graph.store(self.build_triples())
         return _STORED[key]
 
     @cached_property
@@ -407,11 +408,16 @@ class Careers:
     def events(self) -> DataFrame:
         return self._as_events(self.t("events"))
 
-    def event_stream(self) -> DataFrame:
-        path = f"{self.dir}/events.parquet"
-        schema = self.spark.read.parquet(path).schema
-        stream = self.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(self.dir)
-        return self._as_events(stream.withColumn("ts", F.col("ts").cast("timestamp")))
+    def event_stream(self, parts: int = 4) -> DataFrame:
+        """The events as a stream of ``parts`` batches in the order of their ids."""
+        events = self.t("events").withColumn("ts", F.col("ts").cast("timestamp"))
+        low, high = events.agg(F.min("event_id"), F.max("event_id")).first()
+        step = (high - low) // parts + 1
+        folder = f"{shared_dir(self.spark)}/events-{uuid.uuid4().hex}"
+        for i in range(parts):
+            part = events.filter((F.col("event_id") >= low + i * step) & (F.col("event_id") < low + (i + 1) * step))
+            part.coalesce(1).write.mode("append").parquet(folder)
+        return self._as_events(self.spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(folder))
 
     @cached_property
     def doc_status(self) -> DataFrame:

@@ -81,6 +81,22 @@ def _case(col: str, table: dict, default: str) -> str:
 _TYPE_NAME = "CASE o " + " ".join(f"WHEN '{v}' THEN '{k}'" for k, v in V.TYPE_IRI.items()) + " END"
 _IS_EDGE = f"(o_kind = 'iri' AND p NOT IN ('{V.EXACT_MATCH}', '{V.RDF_TYPE}'))"
 
+
+
+def common(a: str, b: str) -> str:
+    """Length of the longest common subsequence of two short texts: positions of ``a`` are bits, one addition per character of ``b``."""
+    full = f"((CAST(1 AS BIGINT) << length({a})) - 1)"
+    match = (
+        f"list_transform(range(1, length({b}) + 1), lambda j: coalesce(CAST(list_sum(list_transform(range(1, length({a}) + 1), "
+        f"lambda i: CASE WHEN substr({a}, i, 1) = substr({b}, j, 1) THEN CAST(1 AS BIGINT) << (i - 1) ELSE 0 END)) AS BIGINT), 0))"
+    )
+    return f"bit_count({full} - list_reduce(list_prepend({full}, {match}), lambda v, m: ((v + (v & m)) | (v - (v & m))) & {full}))"
+
+
+def title_ratio(a: str, b: str) -> str:
+    return f"(CASE WHEN {a} = {b} THEN 1.0 ELSE 2.0 * {common(a, b)} / (length({a}) + length({b})) END)"
+
+
 BLOCKS: dict[str, str] = {
     # ------------------------------------------------------------ raw records
     "doc": "SELECT DISTINCT o_custkey AS session_id, 'd' || o_custkey || '-' || year(o_orderdate) AS doc_id, year(o_orderdate) AS year FROM orders",
@@ -92,7 +108,7 @@ BLOCKS: dict[str, str] = {
         FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey""",
     "job": """
         SELECT o_custkey AS session_id, 'd' || o_custkey || '-' || year(o_orderdate) AS doc_id, 'j' || o_orderkey AS job_id,
-               o_orderpriority AS title, 's' || supp AS org_id, CAST(o_orderdate AS DATE) AS start_date,
+               o_orderpriority || CASE o_orderkey % 4 WHEN 1 THEN 's' WHEN 2 THEN ' I' ELSE '' END AS title, 's' || supp AS org_id, CAST(o_orderdate AS DATE) AS start_date,
                CASE WHEN o_orderstatus <> 'O' THEN CAST(o_orderdate AS DATE) + CAST(30 * (1 + coalesce(n, 0)) AS INTEGER) END AS end_date,
                o_orderstatus = 'O' AS is_current,
                CASE o_orderstatus WHEN 'F' THEN ['Closed order ' || o_orderkey, 'Reached ' || o_orderpriority, 'Kept the schedule']
@@ -173,7 +189,7 @@ BLOCKS: dict[str, str] = {
     "job_alive": """
         SELECT k.*, row_number() OVER (PARTITION BY k.session_id, org_key ORDER BY start_date, job_id) AS rn
         FROM job_keyed k JOIN job_exact e ON e.session_id = k.session_id AND e.id = k.job_id AND e.id = e.canonical_id""",
-    "job_greedy": """
+    "job_greedy": f"""
         SELECT session_id, org_key, rn, job_id, job_id AS leader, [struct_pack(j := job_id, t := title, d := start_date)] AS leaders
         FROM job_alive WHERE rn = 1
         UNION ALL
@@ -181,7 +197,7 @@ BLOCKS: dict[str, str] = {
                CASE WHEN hit IS NULL THEN list_append(leaders, struct_pack(j := job_id, t := title, d := start_date)) ELSE leaders END
         FROM (SELECT n.session_id, n.org_key, n.rn, n.job_id, n.title, n.start_date, r.leaders,
                      list_filter(r.leaders, lambda x: abs(date_diff('day', x.d, n.start_date)) <= 30
-                         AND 1 - levenshtein(x.t, n.title) / greatest(length(x.t), length(n.title)) >= 0.85)[1].j AS hit
+                         AND {title_ratio('x.t', 'n.title')} >= 0.85)[1].j AS hit
               FROM job_greedy r JOIN job_alive n ON n.session_id = r.session_id AND n.org_key = r.org_key AND n.rn = r.rn + 1)""",
     "job_map": """
         SELECT e.session_id, e.id, coalesce(g.leader, e.canonical_id) AS canonical_id
@@ -382,6 +398,34 @@ BLOCKS: dict[str, str] = {
 _WORD = re.compile(r"\b[a-z_]+\b")
 
 
+def variant(prefix: str, **replaced: str) -> None:
+    """Add blocks ``prefix + name`` for the replaced ones and for all that depend on them, but for the labels themselves."""
+    touched = set(replaced)
+    for name, sql in BLOCKS.items():
+        if set(_WORD.findall(sql)) & touched and name not in replaced and name != "label":
+            touched.add(name)
+    swap = lambda sql: _WORD.sub(lambda m: prefix + m[0] if m[0] in touched else m[0], sql)
+    new = {prefix + n: replaced[n] if n in replaced else swap(BLOCKS[n]) for n in list(BLOCKS) if n in touched}
+    BLOCKS.update(new)
+
+
+# The graph of a session whose labels were reconciled before it was built.
+variant(
+    "n_",
+    raw_skill="""
+        SELECT r.* EXCLUDE (d) REPLACE (CASE WHEN user_verified THEN r.label ELSE coalesce(m.canonical, d) END AS label,
+               CASE WHEN user_verified OR coalesce(m.canonical, d) = d OR list_contains(alt_labels, d) THEN alt_labels ELSE list_append(alt_labels, d) END AS alt_labels)
+        FROM (SELECT *, url_decode(replace(label, '+', '%2B')) AS d FROM raw_skill) r
+        LEFT JOIN label_map m ON m.session_id = r.session_id AND m.pool = 'skill' AND m.label = d""",
+    raw_org="""
+        SELECT o.* REPLACE (coalesce(m.canonical, o.name) AS name)
+        FROM raw_org o LEFT JOIN label_map m ON m.session_id = o.session_id AND m.pool = 'org' AND m.label = o.name""",
+    raw_edu="""
+        SELECT e.* REPLACE (coalesce(m.canonical, e.degree_type) AS degree_type)
+        FROM raw_edu e LEFT JOIN label_map m ON m.session_id = e.session_id AND m.pool = 'degree' AND m.label = e.degree_type""",
+)
+
+
 def compose(query: str) -> str:
     """The query with the blocks it needs in front, in definition order."""
     need: set[str] = set()

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from careerloom import functions as fn
 from careerloom import vocab as V
-from careerloom.plans.oracle import RES, _case, _local
+from careerloom.plans.oracle import RES, _case, _local, title_ratio
 from careerloom.plans.queries.registry import query
 
 _AS_OF = "DATE '2001-01-01'"
@@ -207,24 +207,21 @@ def _(c):
     return t.select("p", fn.predicate_label("p").alias("label"), fn.edge_class("p").alias("edge_class"), "n")
 
 
-@query(
-    "title_similarity",
-    # Both engines score edit distance here; the Ratcliff/Obershelp ratio is checked in unit tests.
-    """SELECT a.t AS t1, b.t AS t2, round(1 - levenshtein(a.t, b.t) / greatest(length(a.t), length(b.t)), 6) AS similarity
-       FROM (SELECT DISTINCT p_name AS t, split_part(p_name, ' ', 1) AS w FROM part) a JOIN (SELECT DISTINCT p_name AS t, split_part(p_name, ' ', 1) AS w FROM part) b USING (w)
-       WHERE a.t < b.t""",
-)
+_NAMES = "SELECT DISTINCT p_name AS t1, lower(p_type || ' ' || p_name) AS t2 FROM part"
+
+
+def _names(c):
+    return c.t("part").select(F.col("p_name").alias("t1"), F.lower(F.concat("p_type", F.lit(" "), "p_name")).alias("t2")).distinct()
+
+
+@query("title_similarity", f"SELECT t1, t2, round(1 - levenshtein(t1, t2) / greatest(length(t1), length(t2)), 6) AS similarity FROM ({_NAMES})")
 def _(c):
-    names = c.t("part").select(F.col("p_name").alias("t"), F.substring_index("p_name", " ", 1).alias("w")).distinct()
-    pairs = names.withColumnRenamed("t", "t1").join(names.withColumnRenamed("t", "t2"), "w").filter("t1 < t2")
-    return pairs.select("t1", "t2", F.round(fn.edit_similarity("t1", "t2"), 6).alias("similarity"))
+    return _names(c).select("t1", "t2", F.round(fn.edit_similarity("t1", "t2"), 6).alias("similarity"))
 
 
-@query("sequence_similarity")
+@query("sequence_similarity", f"SELECT t1, t2, round({title_ratio('t1', 't2')}, 6) AS similarity FROM ({_NAMES})")
 def _(c):
-    names = c.t("part").select(F.col("p_name").alias("t"), F.substring_index("p_name", " ", 1).alias("w")).distinct()
-    pairs = names.withColumnRenamed("t", "t1").join(names.withColumnRenamed("t", "t2"), "w").filter("t1 < t2")
-    return pairs.select("t1", "t2", F.round(fn.title_similarity("t1", "t2"), 6).alias("similarity"))
+    return _names(c).select("t1", "t2", F.round(fn.title_similarity("t1", "t2"), 6).alias("similarity"))
 
 
 @query(

@@ -1,12 +1,15 @@
 """Sessions, uploads, extraction records and corrections."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from careerloom.operators import assemble as C
 from careerloom.operators import sessions as D
 from careerloom.plans.queries.registry import query
-from careerloom.runtime import cut
+from careerloom.runtime import cut, shared_dir
 from careerloom.sources import document_metadata
+from careerloom.sources.versions import VersionedTables
 
 
 @query(
@@ -112,15 +115,20 @@ def _entities(c):
 def _edits(c):
     """The earliest spelling of every label is renamed; other marks get good, blank, foreign or lost edits."""
     pairs = lambda **kw: F.map_from_arrays(F.array(*[F.lit(k) for k in kw]), F.array(*kw.values()))
-    row = lambda df, eid, patch: df.select("session_id", F.lit("skill").alias("kind"), eid.alias("entity_id"), patch.alias("patch"))
+    row = lambda df, eid, patch, seq=2: df.select(
+        "session_id", F.lit("skill").alias("kind"), eid.alias("entity_id"), patch.alias("patch"), F.lit(seq).alias("seq")
+    )
     s = c.raw_skill
     first = s.filter("category = 'ECONOMY'").groupBy("session_id", F.lower("label").alias("k")).agg(F.min("skill_id").alias("skill_id"))
     rename = row(first, F.col("skill_id"), pairs(label=F.concat(F.lit("Curated "), "k"), user_verified=F.lit("true")))
     notes = row(s.filter("category = 'SMALL'"), F.col("skill_id"), pairs(user_notes=F.lit("seen")))
+    # Edits that a later one of the same field overrides: greater texts, given earlier.
+    taken_back = row(first, F.col("skill_id"), pairs(label=F.concat(F.lit("Zealous "), "k"), user_verified=F.lit("unclear")), 1)
+    taken_back = taken_back.unionByName(row(s.filter("category = 'SMALL'"), F.col("skill_id"), pairs(user_notes=F.lit("unseen")), 1))
     blank = row(s.filter("category = 'LARGE'"), F.col("skill_id"), pairs(label=F.lit("  ")))
     alien = row(s.filter("category = 'MEDIUM'"), F.col("skill_id"), pairs(color=F.lit("red")))
     lost = row(s.filter("category = 'STANDARD'"), F.concat(F.lit("no-"), "skill_id"), pairs(label=F.lit("x")))
-    return rename.unionByName(notes).unionByName(blank).unionByName(alien).unionByName(lost)
+    return taken_back.unionByName(rename).unionByName(notes).unionByName(blank).unionByName(alien).unionByName(lost)
 
 
 _FIRST = "SELECT session_id, lower(label) AS k, min(skill_id) AS skill_id FROM raw_skill WHERE category = 'ECONOMY' GROUP BY 1, 2"
@@ -217,13 +225,33 @@ def _(c):
     return D.latest_session(c.session).select("session_id", F.date_format("updated_at", "yyyy-MM-dd HH:mm:ss").alias("updated_at"))
 
 
+_BIG = "SELECT session_id FROM job GROUP BY 1 HAVING count(*) > 12"
+_SOURCES = {
+    "jobs": ("job", "job_id"), "skills": ("raw_skill", "skill_id"), "education": ("raw_edu", "edu_id"), "certifications": ("raw_cert", "cert_id"),
+    "organizations": ("raw_org", "org_id"), "persons": ("raw_person", "person_id"), "documents": ("doc", "doc_id"),
+}
+
+
 @query(
     "purge_sessions",
-    "SELECT session_id, job_id FROM job WHERE session_id NOT IN (SELECT session_id FROM job GROUP BY 1 HAVING count(*) > 12)",
+    " UNION ALL ".join(
+        f"SELECT '{part}' AS part, session_id, CAST({c} AS VARCHAR) AS id FROM {block} WHERE session_id NOT IN ({_BIG})" for part, (block, c) in _SOURCES.items()
+    ),
 )
 def _(c):
+    """All entity tables and the index of documents, stored in versions; a purge, then a compaction that applies it."""
+    frames = {"job": c.job, "raw_skill": c.raw_skill, "raw_edu": c.raw_edu, "raw_cert": c.raw_cert, "raw_org": c.raw_org, "raw_person": c.raw_person, "doc": c.docs}
+    parts = {part: cut(frames[block].select("session_id", F.col(col).alias("id"))) for part, (block, col) in _SOURCES.items()}
+    tables = VersionedTables(c.spark, f"{shared_dir(c.spark)}/sessions-{uuid.uuid4().hex}")
+    tables.commit(0, c.docs.select("session_id"), **parts)
     big = c.job.groupBy("session_id").agg(F.count("*").alias("n")).filter("n > 12")
-    return D.purge_sessions(big, jobs=c.job.select("session_id", "job_id"))["jobs"]
+    D.purge_sessions(tables, 1, big, list(parts))
+    tables.compact(*parts)
+    out = None
+    for part in parts:
+        rows = tables.read(part).select(F.lit(part).alias("part"), "session_id", "id")
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 # ---------------------------------------------------------------- extraction records

@@ -59,7 +59,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def cut_by(df: DataFrame, *keys: str, sort: tuple[str, ...] = (), buckets: int | None = None, unique: bool = False) -> DataFrame:
-    """``cut`` into a table that is bucketed by ``keys`` and sorted by them and ``sort``.
+    """``cut`` into a table that is bucketed by ``keys`` and, within a bucket, sorted by ``sort`` or else them.
 
     Joins and groups on the keys read it where it lies, without an exchange on
     its side. Without ``buckets`` their number follows ``buckets_for``.
@@ -71,15 +71,21 @@ def cut_by(df: DataFrame, *keys: str, sort: tuple[str, ...] = (), buckets: int |
     path = f"{shared_dir(spark)}/{name}"
     rows = by_bucket(df, n, *keys)
     rows = _one_per_key(rows, keys) if unique else rows
-    rows.write.format("parquet").option("path", path).bucketBy(n, *keys).sortBy(*keys, *sort).saveAsTable(name)
+    rows.write.format("parquet").option("path", path).bucketBy(n, *keys).sortBy(*(sort or keys)).saveAsTable(name)
     out = spark.table(name)
     out._cut = path, name
     return out
 
 
 def buckets_for(df: DataFrame, size: int = 64 << 20) -> int:
-    """Buckets of about ``size`` bytes as the optimiser expects them, 16 at least and 50,000 at most."""
-    return min(50_000, max(16, size_of(df) // size))
+    """Buckets of about ``size`` bytes as the optimiser expects them, 16 at least and 50,000 at most.
+
+    Where it has no idea (rows that never were a file), as many as the session has shuffle partitions.
+    """
+    expected = size_of(df)
+    if expected >= 1 << 60:
+        return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return min(50_000, max(16, expected // size))
 
 
 def by_bucket(df: DataFrame, buckets: int, *keys: str) -> DataFrame:
