@@ -153,7 +153,8 @@ def _distances(kept: DataFrame, groups: DataFrame, block: int, unit_rows: int) -
     spread = spread.select(
         "lang", F.ceil(F.coalesce("rows", F.lit(1)) / unit_rows).alias("chunks"), (F.col("last") / block).cast("long").alias("blocks")
     )
-    spread = broadcast_if_small(spread)
+    # Written first, so that its size is known: one row per language.
+    spread = broadcast_if_small(cut(spread))
     mine = (F.col("no") / block).cast("long")
     terms = kept.join(spread, "lang").select("lang", "no", "term", "p", F.pmod(F.xxhash64("term"), F.col("chunks")).alias("chunk"), "blocks")
     # Every unit gets the sources of its blocks, whether it has terms of theirs or not.
