@@ -39,7 +39,8 @@ def batches_of(
 def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, max_rows: int) -> DataFrame:
     """``doc_id, text, label`` of at most ``max_rows`` labelled documents, chosen by a hash of the id.
 
-    Labels other than 0 and 1 are left out; of several labels of an id the smallest counts.
+    Labels other than 0 and 1 are left out; of several labels of an id the smallest counts, of several texts the one
+    with the smallest hash.
     """
     chosen = (
         rows_of(labels, "doc_id", label_col)
@@ -55,7 +56,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, max_rows
         rows_of(docs, "doc_id", "text")
         .select(F.col("doc_id").cast("long").alias("doc_id"), "text")
         .join(F.broadcast(chosen), "doc_id")
-        .dropDuplicates(["doc_id"])
+        .groupBy("doc_id", "label")
+        .agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
         .select("doc_id", "text", "label")
     )
 

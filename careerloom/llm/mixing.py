@@ -71,7 +71,7 @@ def permuted(index: np.ndarray, n: np.ndarray, key: np.ndarray, rounds: int = 4)
 
 @dataclass
 class Plan:
-    """``sized``: row, doc_id, sid, size and first word; ``sources``: one row each; ``slots``: sid, blk, shard, slot."""
+    """``sized``: __row, doc_id, sid, size and first word; ``sources``: one row each; ``slots``: sid, blk, shard, slot, words."""
 
     sized: DataFrame
     sources: list[dict]
@@ -92,18 +92,23 @@ def plan(
     text_col: str = "text",
     source_col: str = "source",
 ) -> Plan:
-    """Decides what the mix takes. ``docs`` must have a column ``row`` that is unique.
+    """Decides what the mix takes. ``docs`` must have a column ``__row`` that is unique.
+
+    A source gets as many whole passes as fit its target, and blocks of a further
+    pass for the rest, the last of them cut to the words that are left. So a
+    source smaller than a block meets its target to the word, a larger one to
+    less than a block.
 
     One row per source comes to the driver, and more than ``max_sources``
     sources are an error; documents and slots never do.
     """
     sized = cut(
-        rows_of(docs, "row", id_col, text_col, source_col).select(
-            "row",
-            F.col(id_col).alias("doc_id"),
-            F.col(source_col).cast("string").alias("source"),
-            word_count(F.col(text_col)).alias("size"),
-            F.xxhash64(text_col).alias("h"),
+        rows_of(docs, "__row", id_col, text_col, source_col).select(
+            "__row",
+            F.col(f"`{id_col}`").alias("doc_id"),
+            F.col(f"`{source_col}`").cast("string").alias("source"),
+            word_count(F.col(f"`{text_col}`")).alias("size"),
+            F.xxhash64(F.col(f"`{text_col}`")).alias("h"),
         )
     )
     named = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).limit(max_sources + 1)
@@ -111,10 +116,16 @@ def plan(
     if len(found) > max_sources:
         raise ValueError(f"more than {max_sources} sources")
     wanted = targets([r["size"] for r in found], [weights[i % len(weights)] for i in range(len(found))], most)
-    sources = [
-        {"sid": i, "source": r["source"], "size": r["size"], "target": t, "blocks": -(-r["size"] // block), "slots": round(t / block)}
-        for i, (r, t) in enumerate(zip(found, wanted))
-    ]
+    sources = []
+    for i, (r, t) in enumerate(zip(found, wanted)):
+        words = round(t)
+        passes = words // r["size"] if r["size"] else 0
+        blocks, rest = -(-r["size"] // block), words - passes * r["size"]
+        last = rest % block or block  # words of the last slot, if the rest needs any
+        sources.append(
+            {"sid": i, "source": r["source"], "size": r["size"], "target": t, "blocks": blocks,
+             "slots": passes * blocks + -(-rest // block), "last": last if rest else block}
+        )
     spark = docs.sparkSession
     ids = spark.createDataFrame(
         [(s["source"], s["sid"], s["size"], s["target"]) for s in sources], "source string, sid int, source_size long, target double"
@@ -123,29 +134,37 @@ def plan(
     n = sum(r["n"] for r in found)
     buckets = max(1, n // bucket_rows)
     placed = sized.join(F.broadcast(ids), sized["source"].eqNullSafe(ids["source"])).select(
-        "row", "doc_id", "sid", "size", "h", "source_size", "target", F.pmod(F.xxhash64("doc_id", "h"), F.lit(buckets)).alias("bucket")
-    )
-    inside = Window.partitionBy("sid", "bucket").orderBy("doc_id", "h", "row").rowsBetween(Window.unboundedPreceding, -1)
-    before = Window.partitionBy("sid").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (
-        placed.groupBy("sid", "bucket")
-        .agg(F.sum("size").alias("words"))
-        .select("sid", "bucket", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("start"))
+        "__row", "doc_id", "sid", "size", "h", "source_size", "target", F.pmod(F.xxhash64("doc_id", "h"), F.lit(buckets)).alias("bucket")
     )
+    inside = Window.partitionBy("sid", "bucket").orderBy("doc_id", "h", "__row").rowsBetween(Window.unboundedPreceding, -1)
+    starts = _sums_before(placed.groupBy("sid", "bucket").agg(F.sum("size").alias("words")), "bucket", "words", "start")
     placed = (
         placed.withColumn("within", F.coalesce(F.sum("size").over(inside), F.lit(0)))
         .join(starts, ["sid", "bucket"])
         .withColumn("first", F.col("start") + F.col("within"))
         .drop("h", "bucket", "start", "within")
     )
-    return Plan(placed, sources, _slots(spark, sources, shard_slots, seed), block)
+    return Plan(placed, sources, _slots(spark, sources, block, shard_slots, seed), block)
+
 
+def _sums_before(rows: DataFrame, order: str, value: str, name: str, chunk: int = 4096) -> DataFrame:
+    """``rows`` with the sum of ``value`` over the rows of their source that come before: within chunks, then over chunks."""
+    rows = rows.withColumn("__chunk", F.floor(F.col(order) / chunk))
+    along = Window.partitionBy("sid", "__chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    chunks = rows.groupBy("sid", "__chunk").agg(F.sum(value).alias("__sum"))
+    earlier = Window.partitionBy("sid").orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
+    chunks = chunks.select("sid", "__chunk", F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias("__before"))
+    inside = rows.withColumn("__inside", F.coalesce(F.sum(value).over(along), F.lit(0)))
+    joined = inside.join(chunks, ["sid", "__chunk"]).withColumn(name, (F.col("__before") + F.col("__inside")).cast("long"))
+    return joined.drop("__chunk", "__before", "__inside")
 
-def _slots(spark, sources: list[dict], shard_slots: int, seed: int) -> DataFrame:
+
+def _slots(spark, sources: list[dict], block: int, shard_slots: int, seed: int) -> DataFrame:
     wanted = np.array([s["slots"] for s in sources], np.int64)
     blocks = np.array([s["blocks"] for s in sources], np.int64)
     total = int(wanted.sum())
-    schema = "sid int, blk long, shard long, slot long"
+    last = np.array([s["last"] for s in sources], np.int64)
+    schema = "sid int, blk long, shard long, slot long, words long"
     if not total:
         return spark.createDataFrame([], schema)
     n_shards = -(-total // shard_slots)
@@ -182,28 +201,32 @@ def _slots(spark, sources: list[dict], shard_slots: int, seed: int) -> DataFrame
                 size = blocks[source]
                 key = (np.uint64(seed) * np.uint64(0x9E3779B97F4A7C15 >> 8)) ^ (source.astype(np.uint64) << np.uint64(40)) ^ (k // size).astype(np.uint64)
                 blk = permuted(k % size, size, key * np.uint64(0xD6E8FEB86659FD93))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(source.astype(np.int32)), pa.array(blk), pa.array(np.full(n, s)), pa.array(np.arange(n))],
-                    names=["sid", "blk", "shard", "slot"],
-                )
+                words = np.where(k == wanted[source] - 1, last[source], block)
+                columns = source.astype(np.int32), blk, np.full(n, s), np.arange(n), words
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["sid", "blk", "shard", "slot", "words"])
 
-    along = Window.partitionBy("sid").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    numbered = draws.withColumn("first", F.coalesce(F.sum("n").over(along), F.lit(0)))
-    return batches_of(numbered, settle, schema)
+    numbered = _sums_before(draws, "shard", "n", "first").select("shard", "sid", "n", "first")
+    # The draws are small, the slots that come of them are not: every few shards are a task.
+    return batches_of(numbered.repartition(min(n_shards, 10_000), "shard"), settle, schema)
 
 
 def pieces(p: Plan) -> DataFrame:
-    """``row, at, n, uses``: runs of words of a document (from word ``at``) and how often the mix shows them."""
-    uses = p.slots.groupBy("sid", "blk").agg(F.count("*").alias("uses"))
+    """``__row, at, n, uses``: runs of words of a document (from word ``at``) and how often the mix shows them."""
+    whole = F.col("words") >= p.block
+    uses = p.slots.groupBy("sid", "blk").agg(F.count_if(whole).alias("uses"), F.max(F.when(~whole, F.col("words"))).alias("part"))
     last = F.floor((F.col("first") + F.col("size") - 1) / p.block)
     of_docs = p.sized.filter("size > 0").select(
-        "row", "sid", "first", "size", F.explode(F.sequence(F.floor(F.col("first") / p.block), last)).alias("blk")
-    )
-    start = F.greatest(F.col("first"), F.col("blk") * p.block)
-    end = F.least(F.col("first") + F.col("size"), (F.col("blk") + 1) * p.block)
-    return of_docs.join(uses, ["sid", "blk"]).select(
-        "row", (start - F.col("first")).alias("at"), (end - start).alias("n"), "uses"
+        "__row", "sid", "first", "size", F.explode(F.sequence(F.floor(F.col("first") / p.block), last)).alias("blk")
     )
+    begin = F.col("blk") * p.block
+    start = F.greatest(F.col("first"), begin)
+    end = F.least(F.col("first") + F.col("size"), begin + p.block)
+    # A slot that shows the first words of its block only parts the run in two.
+    seam = F.least(end, F.greatest(start, begin + F.coalesce("part", F.lit(0))))
+    run = lambda a, b, n: F.struct((a - F.col("first")).alias("at"), (b - a).alias("n"), n.alias("uses"))
+    runs = F.array(run(start, seam, F.col("uses") + 1), run(seam, end, F.col("uses")))
+    found = of_docs.join(uses, ["sid", "blk"]).select("__row", F.explode(runs).alias("r")).select("__row", "r.*")
+    return found.filter("n > 0 and uses > 0")
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
@@ -214,9 +237,9 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     without words are in no block. Without any words all targets are 0.
     Repeated rows are documents of their own.
     """
-    p = plan(docs.withColumn("row", F.monotonically_increasing_id()), **options)
-    taken = pieces(p).groupBy("row").agg(F.sum(F.col("n") * F.col("uses")).alias("taken"))
-    return p.sized.join(taken, "row", "left").select(
+    p = plan(docs.withColumn("__row", F.monotonically_increasing_id()), **options)
+    taken = pieces(p).groupBy("__row").agg(F.sum(F.col("n") * F.col("uses")).alias("taken"))
+    return p.sized.join(taken, "__row", "left").select(
         "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")
     )
 
@@ -227,10 +250,10 @@ def mixed_documents(docs: DataFrame, text_col: str = "text", **options) -> DataF
     The text of a row holds the words that its pass takes, with the white space
     between them as it was; words the mix leaves out are gone.
     """
-    rows = cut(docs.withColumn("row", F.monotonically_increasing_id()))
+    rows = cut(docs.withColumn("__row", F.monotonically_increasing_id()))
     p = plan(rows, text_col=text_col, **options)
-    of_row = pieces(p).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("at", "n", "uses"))).alias("pieces"))
-    joined = rows.join(of_row, "row")
+    of_row = pieces(p).groupBy("__row").agg(F.array_sort(F.collect_list(F.struct("at", "n", "uses"))).alias("__pieces"))
+    joined = rows.join(of_row, "__row")
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -252,8 +275,9 @@ def mixed_documents(docs: DataFrame, text_col: str = "text", **options) -> DataF
                     keep.append(i)
                     texts.append(text if whole else "\n".join(parts))
             rows_now = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("row").take(rows_now), pa.array(texts, pa.string())], names=["row", "mixed"])
+            yield pa.RecordBatch.from_arrays([batch.column("__row").take(rows_now), pa.array(texts, pa.string())], names=["__row", "__mixed"])
 
-    mixed = batches_of(joined.select("row", F.col(text_col).alias("text"), "pieces"), assemble, "row long, mixed string")
+    taken = joined.select("__row", F.col(f"`{text_col}`").cast("string").alias("text"), F.col("__pieces").alias("pieces"))
+    mixed = batches_of(taken, assemble, "__row long, __mixed string")
     others = rows.drop(text_col)
-    return others.join(mixed, "row").select(*(F.col("mixed").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns))
+    return others.join(mixed, "__row").select(*(F.col("__mixed").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns))

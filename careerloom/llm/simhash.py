@@ -380,7 +380,7 @@ def _exact_links(sets: DataFrame, similarity: float, piece: int) -> DataFrame:
     return batches_of(units, compare, "a long, b long")
 
 
-def similar_documents(
+def _similar_texts(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
@@ -392,7 +392,7 @@ def similar_documents(
     rows_per_band: int = 4,
     piece: int = 256,
 ) -> DataFrame:
-    """``doc_id, component_id`` of documents whose sets of shingles have a Jaccard similarity of at least ``similarity``.
+    """``doc_id, t, first`` of documents whose sets of shingles have a Jaccard similarity of at least ``similarity``.
 
     Candidates come from two sides. Fingerprints of such texts differ in 9.7 of
     64 bits on average, so a reach of eleven meets three quarters of the pairs
@@ -400,7 +400,7 @@ def similar_documents(
     four smallest shingle hashes meet 0.995 of them. Within the groups that the
     candidates form, the sets themselves are compared, and only pairs of that
     similarity link. Rows with a null id and texts without words are in no
-    group and not returned.
+    group and not returned. ``t`` is a hash of the text, ``first`` the smallest ``(doc_id, t)`` of the group.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -415,13 +415,14 @@ def similar_documents(
                 keys.append(_bands(value, bands, rows_per_band))
                 sketches.append(_sketch(value))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(fps.view(np.int64)), pa.array(sketches, pa.binary()), pa.array(made, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
-                names=["doc_id", "fp", "sketch", "made", "keys"],
+                [batch.column("doc_id"), batch.column("t"), pa.array(fps.view(np.int64)), pa.array(sketches, pa.binary()), pa.array(made, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
+                names=["doc_id", "t", "fp", "sketch", "made", "keys"],
             )
 
     rows = rows_of(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     rows = rows.filter("doc_id is not null").filter(F.col("text").cast("string").rlike(WORD))
-    prints = cut(batches_of(rows, run, "doc_id long, fp long, sketch binary, made long, keys array<long>"))
+    hashed = rows.select("doc_id", F.xxhash64("text").alias("t"), "text")
+    prints = cut(batches_of(hashed, run, "doc_id long, t long, fp long, sketch binary, made long, keys array<long>"))
     # Texts with the same set of shingles are one; what is searched is one of them, and its id may be another row's too.
     classes = cut(prints.groupBy("made").agg(F.min(F.struct("doc_id", "fp", "sketch", "keys")).alias("one")).select("made", "one.*"))
     met = links(classes.select("fp", F.col("made").alias("rep"), "sketch"), reach, tables=4, least_match=least_match)
@@ -440,17 +441,24 @@ def similar_documents(
 
     read = batches_of(rows.join(wanted, "doc_id").select("text", "made", "comp"), sets, "comp long, rep long, set binary")
     parts = components(_exact_links(cut(read.dropDuplicates(["rep"])), similarity, piece)).withColumnRenamed("node", "made")
-    placed = classes.select("made", "doc_id").join(parts, "made", "left").select("made", "doc_id", F.coalesce("component", "made").alias("comp"))
-    smallest = placed.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    return prints.select("doc_id", "made").join(placed.select("made", "comp").join(smallest, "comp"), "made").select("doc_id", "component_id")
+    placed = prints.select("doc_id", "t", "made").join(parts, "made", "left")
+    placed = placed.select("doc_id", "t", F.coalesce("component", "made").alias("comp"))
+    first = placed.groupBy("comp").agg(F.min(F.struct("doc_id", "t")).alias("first"))
+    return placed.join(first, "comp").select("doc_id", "t", "first")
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``doc_id, component_id``: the groups of ``_similar_texts`` by their smallest ids, one row per row of ``docs`` with words and an id."""
+    return _similar_texts(docs, id_col, text_col, **options).select("doc_id", F.col("first.doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that stand for their group of similar documents: the smallest id of each.
 
-    Rows with a null id and texts without words stay. Rows that repeat an id
-    share its fate.
+    Rows with a null id and texts without words stay. Rows that repeat id and
+    text share their fate; of several texts of an id each has its own.
     """
-    found = similar_documents(docs, id_col, text_col, **options)
-    drop = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("__drop")).distinct()
-    return docs.join(drop, docs[id_col] == drop["__drop"], "left_anti")
+    found = _similar_texts(docs, id_col, text_col, **options)
+    drop = found.filter(F.struct("doc_id", "t") != F.col("first")).select(F.col("doc_id").alias("__drop"), F.col("t").alias("__t")).distinct()
+    text = F.xxhash64(F.col(f"`{text_col}`").cast("binary"))
+    return docs.join(drop, (docs[id_col].cast("long") == drop["__drop"]) & (text == drop["__t"]), "left_anti")
