@@ -13,7 +13,7 @@ from careerloom.operators import taxonomy as J
 from careerloom.plans import insights as I
 from careerloom.plans import render as R
 from careerloom.plans import texts as TX
-from careerloom.streaming import feeds
+from careerloom.streaming import feeds, status
 
 
 @pytest.fixture(scope="module")
@@ -163,30 +163,65 @@ def test_streams_equal_batch_and_survive_restart(spark, tmp_path):
     def stream():
         return spark.readStream.schema(EVENTS).parquet(src)
 
-    for part in (df.filter("event_id < 60"), df.filter("event_id >= 60")):
+    want = status.document_runs(df, "3 hours")
+    for part in (df.filter("event_id < 40"), df.filter("event_id between 40 and 79"), df.filter("event_id >= 80")):
         part.write.mode("append").parquet(src)
-        feeds.stream_document_status(stream(), out, ckpt).awaitTermination()
-    want = feeds.document_status(df)
-    assert rows(feeds.current_status(spark, out)) == rows(want)
+        status.stream_document_status(stream(), out, ckpt, keep=dt.timedelta(hours=3)).awaitTermination()
+    assert rows(status.current_status(spark, out)) == rows(want)
+    by_session = {r.session_id: (r.documents, r.updated_at) for r in status.session_changes(want).collect()}
+    assert by_session == {"s0": (3, t0 + dt.timedelta(minutes=7 * 118)), "s1": (3, t0 + dt.timedelta(minutes=7 * 119))}
 
     feeds.stream_dedup_uploads(
-        stream().select("session_id", F.md5("payload").alias("file_hash"), F.col("ts").alias("upload_ts")), out + "2", ckpt + "2"
+        stream().select("session_id", F.md5("payload").alias("file_hash"), F.col("ts").alias("upload_ts"), F.col("event_id").alias("document_id")), out + "2", ckpt + "2"
     ).awaitTermination()
-    assert spark.read.parquet(out + "2").count() == df.select("session_id", "payload").distinct().count()
+    assert feeds.first_uploads(spark, out + "2").count() == df.select("session_id", "payload").distinct().count()
 
     feeds.stream_event_counts(stream(), out + "3", ckpt + "3").awaitTermination()
     got, all_windows = rows(spark.read.parquet(out + "3")), rows(feeds.event_counts(df, delay=None))
     assert got and set(got) < set(all_windows)  # windows behind the watermark only
+    assert max(r[3] for r in got) <= 6 and any(r[1] == "error" for r in got)
+
+    # Each batch rebuilds its sessions whole; the newest committed version counts.
+    current = feeds.document_status(df)
 
-    # Each batch rebuilds its sessions whole; the newest version counts.
     def rebuild(touched):
-        return want.join(touched, "session_id", "left_semi").select("session_id", "document_id", "status")
+        return {"triples": current.join(touched, "session_id", "left_semi").select("session_id", "document_id", "status")}
 
     done = stream().filter("event = 'complete'")
     for _ in range(2):
-        feeds.stream_rebuild(done, rebuild, out + "4", ckpt + "4", completed=lambda: want.filter("status = 'complete'")).awaitTermination()
-    ready = [r.session_id for r in want.filter("status = 'complete'").groupBy("session_id").count().filter("count >= 2").collect()]
-    assert rows(feeds.latest_rows(spark, out + "4")) == rows(want.filter(F.col("session_id").isin(ready)).select("session_id", "document_id", "status"))
+        feeds.stream_rebuild(done, rebuild, out + "4", ckpt + "4", completed=lambda: current.filter("status = 'complete'")).awaitTermination()
+    ready = [r.session_id for r in current.filter("status = 'complete'").groupBy("session_id").count().filter("count >= 2").collect()]
+    assert rows(feeds.latest_rows(spark, out + "4")) == rows(current.filter(F.col("session_id").isin(ready)).select("session_id", "document_id", "status"))
+
+
+def test_a_finished_document_keeps_no_state(spark, tmp_path):
+    """One unfinished document, many finished ones and later events: the state that is left is of the last batch's day."""
+    t0 = dt.datetime(2024, 1, 1)
+    data = [(0, t0, "s", 0, "started", None)] + [(i, t0 + dt.timedelta(hours=i), "s", i, "complete", None) for i in range(1, 200)]
+    df, src = spark.createDataFrame(data, EVENTS), str(tmp_path / "in")
+    for low in (0, 100):
+        df.filter((F.col("event_id") >= low) & (F.col("event_id") < low + 100)).coalesce(1).write.mode("append").parquet(src)
+        q = status.stream_document_status(spark.readStream.schema(EVENTS).parquet(src), str(tmp_path / "out"), str(tmp_path / "ckpt"), keep=dt.timedelta(hours=5))
+        q.awaitTermination()
+    kept = q.lastProgress["stateOperators"][0]["numRowsTotal"]
+    assert kept < 60  # of 200 documents; timers count as rows
+    assert status.current_status(spark, str(tmp_path / "out")).count() == 200
+
+
+def test_filters_name_the_batches_that_may_hold_a_key(spark, tmp_path):
+    batches = [[(f"s{i % 3}", f"h{b}-{i}", b * 100 + i, i) for i in range(50)] for b in range(4)]
+    batches[3] += [("s0", "h1-0", 999, 1), ("s1", "new", 5, 2), ("s1", "new", 5, 1)]
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for rows_ in batches:
+        spark.createDataFrame(rows_, "session_id string, file_hash string, upload_ts long, document_id long").coalesce(1).write.mode("append").parquet(src)
+        schema = "session_id string, file_hash string, upload_ts long, document_id long"
+        feeds.stream_dedup_uploads(spark.readStream.schema(schema).parquet(src), out, str(tmp_path / "ckpt")).awaitTermination()
+    kept = {(r.session_id, r.file_hash): (r.upload_ts, r.document_id) for r in feeds.first_uploads(spark, out).collect()}
+    assert len(kept) == 201 and kept["s0", "h1-0"] == (100, 0) and kept["s1", "new"] == (5, 1)
+    commits = feeds.VersionedTables(spark, out, ("session_id", "file_hash")).commits()
+    asked = spark.createDataFrame([("s0", "h1-0"), ("s2", "h2-2")], "session_id string, file_hash string")
+    found = feeds.may_hold(spark, out, commits, asked.select(F.xxhash64("session_id", "file_hash").alias("k")))
+    assert {1, 2} <= set(found)
 
 
 def test_a_failing_analysis_leaves_the_others(spark, frames, monkeypatch):

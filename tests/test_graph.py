@@ -3,9 +3,9 @@
 import datetime as dt
 import itertools
 import random
-from difflib import SequenceMatcher
 
 import pytest
+from test_functions import common_length
 from conftest import rows
 from pyspark.sql import functions as F
 
@@ -20,13 +20,17 @@ ORG_MAP = "session_id int, id string, canonical_id string"
 JOBS = "session_id int, job_id string, title string, org_id string, start_date date"
 
 
+def ratio(a, b):
+    return 1.0 if a == b else 2 * common_length(a, b) / (len(a) + len(b))
+
+
 def greedy(jobs, days=30, threshold=0.85):
     """The sequential rule, one job after the other."""
     out, leaders = {}, []
     for jid, title, org, start in sorted(jobs, key=lambda j: (str(j[3] or ""), j[0])):
         for lid, lt, lo, ls in leaders:
             close = (start is None and ls is None) or (start and ls and abs((start - ls).days) <= days)
-            if lo == org and close and SequenceMatcher(None, title, lt).ratio() >= threshold:
+            if lo == org and close and ratio(title, lt) >= threshold:
                 out[jid] = lid
                 break
         else:
@@ -35,6 +39,23 @@ def greedy(jobs, days=30, threshold=0.85):
     return out
 
 
+def test_a_long_chain_of_jobs_is_one_sweep(spark, monkeypatch):
+    """Every second job of a chain is absorbed; how many tables are written does not depend on its length."""
+    from careerloom import runtime
+
+    written = []
+    monkeypatch.setattr(G, "cut", lambda df: written.append(1) or runtime.cut(df))
+    counts = []
+    for n in (4, 40):
+        jobs = [(f"j{i:03d}", "engineer" + "s" * (i % 2), "a", dt.date(2020, 1, 1) + dt.timedelta(20 * i)) for i in range(n)]
+        before = len(written)
+        df = spark.createDataFrame([(1, *j) for j in jobs], JOBS)
+        got = {r.id: r.canonical_id for r in G.dedup_jobs(df, spark.createDataFrame([], ORG_MAP)).collect()}
+        assert got == greedy(jobs) and got["j003"] == "j002"
+        counts.append(len(written) - before)
+    assert counts[0] == counts[1]
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_fuzzy_jobs_equal_the_sequential_rule(spark, seed):
     rng = random.Random(seed)
@@ -54,7 +75,7 @@ def test_similar_titles_misses_no_pair(spark):
     titles = sorted({" ".join(rng.choices(words, k=rng.randrange(1, 4))) + rng.choice(["", "s", " i", "."]) for _ in range(150)} | {"a", "ab", "abc", "abd"})
     df = spark.createDataFrame([(1, "o", t) for t in titles], "session_id int, org_key string, title_key string")
     got = set(rows(G.similar_titles(df), "title_new", "title_old"))
-    want = {(a, b) for a, b in itertools.product(titles, titles) if SequenceMatcher(None, a, b).ratio() >= 0.85}
+    want = {(a, b) for a, b in itertools.product(titles, titles) if ratio(a, b) >= 0.85}
     assert got == want
 
 
@@ -212,6 +233,32 @@ def test_view(world):
     assert tip["j1"] == "<b>Engineer</b><br><i>Type: job</i><br>Title: Engineer<br>Organization: BigCo"
 
 
+def test_hubs_stay_factors(spark):
+    """All members of a hub as centres: the factors grow with the members, and multiply out to what a plain search finds."""
+    n = 40
+    edges = [(f"m{i}", "hub") for i in range(n)] + [(f"m{i}", f"x{i % 7}") for i in range(n)] + [("hub", "top"), ("x0", "x1"), ("top", "far")]
+    t = spark.createDataFrame([(1, a, "p", b, "iri", None) for a, b in edges], "session_id int, s string, p string, o string, o_kind string, o_type string")
+    centers = spark.createDataFrame([(1, f"m{i}") for i in range(n)] + [(1, "hub"), (1, "far")], "session_id int, center string")
+    near, hubs, rings = view.ego_reach(t, centers, 2, hub_degree=20)
+    assert near.count() < 20 * n and hubs.count() <= n + 2 and rings.count() < 3 * n
+    for depth in (1, 2, 3):
+        want = rows(view.ego_nodes(t, centers, depth, hub_degree=10**6), "center", "id", "hops")
+        for degree in (20, 5, 1):
+            assert rows(view.ego_nodes(t, centers, depth, hub_degree=degree), "center", "id", "hops") == want
+
+
+def test_a_stored_graph_is_read_where_it_lies(spark, world):
+    stored = G.store(world)
+    assert rows(stored) == rows(world)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan(H.node_facts(stored)) and "Bucketed: true" in plan(H.node_facts(stored))
+    assert plan(H.node_rules(stored)).count("Exchange") == 0
+    # Of the nodes only the ends of edges move.
+    assert plan(view.node_labels(stored)).count("Exchange") <= 2
+    assert rows(H.validation_report(stored)) == rows(H.validation_report(world))
+    assert rows(view.nodes(stored)) == rows(view.nodes(world))
+
+
 def test_ego_graph(spark, world):
     centers = spark.createDataFrame([(1, V.RES + "s3"), (1, V.RES + "missing")], "session_id int, center string")
     near, inside = view.ego_graph(world, centers, 1)

@@ -7,6 +7,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
+from careerloom.sources.versions import VersionedTables
 from careerloom import schemas, sources
 from careerloom import vocab as V
 from careerloom.operators import assemble as C
@@ -164,14 +165,44 @@ def test_merge_persons_by_name(spark):
     assert ("Unknown",) in rows(filled, "name")
 
 
+def test_versions_commit_whole_or_not_at_all(spark, tmp_path):
+    t = VersionedTables(spark, str(tmp_path / "v"))
+    keys = lambda *k: spark.createDataFrame([(x,) for x in k], "session_id int")
+    data = lambda *r: spark.createDataFrame(list(r), "session_id int, v string")
+    with pytest.raises(FileNotFoundError):
+        t.read("a")
+    t.commit(0, keys(1, 2), a=data((1, "x"), (2, "y")), b=data((2, "z")))
+    # A failure between the tables of a commit changes nothing for readers.
+    broken = data((1, "new")).withColumn("v", F.raise_error(F.lit("lost")).cast("string"))
+    with pytest.raises(Exception):
+        t.commit(1, keys(1), a=data((1, "new")), b=broken)
+    assert rows(t.read("a")) == [(1, "x"), (2, "y")] and rows(t.read("b")) == [(2, "z")]
+    t.commit(1, keys(1), a=data((1, "new")), b=data((1, "too")))
+    t.commit(1, keys(1), a=data((1, "again")), b=data())  # a replay
+    assert rows(t.read("a")) == [(1, "new"), (2, "y")] and rows(t.read("b")) == [(1, "too"), (2, "z")]
+    D.purge_sessions(t, 2, keys(2), ["a", "b"])
+    assert rows(t.read("a")) == [(1, "new")] and rows(t.read("b")) == [(1, "too")]
+    before = t.commits()
+    t.compact("a", "b")
+    assert len(t.commits()) == 1 and rows(t.read("a")) == [(1, "new")] and rows(t.read("b")) == [(1, "too")]
+    assert set(t.vacuum()) == {c[0] for c in before.values()} and rows(t.read("a")) == [(1, "new")]
+    t.commit(2, keys(1), a=data(), b=data())  # replayed after the compaction
+    assert rows(t.read("a")) == [(1, "new")]
+    t.commit(3, keys(1), a=data((1, "last")), b=data())
+    assert rows(t.read("a")) == [(1, "last")] and rows(t.read("b")) == []
+
+
 def test_corrections(spark):
     e = spark.createDataFrame(
         [(1, "d1", "skill", "a", "ML", None, None, None), (1, "d1", "skill", "a2", " ml", None, None, None), (1, "d2", "skill", "b", "ml ", False, None, ["x"]), (1, "d2", "job", "j", "ML", None, None, None)],
         "session_id int, doc_id string, kind string, entity_id string, label string, user_verified boolean, user_notes string, alt_labels array<string>",
     )
     edits = spark.createDataFrame(
-        [(1, "skill", "a", {"label": "Machine Learning", "user_verified": "true"}), (1, "skill", "zz", {"user_notes": "n"}), (1, "job", "j", {"label": " "}), (1, "job", "j", {})],
-        "session_id int, kind string, entity_id string, patch map<string,string>",
+        [
+            (1, "skill", "a", {"label": "Zeal", "user_verified": "false"}, 1), (1, "skill", "a", {"label": "Machine Learning"}, 3), (1, "skill", "a", {"user_verified": "true"}, 2),
+            (1, "skill", "zz", {"user_notes": "n"}, 4), (1, "job", "j", {"label": " "}, 5), (1, "job", "j", {}, 6),
+        ],
+        "session_id int, kind string, entity_id string, patch map<string,string>, seq long",
     )
     out, refused = D.apply_corrections(e, edits)
     got = {r.entity_id: (r.label, r.user_verified, list(r.alt_labels)) for r in out.collect()}
