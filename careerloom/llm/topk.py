@@ -51,7 +51,7 @@ def _tiles(rows: DataFrame, size: int) -> DataFrame:
         for batch in batches:
             dim, grp = batch.column("dim").to_numpy(), batch.column("grp").to_numpy()
             i = batch.column("vec_id").to_numpy().astype(np.int64)
-            v = batch.column("vector").flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            v = np.floor(batch.column("vector").flatten().to_numpy(zero_copy_only=False).astype(np.float64))
             start = np.concatenate([[0], np.cumsum(dim)])
             cuts = np.flatnonzero(np.diff(grp) | np.diff(dim)) + 1
             for s, e in zip([0, *cuts], [*cuts, len(grp)]):
@@ -131,11 +131,12 @@ def top_k(
     """
 
     def ready(rows: DataFrame) -> DataFrame:
-        whole = F.transform(F.col(f"`{vector_col}`").cast("array<double>"), lambda v: F.floor(v * scale).cast("double"))
+        # Whole numbers, as doubles: Spark's floor() would end at 64 bits.
+        scaled = F.transform(F.col(f"`{vector_col}`").cast("array<double>"), lambda v: v * scale)
         return (
             rows_of(rows, id_col, vector_col)
             .filter(F.col(id_col).isNotNull() & usable(F.col(vector_col)))
-            .select(F.col(id_col).cast("long").alias("vec_id"), whole.alias("vector"))
+            .select(F.col(id_col).cast("long").alias("vec_id"), scaled.alias("vector"))
         )
 
     found, asked = ready(vectors), ready(queries)
