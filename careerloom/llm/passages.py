@@ -57,6 +57,10 @@ def _mixed(h: np.ndarray, salt: int) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+#: Odd multipliers, one per hash of a MinHash.
+_ODD = _mixed(np.arange(1, 65, dtype=np.uint64), 3) | np.uint64(1)
+
+
 def _rolled(h: np.ndarray, k: int) -> np.ndarray:
     """Hash of every ``k`` neighbours."""
     out = np.zeros(max(0, len(h) - k + 1), np.uint64)
@@ -140,7 +144,8 @@ class Shape:
             for b in range(self.bands):
                 key = np.full(len(at), b, np.uint64)
                 for r in range(self.rows):
-                    m = _mixed(grams, 1 + b * self.rows + r)
+                    # Shingles are mixed hashes, so a product with an odd number orders them anew.
+                    m = grams * _ODD[b * self.rows + r]
                     key = _mixed(key * np.uint64(31) + _sliding_min(m, self.near - self.shingle + 1)[at], 77)
                 keys[:, b] = key
         near = windows.between(at, at + self.near)
@@ -290,6 +295,7 @@ def _forest_of_units(key, cls, doc, part, words, shape: Shape, similarity: float
     tables = np.sort(shape.sets(words.astype(np.uint64)), axis=1)
     first = np.flatnonzero(np.concatenate([[True], (np.diff(key, axis=0) != 0).any(1)]))
     sizes = np.diff([*first, len(key)])
+    one, other = _distinct(tables, 0), _distinct(tables, 1)
     links: list[tuple[np.ndarray, np.ndarray]] = []
     for size in np.unique(sizes[sizes <= small]):
         if size < 2:
@@ -302,7 +308,7 @@ def _forest_of_units(key, cls, doc, part, words, shape: Shape, similarity: float
         i, j = i[cross], j[cross]
         for s in range(0, len(i), step):
             a, b = i[s : s + step], j[s : s + step]
-            alike = _jaccard(tables[a], tables[b]) >= similarity - 1e-9
+            alike = _jaccard((one[0][a], one[1][a]), (other[0][b], other[1][b])) >= similarity - 1e-9
             links.append((a[alike], b[alike]))
     for s, size in zip(first[sizes > small], sizes[sizes > small]):
         left = np.flatnonzero(part[s : s + size] == key[s, 1]) + s
@@ -316,11 +322,22 @@ def _forest_of_units(key, cls, doc, part, words, shape: Shape, similarity: float
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["cls", "root"])
 
 
-def _jaccard(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Jaccard similarity of the sets in the rows of two sorted tables, row by row."""
-    new_a, new_b = (np.concatenate([np.ones((len(x), 1), bool), x[:, 1:] != x[:, :-1]], axis=1) for x in (a, b))
-    both = ((a[:, :, None] == b[:, None, :]).any(2) & new_a).sum(1)
-    return both / (new_a.sum(1) + new_b.sum(1) - both)
+def _distinct(table: np.ndarray, salt: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted rows with repeats replaced by numbers of their own, and how many values a row has."""
+    repeat = np.zeros(table.shape, bool)
+    repeat[:, 1:] = table[:, 1:] == table[:, :-1]
+    own = np.broadcast_to(_mixed(np.arange(table.shape[1], dtype=np.uint64), 11 + salt), table.shape)
+    return np.where(repeat, own, table), table.shape[1] - repeat.sum(1)
+
+
+def _jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Jaccard similarity of the sets in the rows of two tables that ``_distinct`` made, row by row."""
+    (left, n), (right, m) = a, b
+    # What a row of the one has in common with that of the other lies side by side when both are sorted together; the
+    # numbers that stand for repeats differ between the two.
+    merged = np.sort(np.concatenate([left, right], axis=1), axis=1)
+    both = (merged[:, 1:] == merged[:, :-1]).sum(1)
+    return both / (n + m - both)
 
 
 def _met(table: pa.Table, least: int, length: int, names: list[str]) -> pa.RecordBatch:
@@ -412,18 +429,20 @@ def repeated_passages(
 
         def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                ids = batch.column("doc_id").to_pylist()
-                out = []
-                for i, (words, at) in enumerate(zip(batch.column("words"), batch.column("at"))):
-                    at = at.as_py()
+                at = batch.column("at")
+                offsets = at.offsets.to_numpy() - at.offsets[0].as_py()
+                places = at.flatten()
+                locs, tags = (places.field(c).to_numpy() for c in ("loc", "tag"))
+                ids = np.repeat(batch.column("doc_id").to_numpy(), np.diff(offsets))
+                out, first = [], 0
+                for i, words in enumerate(batch.column("words")):
                     h = np.frombuffer(words.as_py(), "<u4").astype(np.uint64)
-                    locs = np.array([x["loc"] for x in at], np.int64)
-                    tags = [x["tag"] for x in at]
-                    out.extend(zip([ids[i]] * len(at), locs.tolist(), tags, value(h, locs & 0xFFFFFFFF)))
-                    if out and (len(out) >= 20_000 or i + 1 == batch.num_rows):
-                        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary() if kind == "binary" else pa.list_(pa.int64()))
-                        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["doc_id", "loc", "tag", "words"])
-                        out = []
+                    out.append(value(h, locs[offsets[i] : offsets[i + 1]] & 0xFFFFFFFF))
+                    last = offsets[i + 1]
+                    if last - first >= 20_000 or i + 1 == batch.num_rows:
+                        columns = [pa.array(x[first:last]) for x in (ids, locs, tags)]
+                        yield pa.RecordBatch.from_arrays([*columns, pa.concat_arrays(out)], names=["doc_id", "loc", "tag", "words"])
+                        out, first = [], last
 
         at = spots.select("doc_id", F.shiftright("loc", 32).cast("int").alias("t"), "loc", "tag").repartition(buckets, "doc_id", "t")
         at = at.groupBy("doc_id", "t").agg(F.collect_set(F.struct("loc", "tag")).alias("at"))
@@ -433,9 +452,9 @@ def repeated_passages(
     def look_up(spots: DataFrame, before: int, after: int) -> DataFrame:
         """``words``: word hashes from ``before`` words before each of the spots ``doc_id, loc, tag`` to ``after`` behind it."""
 
-        def value(h: np.ndarray, at: np.ndarray) -> list[bytes]:
+        def value(h: np.ndarray, at: np.ndarray) -> pa.Array:
             h = h.astype("<u4")
-            return [h[max(0, pos - before) : pos + after].tobytes() for pos in at.tolist()]
+            return pa.array([h[max(0, pos - before) : pos + after].tobytes() for pos in at.tolist()], pa.binary())
 
         return read_at(spots, value, "binary")
 
@@ -466,11 +485,13 @@ def repeated_passages(
     # occurrence, so that an early document that has less of a passage hides nobody's match.
     several = cut(firsts.groupBy("cls").count().filter("count > 1"))
 
-    def runs_around(h: np.ndarray, at: np.ndarray) -> Iterator[list[int]]:
-        windows = _Windows(h)
-        for pos in at.tolist():
-            start = np.arange(max(0, pos + shape.length - least), min(pos, len(h) - least) + 1)
-            yield windows.between(start, start + least).view(np.int64).tolist()
+    def runs_around(h: np.ndarray, at: np.ndarray) -> pa.Array:
+        low, high = np.maximum(0, at + shape.length - least), np.minimum(at, len(h) - least)
+        n = np.maximum(0, high - low + 1)
+        ends = np.cumsum(n)
+        start = np.repeat(low - (ends - n), n) + np.arange(n.sum())
+        runs = _Windows(h).between(start, start + least).view(np.int64)
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(runs))
 
     # The tag of a paragraph with few different surroundings is its hash; they are compared in one place. The runs of
     # a frequent one are dealt out one by one.
