@@ -375,8 +375,19 @@ BLOCKS: dict[str, str] = {
         SELECT s.*, CASE WHEN x.f = 'red' THEN NULL ELSE x.g END AS broader_label
         FROM skill s LEFT JOIN (SELECT pref_label, split_part(pref_label, ' ', 1) AS f, coalesce(broader_label, hierarchy_label) AS g FROM taxonomy) x ON x.pref_label = s.label""",
     # ------------------------------------------------------------ evaluation
-    "got": "SELECT DISTINCT session_id AS doc_id, 'skills' AS etype, p_name AS key FROM line WHERE flag IN ('N', 'R') UNION SELECT session_id, 'jobs', lower(title) FROM job WHERE status <> 'O'",
-    "want": "SELECT DISTINCT session_id AS doc_id, 'skills' AS etype, p_name AS key FROM line WHERE flag IN ('A', 'R') UNION SELECT session_id, 'jobs', lower(title) FROM job WHERE status <> 'P'",
+    "eval_org": r"""SELECT session_id, regexp_replace(trim(regexp_replace(lower(name), '[,.]?\s*(inc|llc|ltd|corp|co)\.?$', ''), ' ,.'), '^the ', '') AS key, pos FROM raw_org""",
+    "got": """
+        SELECT DISTINCT session_id AS doc_id, 'skills' AS etype, p_name AS key FROM line WHERE flag IN ('N', 'R')
+        UNION SELECT session_id, 'jobs', lower(title) FROM job WHERE status <> 'O'
+        UNION SELECT session_id, 'education', lower(degree_type) || '|' || lower(field_of_study) FROM raw_edu WHERE session_id % 3 <> 0
+        UNION SELECT session_id, 'certifications', lower(name) FROM raw_cert WHERE pos % 3 <> 0
+        UNION SELECT session_id, 'organizations', key FROM eval_org WHERE pos % 3 <> 0""",
+    "want": """
+        SELECT DISTINCT session_id AS doc_id, 'skills' AS etype, p_name AS key FROM line WHERE flag IN ('A', 'R')
+        UNION SELECT session_id, 'jobs', lower(title) FROM job WHERE status <> 'P'
+        UNION SELECT session_id, 'education', lower(degree_type) || '|' || lower(field_of_study) FROM raw_edu WHERE session_id % 3 <> 1
+        UNION SELECT session_id, 'certifications', lower(name) FROM raw_cert WHERE pos % 3 <> 1
+        UNION SELECT session_id, 'organizations', key FROM eval_org WHERE pos % 3 <> 1""",
     "detail": """
         SELECT coalesce(g.doc_id, w.doc_id) AS doc_id, coalesce(g.etype, w.etype) AS etype, coalesce(g.key, w.key) AS key,
                CASE WHEN g.key IS NULL THEN 'missing' WHEN w.key IS NULL THEN 'unexpected' ELSE 'matched' END AS status

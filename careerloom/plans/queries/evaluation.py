@@ -15,17 +15,24 @@ def _item(df, etype, **cols):
     return df.select(F.col("session_id").alias("doc_id"), F.lit(etype).alias("etype"), *[v.cast("string").alias(k) for k, v in fill.items()])
 
 
-def _items(c, flags, status):
-    """Skills as structs where the name starts with a vowel sound, bare strings elsewhere; jobs as structs."""
+def _items(c, flags, status, third):
+    """Skills as structs where the name starts with a vowel sound, bare strings elsewhere; the other types as structs."""
     lines = c.line.filter(F.col("flag").isin(*flags))
     struct = F.col("variant") == 0
     label = F.when(struct, F.concat(F.lit(" "), F.upper("p_name")))
     jobs = c.job.filter(F.col("status") != status)
-    return _item(lines, "skills", label=label, text=F.when(~struct, F.col("p_name"))).unionByName(_item(jobs, "jobs", title=F.col("title")))
+    some = lambda df, n: df.filter(F.col(n) % 3 != third)
+    return (
+        _item(lines, "skills", label=label, text=F.when(~struct, F.col("p_name")))
+        .unionByName(_item(jobs, "jobs", title=F.col("title")))
+        .unionByName(_item(some(c.raw_edu, "session_id"), "education", degree_type=F.col("degree_type"), field_of_study=F.col("field_of_study")))
+        .unionByName(_item(some(c.raw_cert, "pos"), "certifications", name=F.col("name")))
+        .unionByName(_item(some(c.raw_org, "pos"), "organizations", name=F.col("name")))
+    )
 
 
 def _keys(c):
-    return K.eval_keys(_items(c, ("N", "R"), "O")), K.eval_keys(_items(c, ("A", "R"), "P"))
+    return K.eval_keys(_items(c, ("N", "R"), "O", 0)), K.eval_keys(_items(c, ("A", "R"), "P", 1))
 
 
 def _detail(c):
@@ -130,9 +137,9 @@ def _(c):
 @query(
     "threshold_check",
     """SELECT c_custkey AS doc_id, coalesce(sm / nullif(sm + sx, 0), 1.0) >= 0.8 AS skill_recall_ok, coalesce(sm / nullif(sm + su, 0), 1.0) >= 0.7 AS skill_precision_ok,
-              coalesce(jm / nullif(jm + jx, 0), 1.0) >= 0.75 AS job_recall_ok, true AS organization_recall_ok, coalesce(n, 0) BETWEEN 5 AND 15 AS skill_count_ok, c_custkey % 2 = 0 AS name_ok
+              coalesce(jm / nullif(jm + jx, 0), 1.0) >= 0.75 AS job_recall_ok, coalesce(om / nullif(om + ox, 0), 1.0) >= 0.75 AS organization_recall_ok, coalesce(n, 0) BETWEEN 5 AND 15 AS skill_count_ok, c_custkey % 2 = 0 AS name_ok
        FROM customer LEFT JOIN (SELECT doc_id, count(*) FILTER (etype = 'skills' AND status = 'matched') AS sm, count(*) FILTER (etype = 'skills' AND status = 'missing') AS sx,
-              count(*) FILTER (etype = 'skills' AND status = 'unexpected') AS su, count(*) FILTER (etype = 'jobs' AND status = 'matched') AS jm, count(*) FILTER (etype = 'jobs' AND status = 'missing') AS jx
+              count(*) FILTER (etype = 'skills' AND status = 'unexpected') AS su, count(*) FILTER (etype = 'jobs' AND status = 'matched') AS jm, count(*) FILTER (etype = 'organizations' AND status = 'matched') AS om, count(*) FILTER (etype = 'organizations' AND status = 'missing') AS ox, count(*) FILTER (etype = 'jobs' AND status = 'missing') AS jx
               FROM detail GROUP BY 1) d ON d.doc_id = c_custkey LEFT JOIN (SELECT doc_id AS i, count(*) AS n FROM got WHERE etype = 'skills' GROUP BY 1) g ON i = c_custkey""",
 )
 def _(c):
@@ -155,8 +162,8 @@ def _(c):
            WHERE NOT EXISTS (SELECT 1 FROM want w WHERE w.doc_id = c_custkey AND w.etype = e)
        UNION ALL SELECT doc_id, 'excluded_in_gold', key FROM want WHERE etype = 'skills' AND key IN ('red ring', 'hot bolt')
        UNION ALL SELECT c_custkey, 'duplicate_id', '2' FROM customer WHERE c_mktsegment = 'BUILDING'
-       UNION ALL SELECT * FROM (SELECT DISTINCT coalesce(a.doc_id, b.doc_id), 'normalized_differs', 'jobs:' || coalesce(a.key, b.key)
-           FROM (SELECT * FROM want WHERE etype = 'jobs' AND doc_id IN (SELECT doc_id FROM got)) a FULL JOIN (SELECT * FROM got WHERE etype = 'jobs') b ON a.doc_id = b.doc_id AND a.key = b.key
+       UNION ALL SELECT * FROM (SELECT DISTINCT coalesce(a.doc_id, b.doc_id), 'normalized_differs', coalesce(a.etype, b.etype) || ':' || coalesce(a.key, b.key)
+           FROM (SELECT * FROM want WHERE etype <> 'skills' AND doc_id IN (SELECT doc_id FROM got)) a FULL JOIN (SELECT * FROM got WHERE etype <> 'skills') b ON a.doc_id = b.doc_id AND a.etype = b.etype AND a.key = b.key
            WHERE a.key IS NULL OR b.key IS NULL)""",
 )
 def _(c):

@@ -65,10 +65,17 @@ def _(c):
     return c.build_triples()
 
 
-@query("provenance_triples", f"SELECT {_PLAIN} FROM triple WHERE p IN ('{V.CONFIDENCE}', '{V.SOURCE_DOC}', '{V.CREATED_AT}') AND s LIKE '{RES}j%'")
+@query("provenance_triples", f"SELECT {_PLAIN} FROM triple WHERE p IN ('{V.CONFIDENCE}', '{V.SOURCE_DOC}', '{V.CREATED_AT}')")
 def _(c):
-    maps = cut(G.dedup_jobs(c.job, cut(c.org_map)))
-    return G.provenance_triples(G.survivors(c.job, "job_id", maps), "job_id")
+    orgs = cut(c.org_map)
+    kept = [
+        (c.job, "job_id", G.dedup_jobs(c.job, orgs)), (c.raw_skill, "skill_id", c.skill_map), (c.raw_org, "org_id", orgs),
+        (c.raw_edu, "edu_id", G.dedup_education(c.raw_edu, orgs)), (c.raw_cert, "cert_id", G.dedup_certifications(c.raw_cert)),
+    ]
+    out = G.provenance_triples(c.merged_person, "person_id")
+    for df, col, ids in kept:
+        out = out.unionByName(G.provenance_triples(G.survivors(df, col, cut(ids)), col))
+    return out
 
 
 @query(
@@ -411,6 +418,21 @@ def _(c):
     return H.near_duplicate_skills(c.triples)
 
 
+@query(
+    "near_duplicate_skills_damaged",
+    f"""SELECT session_id, 'warning' AS level, 'near_duplicate_skills' AS "check", k AS subject,
+        'Skill labels [''' || string_agg(label, ''', ''' ORDER BY label) || '''] look like variants of the same skill' AS message
+    FROM (SELECT DISTINCT session_id, regexp_replace(lower(label), '[^a-z0-9]+', '', 'g') AS k, label
+          FROM (SELECT session_id, s, min(replace(o, '%20', '-')) AS label FROM triple WHERE p = '{V.PREF_LABEL}' GROUP BY 1, 2)
+          WHERE (session_id, s) IN (SELECT session_id, s FROM triple WHERE p = '{V.RDF_TYPE}' AND o = '{_SKILL}'))
+    GROUP BY session_id, k HAVING count(*) > 1""",
+)
+def _(c):
+    """Labels whose blanks came as %20 are spelled with hyphens."""
+    label = F.when(F.col("p") == V.PREF_LABEL, F.replace("o", F.lit("%20"), F.lit("-"))).otherwise(F.col("o"))
+    return H.near_duplicate_skills(c.triples.withColumn("o", label))
+
+
 @query("no_person", f"SELECT DISTINCT session_id, 'warning' AS level, 'no_person' AS \"check\", '' AS subject, 'Graph contains no Person node' AS message FROM ({_BROKEN})")
 def _(c):
     return H.no_person(_damaged(c))
@@ -480,10 +502,10 @@ def _(c):
     return H.check_shapes(bent).drop("message")
 
 
-def _unlabelled(preds, rule, message):
+def _unlabelled(preds, rule, message, source="triple"):
     names = ", ".join(f"'{p}'" for p in preds)
-    return f"""SELECT DISTINCT session_id, o AS subject, '{rule}' AS rule, 'warning' AS severity, '{message}' AS message FROM triple t
-        WHERE p IN ({names}) AND NOT EXISTS (SELECT 1 FROM triple x WHERE x.session_id = t.session_id AND x.s = t.o AND x.p IN ('{V.NAME}', '{V.PREF_LABEL}', '{V.RDFS_LABEL}'))"""
+    return f"""SELECT DISTINCT session_id, o AS subject, '{rule}' AS rule, 'warning' AS severity, '{message}' AS message FROM {source} t
+        WHERE p IN ({names}) AND NOT EXISTS (SELECT 1 FROM {source} x WHERE x.session_id = t.session_id AND x.s = t.o AND x.p IN ('{V.NAME}', '{V.PREF_LABEL}', '{V.RDFS_LABEL}'))"""
 
 
 @query(
@@ -500,3 +522,27 @@ def _(c):
 )
 def _(c):
     return H.unlabelled_certifications(c.triples)
+
+
+_NAMELESS = f"(SELECT * FROM triple WHERE NOT (p IN ('{V.NAME}', '{V.PREF_LABEL}', '{V.RDFS_LABEL}') AND s LIKE '%3'))"
+
+
+def _nameless(c):
+    """Nodes whose id ends with a 3 have lost their names."""
+    return c.triples.filter(~(F.col("p").isin(V.NAME, V.PREF_LABEL, V.RDFS_LABEL) & F.col("s").endswith("3")))
+
+
+@query(
+    "unlabelled_organizations_damaged",
+    _unlabelled((V.HIRING_ORG, V.ALUMNI_OF), "organization_label", "Recommended: Org/Institution nodes should have a human-readable label.", _NAMELESS),
+)
+def _(c):
+    return H.unlabelled_organizations(_nameless(c))
+
+
+@query(
+    "unlabelled_certifications_damaged",
+    _unlabelled((V.HAS_CERT,), "certification_label", "Recommended: Certification nodes should have a human-readable label.", _NAMELESS),
+)
+def _(c):
+    return H.unlabelled_certifications(_nameless(c))

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from careerloom import vocab as V
+from careerloom.functions import mint_iri, url_decode_label
 from careerloom.operators import normalize as N
 from careerloom.plans.queries.registry import query
 
@@ -128,13 +129,21 @@ _SKILL_LABEL = f"""SELECT t.*, m.canonical FROM triple t LEFT JOIN moved m ON m.
 @query(
     "rewrite_triples",
     f"""SELECT DISTINCT * FROM (
-        WITH moved AS (SELECT session_id, label, canonical FROM label_map WHERE pool = 'skill' AND label <> canonical), named AS ({_SKILL_LABEL})
-        SELECT session_id, s, p, o, o_kind, o_type FROM triple WHERE p NOT IN ('{V.PREF_LABEL}', '{V.USED_TECH}')
-        UNION ALL SELECT session_id, s, p, o, o_kind, o_type FROM triple t WHERE p = '{V.PREF_LABEL}' AND NOT EXISTS (SELECT 1 FROM named n WHERE n.session_id = t.session_id AND n.s = t.s)
+        WITH triples AS (SELECT session_id, s, p, o, o_kind, o_type FROM triple WHERE p <> '{V.USED_TECH}' UNION ALL SELECT DISTINCT session_id, '{V.RES}' || url_encode(job_id), '{V.USED_TECH}',
+                '{V.RES}' || url_encode(url_decode(replace(label, '+', '%2B'))), 'iri', NULL FROM raw_tech),
+            moved AS (SELECT session_id, label, canonical FROM label_map WHERE pool = 'skill' AND label <> canonical), named AS ({_SKILL_LABEL})
+        SELECT session_id, s, p, o, o_kind, o_type FROM triples WHERE p NOT IN ('{V.PREF_LABEL}', '{V.USED_TECH}')
+        UNION ALL SELECT session_id, s, p, o, o_kind, o_type FROM triples t WHERE p = '{V.PREF_LABEL}' AND NOT EXISTS (SELECT 1 FROM named n WHERE n.session_id = t.session_id AND n.s = t.s)
         UNION ALL SELECT session_id, s, p, coalesce(canonical, o), o_kind, o_type FROM named
         UNION ALL SELECT n.session_id, n.s, '{V.ALT_LABEL}', v.label, o_kind, o_type FROM named n JOIN moved v ON v.session_id = n.session_id AND v.canonical = n.canonical
         UNION ALL SELECT t.session_id, s, p, CASE WHEN m.canonical IS NULL THEN o ELSE '{V.RES}' || url_encode(m.canonical) END, o_kind, o_type
-        FROM triple t LEFT JOIN moved m ON m.session_id = t.session_id AND m.label = url_decode(split_part(o, '/', -1)) WHERE p = '{V.USED_TECH}')""",
+        FROM triples t LEFT JOIN moved m ON m.session_id = t.session_id AND m.label = url_decode(split_part(o, '/', -1)) WHERE p = '{V.USED_TECH}')""",
 )
 def _(c):
-    return N.rewrite_triples(c.triples, c.label_map)
+    """The used technologies are named by their labels, as written, in their IRIs."""
+    used = c.raw_tech.select(
+        "session_id", mint_iri("job_id").alias("s"), F.lit(V.USED_TECH).alias("p"), mint_iri(url_decode_label("label")).alias("o"),
+        F.lit("iri").alias("o_kind"), F.lit(None).cast("string").alias("o_type"),
+    )
+    triples = c.triples.filter(F.col("p") != V.USED_TECH).unionByName(used.distinct())
+    return N.rewrite_triples(triples, c.label_map)
