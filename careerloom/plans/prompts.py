@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from careerloom.functions import bracket_citations, recover_json, strip
 from careerloom.operators.common import KEY
 from careerloom.operators.sessions import ANALYSIS_TYPES
+from careerloom.plans import texts as TX
 from careerloom.plans.texts import INSIGHTS
 from careerloom.schemas import ALIAS_REPLY, ENTITY_RECORD
 
@@ -93,6 +94,35 @@ def person_name_fallback(documents: DataFrame) -> DataFrame:
     )
 
 
+def narrative_documents(replies: DataFrame, documents: DataFrame, provider: str, model: str, generated_at: Column) -> DataFrame:
+    """(session_id, variant, filename, markdown): front matter and text of every reply to a synthesis prompt.
+
+    replies: session_id, variant, response; documents: session_id, analysis_type, markdown, those that the prompts were
+    made of. A reply that is null or blank makes no document.
+    """
+    order = F.array_position(F.array(*[F.lit(t) for t in ANALYSIS_TYPES]), F.col("analysis_type"))
+    made_of = documents.groupBy(KEY).agg(F.array_sort(F.collect_set(F.struct(order.alias("o"), "analysis_type"))).alias("made_of"))
+    names = person_name_fallback(documents)
+    bullets = lambda items: F.transform(items, lambda x: F.concat(F.lit('  - "'), x, F.lit('"')))
+    fixed = lambda items: bullets(F.array(*[F.lit(x) for x in items]))
+    kv = lambda k, v: F.concat(F.lit(f"{k}: "), v)
+    lines = F.concat(
+        F.array(
+            F.lit("---"), F.lit("analysis_type: career_narrative"), kv("variant", F.col("variant")), F.lit("synthesis: true"),
+            F.concat(F.lit('title: "Career Narrative — '), F.initcap("variant"), F.lit(' Synthesis"')),
+            kv("person_name", F.col("person_name")), kv("generated_at", F.date_format(generated_at, "yyyy-MM-dd'T'HH:mm:ss")),
+            F.lit(f"provider: {provider}"), F.lit(f"model: {model}"), F.lit("source_analyses:"),
+        ),
+        bullets(F.transform("made_of", lambda x: x.analysis_type)),
+        F.array(F.lit("tags:")), fixed(TX.NARRATIVE_TAGS), F.array(F.lit("query_hints:")), fixed(TX.NARRATIVE_HINTS),
+        F.array(F.lit("---"), F.lit(""), F.col("response"), F.lit("")),
+    )
+    told = replies.filter(F.coalesce(strip("response"), F.lit("")) != "").select(KEY, "variant", "response")
+    return told.join(made_of, KEY).join(names, KEY).select(
+        KEY, "variant", F.concat(F.lit("career_narrative_"), "variant", F.lit(".md")).alias("filename"), F.array_join(lines, "\n").alias("markdown")
+    )
+
+
 def citation_audit(texts: DataFrame, key: str, text: str) -> DataFrame:
     """Cited names per text with counts, and whether each names an analysis.
 

@@ -316,22 +316,48 @@ def _(c):
 
 
 def _markdown(c):
-    return I.to_markdown(_battery(c, ["esco_coverage", "role_progression"]))
+    return I.to_markdown(_battery(c))
+
+
+# All six analyses, each under its delimiter, without front matter and outer blanks.
+_ANALYSES = "SELECT session_id, string_agg('═══ [' || k || '] ═══' || chr(10) || body, chr(10) || chr(10) ORDER BY o) AS a FROM (" + " UNION ALL ".join(
+    f"SELECT session_id, {o} AS o, '{k}' AS k, regexp_replace('# ' || {_q(TX.INSIGHTS[k][0])} || chr(10) || chr(10) || content, '\\s+$', '') AS body FROM ({_CONTENT[k]})"
+    for o, k in enumerate(ANALYSIS_TYPES)
+) + ") GROUP BY 1"
+_PROMPTS = " UNION ALL ".join(
+    f"SELECT session_id, '{k}' AS variant, {_f(t, analyses='a')} AS prompt FROM ({_ANALYSES})" for k, t in P.SYNTHESIS_TEMPLATES.items()
+)
+
+
+@query("synthesis_prompts", _PROMPTS)
+def _(c):
+    return P.synthesis_prompts(_markdown(c))
+
 
+def _lines(*lines: str) -> str:
+    return " || chr(10) || ".join(lines)
 
-_TWO = f"""SELECT c.session_id, '═══ [esco_coverage] ═══' || chr(10) || rtrim('# ' || {_q(TX.INSIGHTS['esco_coverage'][0])} || chr(10) || chr(10) || c.content, chr(10)) || chr(10) || chr(10)
-    || '═══ [role_progression] ═══' || chr(10) || rtrim('# ' || {_q(TX.INSIGHTS['role_progression'][0])} || chr(10) || chr(10) || r.content, chr(10)) AS a
-    FROM ({_COVERAGE}) c JOIN ({_PROGRESSION}) r USING (session_id)"""
+
+_BULLETS = lambda items: [_q(f'  - "{x}"') for x in items]
 
 
 @query(
-    "synthesis_prompts",
-    " UNION ALL ".join(
-        f"SELECT session_id, '{k}' AS variant, {_f(t, analyses='a')} AS prompt FROM ({_TWO})" for k, t in P.SYNTHESIS_TEMPLATES.items()
-    ),
+    "narrative_documents",
+    "SELECT session_id, variant, 'career_narrative_' || variant || '.md' AS filename, "
+    + _lines(
+        "'---'", "'analysis_type: career_narrative'", "'variant: ' || variant", "'synthesis: true'",
+        "'title: \"Career Narrative — ' || upper(variant[1]) || variant[2:] || ' Synthesis\"'", "'person_name: ' || person_name",
+        "'generated_at: 2001-02-03T04:05:06'", "'provider: none'", "'model: digest'", "'source_analyses:'", *_BULLETS(ANALYSIS_TYPES),
+        "'tags:'", *_BULLETS(TX.NARRATIVE_TAGS), "'query_hints:'", *_BULLETS(TX.NARRATIVE_HINTS), "'---'", "''", "md5(prompt)", "''",
+    )
+    + f" AS markdown FROM ({_PROMPTS}) JOIN person USING (session_id) WHERE session_id % 5 <> 0",
 )
 def _(c):
-    return P.synthesis_prompts(_markdown(c))
+    """Replies are the digests of the prompts; one person in five got none."""
+    documents = cut(_markdown(c))
+    prompts = P.synthesis_prompts(documents)
+    replies = prompts.withColumn("response", F.when(F.col("session_id") % 5 != 0, F.md5("prompt")).otherwise(" "))
+    return P.narrative_documents(replies, documents, "none", "digest", F.lit("2001-02-03 04:05:06").cast("timestamp_ntz"))
 
 
 @query("person_name_fallback", "SELECT session_id, CASE WHEN session_id % 3 = 0 THEN 'the candidate' ELSE person_name END AS person_name FROM person")
@@ -372,24 +398,23 @@ def _(c):
     return P.extraction_prompts(c.t("documents").select("doc_id", "text")).withColumn("prompt", F.md5("prompt"))
 
 
-def _echo_backend(prompts):
-    """A stand-in model: answers with the language's share of JSON mishaps, by prompt length."""
-    out = []
-    for p in prompts:
-        n = len(p)
-        body = f'{{"person": {{"name": "P{n}"}}, "skills": [{{"label": "s{n}"}}]}}'
-        out.append([body, f"```json\n{body}\n```", f"Sure: {body} done", body[:-2]][n % 4])
-    return prompts.__class__(out)
-
-
 @query(
     "parse_responses",
     f"""SELECT doc_id, CASE WHEN n % 4 = 3 THEN 'error' ELSE 'complete' END AS status, CASE WHEN n % 4 < 3 THEN 'P' || n END AS name, CASE WHEN n % 4 < 3 THEN 's' || n END AS skill
         FROM (SELECT doc_id, length(text) + {len(P.EXTRACTION_TEMPLATE) - len('{text}')} AS n FROM documents)""",
 )
 def _(c):
+    """Replies in the forms that models give, by the length of the prompt: bare, fenced, in a sentence, cut off."""
     prompts = P.extraction_prompts(c.t("documents").select("doc_id", "text"))
-    out = P.parse_responses(P.generate(prompts, _echo_backend).drop("prompt"))
+    n = F.length("prompt")
+    body = F.format_string('{"person": {"name": "P%d"}, "skills": [{"label": "s%d"}]}', n, n)
+    reply = (
+        F.when(n % 4 == 0, body)
+        .when(n % 4 == 1, F.concat(F.lit("```json\n"), body, F.lit("\n```")))
+        .when(n % 4 == 2, F.concat(F.lit("Sure: "), body, F.lit(" done")))
+        .otherwise(F.left(body, F.length(body) - 2))
+    )
+    out = P.parse_responses(prompts.select("doc_id", reply.alias("response")))
     return out.select("doc_id", "status", F.col("person.name").alias("name"), F.try_element_at("skills.label", F.lit(1)).alias("skill"))
 
 

@@ -133,3 +133,16 @@ PROGRESSION_LOYALTY = (
     "**{orgs} organization(s)** appear in multiple roles — indicating return engagements or long-term client "
     "relationships."
 )
+
+# Tags and hints of a narrative document.
+NARRATIVE_TAGS = ("narrative", "synthesis", "cross-cutting", "career story", "positioning")
+NARRATIVE_HINTS = (
+    "tell me about my career",
+    "what makes my background unique",
+    "career narrative",
+    "big picture",
+    "how does my experience fit together",
+    "what story does my career tell",
+    "professional positioning",
+    "career themes",
+)
