@@ -68,3 +68,35 @@ def test_frequent_paragraphs_are_compared_alike(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     one_by_one, in_one_place = (sorted(map(tuple, passages.repeated_passages(df, few=few).collect())) for few in (1, 1000))
     assert one_by_one == in_one_place and sum(x[4] for x in one_by_one) == 30
+
+
+def test_every_shared_run_against_brute_force(spark):
+    """Removed is what lies in a run of 50 words that a smaller id has too, word for word."""
+    r = random.Random(15)
+    passages_ = [text_of(r, n) for n in (30, 49, 50, 51, 64, 80, 120, 200)]
+    rows = []
+    for i in range(100):
+        words = text_of(r, r.randrange(0, 60))
+        for _ in range(r.randrange(0, 4)):
+            p = r.choice(passages_)
+            a, b = sorted((r.randrange(len(p) + 1), r.randrange(len(p) + 1)))
+            words += (p if r.random() < 0.6 else p[a:b]) + text_of(r, r.randrange(0, 40))
+        rows.append((i, " ".join(words)))
+    want, seen = {}, {}
+    for i, text in rows:
+        words = text.split()
+        runs = [tuple(words[k : k + 50]) for k in range(len(words) - 49)]
+        for k, run in enumerate(runs):
+            if seen.setdefault(run, i) != i:
+                want.setdefault(i, set()).update(range(k, k + 50))
+    got = removed_words(spark, rows)
+    assert got == want and sum(map(len, want.values())) > 2000
+
+
+def test_a_text_of_a_million_words(spark):
+    r = random.Random(16)
+    passage = text_of(r, 70)
+    long = text_of(r, 1_000_000)
+    long[777_000:777_000] = passage
+    rows = [(1, " ".join([*text_of(r, 20), *passage, *text_of(r, 20)])), (2, " ".join(long))]
+    assert removed_words(spark, rows) == {2: set(range(777_000, 777_070))}
