@@ -267,13 +267,14 @@ def _(c):
 
 @query(
     "node_tooltip",
-    """SELECT n.session_id, n.id, concat_ws('<br>', '<b>' || n.label || '</b>', '<i>Type: ' || n.kind || '</i>',
+    f"""SELECT n.session_id, n.id, concat_ws('<br>', '<b>' || n.label || '</b>', '<i>Type: ' || n.kind || '</i>',
               CASE WHEN n.kind = 'person' THEN 'Email: ' || n.email END, CASE WHEN n.kind = 'person' THEN 'Location: ' || n.address END,
               CASE WHEN n.kind = 'job' THEN 'Title: ' || n.title END, CASE WHEN n.kind = 'job' THEN 'Organization: ' || o.label END,
               CASE WHEN n.kind = 'skill' THEN 'Category: ' || n.category END, CASE WHEN n.kind = 'skill' THEN 'Proficiency: ' || n.proficiency END,
               CASE WHEN n.kind = 'education' THEN 'Degree: ' || n.degree END, CASE WHEN n.kind = 'education' THEN 'Field: ' || n.field END,
               CASE WHEN n.confidence < 1 THEN 'Confidence: ' || CAST(round(n.confidence * 100) AS INTEGER) || '%' END) AS tooltip
-       FROM node n LEFT JOIN node o ON o.session_id = n.session_id AND o.id = n.org""",
+       FROM node n LEFT JOIN (SELECT session_id, id, label FROM node WHERE (session_id, id) IN (SELECT session_id, o FROM triple WHERE p = '{V.HIRING_ORG}')) o
+       ON o.session_id = n.session_id AND o.id = n.org""",
 )
 def _(c):
     return view.node_tooltip(c.triples)
