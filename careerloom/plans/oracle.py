@@ -171,6 +171,31 @@ BLOCKS: dict[str, str] = {
         UNION ALL SELECT session_id, 'p' || doc_id, 'education', edu_id FROM raw_edu
         UNION ALL SELECT session_id, 'p' || doc_id, 'certification', cert_id FROM raw_cert
         UNION ALL SELECT session_id, 'p' || doc_id, 'certification', 'c' || job_id[2:] FROM job WHERE status = 'P'""",
+    # ------------------------------------------------------------ organizations of extraction records
+    "mention": """
+        SELECT session_id, doc_id, 0 AS src, row_number() OVER (PARTITION BY doc_id ORDER BY pos, org_id) - 1 AS nr, name, org_id AS candidate, org_type
+        FROM raw_org WHERE pos % 2 = 0
+        UNION ALL SELECT session_id, doc_id, 1, nr, coalesce(company, oid), oid, 'Company' FROM (
+            SELECT j.session_id, j.doc_id, row_number() OVER (PARTITION BY j.doc_id ORDER BY j.pos) - 1 AS nr, CASE WHEN j.pos % 3 <> 1 THEN o.name END AS company,
+                   CASE WHEN j.pos % 3 <> 0 THEN j.org_id END AS oid
+            FROM job j LEFT JOIN raw_org o ON o.doc_id = j.doc_id AND o.org_id = j.org_id) WHERE coalesce(company, oid) IS NOT NULL
+        UNION ALL SELECT session_id, doc_id, 2, 0, institution_id, institution_id, 'University' FROM raw_edu""",
+    "mention_root": """
+        SELECT * FROM (
+        WITH m AS (SELECT *, lower(trim(name)) AS key, src * 1000000 + nr AS ord FROM mention),
+        owner AS (SELECT doc_id, candidate, arg_min(key, ord) AS dst FROM m WHERE candidate IS NOT NULL GROUP BY 1, 2),
+        head AS (SELECT doc_id, key, min(ord) AS head, first(candidate ORDER BY ord) AS candidate FROM m GROUP BY 1, 2),
+        hop AS (SELECT h.doc_id, h.key, o.dst FROM head h JOIN owner o ON o.doc_id = h.doc_id AND o.candidate = h.candidate WHERE o.dst <> h.key)
+        SELECT m.*, h.head, coalesce(z.dst, y.dst, x.dst, m.key) AS root
+        FROM m JOIN head h ON h.doc_id = m.doc_id AND h.key = m.key LEFT JOIN hop x ON x.doc_id = m.doc_id AND x.key = m.key
+        LEFT JOIN hop y ON y.doc_id = m.doc_id AND y.key = x.dst LEFT JOIN hop z ON z.doc_id = m.doc_id AND z.key = y.dst)""",
+    "registered": """
+        SELECT *, CASE WHEN nth = 1 THEN slug ELSE slug || '-' || nth END AS org_id, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS rank FROM (
+            SELECT *, row_number() OVER (PARTITION BY doc_id, slug ORDER BY ord) AS nth FROM (
+                SELECT session_id, doc_id, root, min(ord) AS ord, first(name ORDER BY ord) AS name, first(org_type ORDER BY ord) AS org_type,
+                       'org-' || coalesce(lower(first(candidate ORDER BY ord)), trim(regexp_replace(lower(trim(first(name ORDER BY ord))), '[^a-z0-9]+', '-', 'g'), '-')) AS slug
+                FROM mention_root WHERE ord = head GROUP BY 1, 2, 3))""",
+    "mention_org": "SELECT m.doc_id, src, nr, o.org_id FROM mention_root m JOIN registered o ON o.doc_id = m.doc_id AND o.root = m.root",
     # ------------------------------------------------------------ graph
     "lead_person": "SELECT * FROM raw_person QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY doc_id, person_id) = 1",
     "merged_refs": "SELECT DISTINCT r.session_id, l.person_id, kind, id FROM raw_refs r JOIN lead_person l ON l.session_id = r.session_id",

@@ -343,34 +343,40 @@ def _in_doc():
     return Window.partitionBy("doc_id").orderBy("pos")
 
 
-@query("register_orgs")
+@query(
+    "register_orgs",
+    """SELECT session_id, doc_id, doc_id || '.txt' AS source_doc, org_id, name, org_type, CAST(NULL AS VARCHAR) AS location, CAST(NULL AS VARCHAR) AS website,
+              CAST(NULL AS VARCHAR) AS description, CAST(1.0 AS DOUBLE) AS confidence, CAST(rank AS INTEGER) AS pos FROM registered""",
+)
 def _(c):
     return C.register_orgs(records(c))[0]
 
 
 @query(
     "build_jobs",
-    """SELECT session_id, doc_id, pos, title, start_date, end_date, is_current, n_achievements FROM (
+    """SELECT session_id, j.doc_id, pos, title, start_date, end_date, is_current, n_achievements, coalesce(o.org_id, '') AS org_id FROM (
            SELECT session_id, doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS pos, title, strftime(start_date, '%Y-%m-%d') AS start_date,
-                  strftime(date_trunc('month', end_date), '%Y-%m-%d') AS end_date, is_current, len(achievements) AS n_achievements FROM job)""",
+                  strftime(date_trunc('month', end_date), '%Y-%m-%d') AS end_date, is_current, len(achievements) AS n_achievements FROM job) j
+       LEFT JOIN mention_org o ON o.doc_id = j.doc_id AND o.src = 1 AND o.nr = pos""",
 )
 def _(c):
     raw = records(c)
     out = C.build_jobs(raw, C.register_orgs(raw)[1])
     return out.select(
         "session_id", "doc_id", F.col("pos").cast("long"), "title", F.col("start_date").cast("string"), F.col("end_date").cast("string"), "is_current",
-        F.size("achievements").cast("long").alias("n_achievements"),
+        F.size("achievements").cast("long").alias("n_achievements"), "org_id",
     )
 
 
 @query(
     "build_education",
-    "SELECT session_id, doc_id, degree_type || ' in ' || field_of_study AS label, degree_type, field_of_study FROM raw_edu",
+    """SELECT session_id, e.doc_id, degree_type || ' in ' || field_of_study AS label, degree_type, field_of_study, o.org_id AS institution_id
+       FROM raw_edu e LEFT JOIN mention_org o ON o.doc_id = e.doc_id AND o.src = 2""",
 )
 def _(c):
     raw = records(c)
     orgs, mentions = C.register_orgs(raw)
-    return C.build_education(raw, mentions, orgs).select("session_id", "doc_id", "label", "degree_type", "field_of_study")
+    return C.build_education(raw, mentions, orgs).select("session_id", "doc_id", "label", "degree_type", "field_of_study", "institution_id")
 
 
 @query(
