@@ -144,9 +144,10 @@ class Shape:
             for b in range(self.bands):
                 key = np.full(len(at), b, np.uint64)
                 for r in range(self.rows):
-                    # Shingles are mixed hashes, so a product with an odd number orders them anew.
-                    m = grams * _ODD[b * self.rows + r]
-                    key = _mixed(key * np.uint64(31) + _sliding_min(m, self.near - self.shingle + 1)[at], 77)
+                    # Shingles are mixed hashes, so a product with an odd number orders them anew; half its bits are enough.
+                    m = ((grams * _ODD[b * self.rows + r]) >> np.uint64(32)).astype(np.uint32)
+                    least = _sliding_min(m, self.near - self.shingle + 1)[at].astype(np.uint64)
+                    key = _mixed(key * np.uint64(31) + least, 77)
                 keys[:, b] = key
         near = windows.between(at, at + self.near)
         return content.view(np.int64), around.view(np.int64), room.astype(np.int8), near.view(np.int64), keys.view(np.int64)
