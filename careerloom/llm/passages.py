@@ -129,15 +129,18 @@ class Shape:
             return np.array([a.argmin()])
         return _lowest(a, self.gap)
 
-    def signatures(self, h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Hash of the paragraphs at the given starts, of paragraph and surroundings, and words on the right; then, for
-        starts with ``near`` words, hash and band keys of these."""
+    def signatures(self, h: np.ndarray, at: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Of starts in texts that lie one behind the other: hash of the paragraph, of paragraph and surroundings, words on
+        the right, whether ``near`` words follow; then, for starts that have these, their hash and band keys.
+
+        ``begin`` and ``end`` are the bounds of each start's text.
+        """
         windows = _Windows(h)
-        room = np.minimum(self.gap, len(h) - at - self.length)
-        left = np.minimum(self.gap, at)
+        room, left = np.minimum(self.gap, end - at - self.length), np.minimum(self.gap, at - begin)
         content = windows.between(at, at + self.length)
         around = windows.between(at - left, at + self.length + room) ^ _mixed((left * 64 + room).astype(np.uint64), 7)
-        at = at[at + self.near <= len(h)]
+        enough = at + self.near <= end
+        at = at[enough]
         keys = np.empty((len(at), self.bands), np.uint64)
         if len(at):
             grams = _rolled(h, self.shingle)
@@ -150,7 +153,7 @@ class Shape:
                     key = _mixed(key * np.uint64(31) + least, 77)
                 keys[:, b] = key
         near = windows.between(at, at + self.near)
-        return content.view(np.int64), around.view(np.int64), room.astype(np.int8), near.view(np.int64), keys.view(np.int64)
+        return content.view(np.int64), around.view(np.int64), room.astype(np.int8), enough, near.view(np.int64), keys.view(np.int64)
 
     def sets(self, words: np.ndarray) -> np.ndarray:
         """Shingles of paragraphs, one row each, from their word hashes."""
@@ -400,27 +403,38 @@ def repeated_passages(
     buckets = buckets_for(docs)
     texts = cut_by(batches_of(rows, hashed, "doc_id long, t int, words binary"), "doc_id", "t", buckets=buckets, unique=True)
 
+    names = ["doc_id", "loc", "cls", "around", "room", "near", "keys"]
+
+    def signed(texts: list[tuple[int, int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        """Rows of the starts of some texts ``id, hash, words, starts``, all at once."""
+        sizes, counts = np.array([len(h) for _, _, h, _ in texts]), np.array([len(at) for *_, at in texts])
+        begin = np.repeat(np.cumsum(sizes) - sizes, counts)
+        ids, hashes = (np.repeat(np.array(x, np.int64), counts) for x in ([t[0] for t in texts], [t[1] for t in texts]))
+        local = np.concatenate([at for *_, at in texts])
+        words = np.concatenate([h for _, _, h, _ in texts])
+        content, around, room, enough, near, keys = shape.signatures(words, local + begin, begin, begin + np.repeat(sizes, counts))
+        # Starts too close to the end of their text have no paragraph to compare by similarity.
+        all_near = np.zeros(len(local), np.int64)
+        all_near[enough] = near
+        ends = np.concatenate([[0], np.cumsum(np.where(enough, shape.bands, 0))]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.ravel()))
+        columns = ids, (hashes << 32) | local, content, around, room, all_near
+        return pa.RecordBatch.from_arrays([*map(pa.array, columns), lists], names=names)
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, hashes = batch.column("doc_id").to_numpy(), batch.column("t").to_numpy().astype(np.int64)
-            out, held = [], 0
+            ids, hashes = batch.column("doc_id").to_pylist(), batch.column("t").to_pylist()
+            some, held = [], 0
             for i, words in enumerate(batch.column("words")):
                 h = np.frombuffer(words.as_py(), "<u4").astype(np.uint64)
                 at = shape.starts(h)
                 if len(at):
-                    content, around, room, near, keys = shape.signatures(h, at)
-                    # Starts too close to the end of the text have no paragraph to compare by similarity.
-                    none = len(at) - len(near)
-                    near = np.concatenate([near, np.zeros(none, np.int64)])
-                    sizes = np.repeat([shape.bands, 0], [len(keys), none])
-                    out.append((np.full(len(at), ids[i]), (hashes[i] << 32) | at, content, around, room, near, sizes, keys.ravel()))
-                    held += len(at)
-                if out and (held >= 50_000 or i + 1 == batch.num_rows):
-                    *columns, sizes, keys = (np.concatenate(x) for x in zip(*out))
-                    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(keys))
-                    names = ["doc_id", "loc", "cls", "around", "room", "near", "keys"]
-                    yield pa.RecordBatch.from_arrays([*map(pa.array, columns), lists], names=names)
-                    out, held = [], 0
+                    some.append((ids[i], hashes[i], h, at))
+                    held += len(h)
+                # Enough words for whole arrays to pay, and few enough to stay near the processor.
+                if some and (held >= 100_000 or i + 1 == batch.num_rows):
+                    yield signed(some)
+                    some, held = [], 0
 
     # loc: the text's hash and the paragraph's first word in one number.
     found = cut(batches_of(texts, scan, "doc_id long, loc long, cls long, around long, room byte, near long, keys array<long>"))
