@@ -15,6 +15,7 @@ from careerloom.operators import sessions as D
 from careerloom.operators import validate as H
 from careerloom.operators import view
 from careerloom.operators.common import position_in, previous_row, resolve_chains
+from careerloom.plans.demo import Careers
 
 ORG_MAP = "session_id int, id string, canonical_id string"
 JOBS = "session_id int, job_id string, title string, org_id string, start_date date"
@@ -293,3 +294,15 @@ def test_order_helpers_cross_chunks(spark):
         order = [i for _, i in sorted((t, i) for k, t, i in data if k == key)]
         assert [pos[i] for i in order] == list(range(1, len(order) + 1))
         assert [prev[i] for i in order] == [None, *order[:-1]]
+
+
+def test_tables_by_session_give_the_same_graph_and_move_no_triple(spark):
+    c = Careers(spark, "/root/testdata/sf0.001")
+    placed, stored = c.build_triples(), c.triples
+    plain = G.build_graph(c.merged_person, c.merged_refs, c.job, c.job_skill, c.raw_skill, c.raw_edu, c.raw_cert, c.raw_org, c.as_of)
+    want = rows(plain)
+    assert len(want) > 1000 and rows(placed) == want and rows(stored) == want
+    ends = stored.filter("o_kind = 'iri'").select("session_id", "o")
+    near = ends.join(stored.select("session_id", stored.s.alias("o"), "p").hint("merge"), ["session_id", "o"])
+    for df in (stored.groupBy("session_id").count(), stored.groupBy("session_id", "s").count(), near):
+        assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
