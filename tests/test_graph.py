@@ -306,3 +306,12 @@ def test_tables_by_session_give_the_same_graph_and_move_no_triple(spark):
     near = ends.join(stored.select("session_id", stored.s.alias("o"), "p").hint("merge"), ["session_id", "o"])
     for df in (stored.groupBy("session_id").count(), stored.groupBy("session_id", "s").count(), near):
         assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["person_edges", "unresolved_person_refs"])
+def test_references_are_resolved_from_stored_tables(spark, name):
+    """One plan over all the given tables held a broadcast per use of each on the driver."""
+    from __spark_entry__ import queries
+
+    plan = queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "sf0.001" not in plan
