@@ -214,9 +214,17 @@ def _names(c):
     return c.t("part").select(F.col("p_name").alias("t1"), F.lower(F.concat("p_type", F.lit(" "), "p_name")).alias("t2")).distinct()
 
 
-@query("title_similarity", f"SELECT t1, t2, round(1 - levenshtein(t1, t2) / greatest(length(t1), length(t2)), 6) AS similarity FROM ({_NAMES})")
+@query(
+    "title_similarity",
+    """SELECT a.t AS t1, b.t AS t2, round(1 - levenshtein(a.t, b.t) / greatest(length(a.t), length(b.t)), 6) AS similarity
+       FROM (SELECT DISTINCT p_name AS t, split_part(p_name, ' ', 1) AS w FROM part) a JOIN (SELECT DISTINCT p_name AS t, split_part(p_name, ' ', 1) AS w FROM part) b USING (w)
+       WHERE a.t < b.t""",
+)
 def _(c):
-    return _names(c).select("t1", "t2", F.round(fn.edit_similarity("t1", "t2"), 6).alias("similarity"))
+    """Every pair of different names with the same first word."""
+    names = c.t("part").select(F.col("p_name").alias("t"), F.substring_index("p_name", " ", 1).alias("w")).distinct()
+    pairs = names.withColumnRenamed("t", "t1").join(names.withColumnRenamed("t", "t2"), "w").filter("t1 < t2")
+    return pairs.select("t1", "t2", F.round(fn.edit_similarity("t1", "t2"), 6).alias("similarity"))
 
 
 @query("sequence_similarity", f"SELECT t1, t2, round({title_ratio('t1', 't2')}, 6) AS similarity FROM ({_NAMES})")

@@ -145,3 +145,12 @@ def test_secrets_and_emails(spark):
     flags = {k: df.select(c).first()[0] for k, c in fn.secret_flags("t").items()}
     assert [k for k, v in flags.items() if v] == ["cloud_key", "national_id"]
     assert df.select(fn.email_domains("t")).first()[0] == ["corp.io", "example.com"]
+
+
+def test_title_similarity_scores_every_pair_of_a_first_word(spark):
+    from __spark_entry__ import queries
+
+    names = {r[0] for r in spark.read.parquet("/root/testdata/sf0.001/part.parquet").select("p_name").collect()}
+    want = {(a, b) for a in names for b in names if a < b and a.split(" ")[0] == b.split(" ")[0]}
+    got = [(r.t1, r.t2) for r in queries()["title_similarity"](spark, "/root/testdata/sf0.001").collect()]
+    assert want and sorted(got) == sorted(want)
