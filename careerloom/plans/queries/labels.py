@@ -59,6 +59,7 @@ _NEW = "CASE WHEN user_verified THEN r.label ELSE coalesce(m.canonical, d) END"
         LEFT JOIN label_map m ON m.session_id = r.session_id AND m.pool = 'skill' AND m.label = d""",
 )
 def _(c):
+    c.store("line", "raw_skill")
     return N.apply_to_skills(c.raw_skill, c.label_map).select("session_id", "skill_id", "label", F.array_join("alt_labels", "|").alias("alts"))
 
 
