@@ -315,3 +315,13 @@ def test_references_are_resolved_from_stored_tables(spark, name):
 
     plan = queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "sf0.001" not in plan
+
+
+def test_stored_records_lie_by_session(spark):
+    from careerloom.plans.queries.uploads import records
+
+    c = Careers(spark, "/root/testdata/sf0.001").store("line", "raw_skill")
+    again = c.raw_skill
+    assert c.store("raw_skill").raw_skill is again
+    for df in (c.raw_skill, records(c)):
+        assert "Exchange" not in df.groupBy("session_id", "doc_id").count()._jdf.queryExecution().executedPlan().toString()
