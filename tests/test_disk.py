@@ -2,8 +2,12 @@
 
 import os
 
+from pyspark.sql import functions as F
+
+from careerloom.operators import view
 from careerloom.plans.demo import _STORED, Careers
 from careerloom.runtime import cut, scratch, shared_dir
+from conftest import rows
 
 SF = "/root/testdata/sf0.001"
 
@@ -33,3 +37,27 @@ def test_scratch_keeps_what_is_taken_out(spark):
         made.remove(b)
     cut(spark.range(1))
     assert b.count() == 4 and len(_tables(spark) - before) == 2 and a is not b
+
+
+def test_neighbourhoods_lie_by_session(spark):
+    """Only the centres, which do not lie by session, are dealt out."""
+    c = Careers(spark, SF)
+    centers = cut(c.raw_org.select("session_id", F.concat(F.lit("http://x/"), "org_id").alias("center")).limit(5))
+    named = c.triples.filter("o_kind = 'iri'").select("session_id", F.col("s").alias("center")).limit(50)
+    centers = cut(centers.unionByName(named))
+    got = view.ego_nodes(c.triples, centers, depth=3, hub_degree=3, buckets=c.buckets)
+    plain = c.triples.filter("o_kind = 'iri'").select("session_id", F.col("s").alias("a"), F.col("o").alias("b")).distinct().toPandas()
+    near = {}
+    for s, a, b in plain.itertuples(index=False):
+        near.setdefault((s, a), set()).add(b)
+        near.setdefault((s, b), set()).add(a)
+    want = []
+    for s, center in {tuple(r) for r in centers.collect()}:
+        if (s, center) in near:
+            seen, front = {center: 0}, {center}
+            for hop in (1, 2, 3):
+                front = {y for x in front for y in near[(s, x)]} - set(seen)
+                seen.update(dict.fromkeys(front, hop))
+            want += [(s, center, x, h) for x, h in seen.items()]
+    assert rows(got) == sorted(want, key=lambda t: tuple((x is None, str(x)) for x in t))
+    assert _exchanges(got) == 0
