@@ -61,3 +61,10 @@ def test_neighbourhoods_lie_by_session(spark):
             want += [(s, center, x, h) for x, h in seen.items()]
     assert rows(got) == sorted(want, key=lambda t: tuple((x is None, str(x)) for x in t))
     assert _exchanges(got) == 0
+
+
+def test_json_ld_comes_back_without_an_exchange(spark):
+    from careerloom.sources import jsonld_triples, to_jsonld
+
+    c = Careers(spark, SF)
+    assert _exchanges(jsonld_triples(to_jsonld(c.triples).select("session_id", "node"))) == 0
