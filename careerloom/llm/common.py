@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import pickle
 from collections.abc import Callable, Iterator
 
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: The white space that separates words, as a class of a regular expression.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Bytes of rows that a task hands to Python at once.
+BATCH_BYTES = 4 << 20
 
 
 def rows_of(docs: DataFrame, *columns: str) -> DataFrame:
@@ -32,8 +35,26 @@ def bucket(column: str, modulus: int) -> Column:
 def batches_of(
     rows: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str
 ) -> DataFrame:
-    """``mapInArrow`` under one name for all operators."""
-    return rows.mapInArrow(fn, schema)
+    """``mapInArrow`` under one name for all operators, on batches of bounded bytes.
+
+    Ten thousand rows of text, Spark's own bound, are tens of megabytes in the executor and again in its Python worker.
+    The setting is the session's. A worker outlives its tasks, so what a task has freed goes back to the system at its end.
+    """
+    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from fn(batches)
+        give_back()
+
+    return rows.mapInArrow(run, schema)
+
+
+def give_back() -> None:
+    """Freed memory that the allocators of Arrow and of the C library still hold."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, max_rows: int) -> DataFrame:
