@@ -68,3 +68,25 @@ def test_json_ld_comes_back_without_an_exchange(spark):
 
     c = Careers(spark, SF)
     assert _exchanges(jsonld_triples(to_jsonld(c.triples).select("session_id", "node"))) == 0
+
+
+def test_states_of_a_batch_are_worked_out_once(spark, tmp_path):
+    """The commit writes keys and rows; the stateful stage must not run for each of them."""
+    import datetime as dt
+
+    from careerloom.streaming import status
+
+    src, out, ckpt = (str(tmp_path / n) for n in ("in", "out", "ckpt"))
+    seen = spark.sparkContext.accumulator(0)
+    data = [(i, dt.datetime(2024, 1, 1, 0, i), "s", i % 5, "complete", None) for i in range(50)]
+    schema = "event_id long, ts timestamp, session_id string, document_id long, event string, payload string"
+    spark.createDataFrame(data, schema).coalesce(1).write.parquet(src)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    stream = spark.readStream.schema(schema).parquet(src)
+    status.stream_document_status(stream.mapInArrow(counted, stream.schema), out, ckpt).awaitTermination()
+    assert seen.value == 50 and status.current_status(spark, out).count() == 5
