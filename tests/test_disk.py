@@ -4,7 +4,8 @@ import os
 
 from pyspark.sql import functions as F
 
-from careerloom.operators import view
+from careerloom import vocab as V
+from careerloom.operators import graph, view
 from careerloom.plans.demo import _STORED, Careers
 from careerloom.runtime import cut, scratch, shared_dir
 from conftest import rows
@@ -30,6 +31,30 @@ def test_tables_of_the_build_go_with_it(spark):
     assert len(left) == 1 and graph.count() > 0
 
 
+def test_records_go_with_their_last_reader(spark, monkeypatch):
+    """When certifications are looked at, nothing reads lines, skills and jobs any more."""
+    _STORED.pop((spark.sparkContext.applicationId, SF), None)
+    before, seen, plain = _tables(spark), [], graph._cert_key
+
+    def looked_at(certs):
+        seen.extend(spark.table(x).columns for x in _tables(spark) - before)
+        return plain(certs)
+
+    monkeypatch.setattr(graph, "_cert_key", looked_at)
+    stored = Careers(spark, SF).triples
+    assert seen and not any({"raw_label", "alt_labels", "achievements"} & set(columns) for columns in seen)
+    assert rows(stored) == rows(Careers(spark, SF).build_triples())
+
+
+def test_parts_that_name_an_entity_twice_are_made_distinct(spark):
+    schema = "session_id long, s string, p string, o string, o_kind string, o_type string"
+    part = lambda kind: spark.createDataFrame([(1, "a", V.RDF_TYPE, kind, "iri", None), (1, "a", V.NAME, "x", "literal", None)], schema)
+    before = _tables(spark)
+    got = graph.store_parts(((part(kind).repartition(2, "session_id"), []) for kind in ("org", "skill")), 2)
+    assert rows(got, "s", "p", "o") == sorted([("a", V.RDF_TYPE, "org"), ("a", V.RDF_TYPE, "skill"), ("a", V.NAME, "x")])
+    assert len(_tables(spark) - before) == 1
+
+
 def test_scratch_keeps_what_is_taken_out(spark):
     before = _tables(spark)
     with scratch() as made:
