@@ -488,9 +488,12 @@ def repeated_passages(
     # paragraph that very many documents have.
     repeated = cut(found.groupBy("cls").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo <> hi").select("cls"))
     spots = cut(found.select("cls", "doc_id", "loc", "around", "room").join(repeated, "cls"))
-    # Where the surroundings are equal too, the first occurrence speaks for all.
-    firsts = cut(spots.groupBy("cls", "around").agg(F.min(F.struct("doc_id", "loc")).alias("first")).select("cls", "around", "first.*"))
-    firsts_of = firsts.select("around", F.col("doc_id").alias("k_doc"), F.col("loc").alias("k_loc"))
+    # Where the surroundings are equal too, the first occurrence speaks for all. Surroundings that occur once are their
+    # own first: only the others are looked up.
+    firsts = spots.groupBy("cls", "around").agg(F.min(F.struct("doc_id", "loc")).alias("first"), F.count("*").alias("n"))
+    firsts = cut(firsts.select("cls", "around", "n", "first.*"))
+    as_first = [F.col("doc_id").alias("k_doc"), F.col("loc").alias("k_loc")]
+    firsts_of = firsts.filter("n > 1").select("around", *as_first)
     placed = cut(spots.select("around", "doc_id", "loc", "room").join(firsts_of, "around"))
     discard(repeated, spots)
     copies = placed.filter("doc_id <> k_doc").select(
@@ -513,7 +516,7 @@ def repeated_passages(
     tag = F.when((F.col("count") <= few) & (F.col("cls") != 0), F.col("cls")).otherwise(0).alias("tag")
     alone = firsts.join(several, "cls").select("doc_id", "loc", tag)
     windows = runs = cut(read_at(alone, runs_around, "array<long>"))
-    discard(firsts, several)
+    discard(several)
     columns = ["doc_id", "loc", "m_doc", "m_t", "m_pos", "lo", "hi"]
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -549,11 +552,12 @@ def repeated_passages(
     # It holds for all places of the document that look alike.
     met = cut(met.union(dealt.select(*columns)).select(F.col("doc_id").alias("k_doc"), F.col("loc").alias("k_loc"), *columns[2:]))
     discard(runs, leads)
-    others = placed.filter("doc_id = k_doc").join(met, ["k_doc", "k_loc"]).select(
+    own = placed.filter("doc_id = k_doc").select("doc_id", "loc", "k_doc", "k_loc").union(firsts.filter("n = 1").select("doc_id", "loc", *as_first))
+    others = own.join(met, ["k_doc", "k_loc"]).select(
         "doc_id", t, F.col("m_doc").alias("k_doc"), F.col("m_t").alias("k_t"), (pos - F.col("m_pos")).alias("off"), (pos + F.col("lo")).alias("s"), (pos + F.col("hi")).alias("e")
     )
     exact = cut(joined_stretches(copies.union(others)).drop("no"))
-    discard(placed, met)
+    discard(firsts, placed, met)
 
     # Different paragraphs of ``near`` words that share a band.
     members = cut(_colliding(found.select("doc_id", F.col("near").alias("cls"), "keys").filter(F.size("keys") > 0)))

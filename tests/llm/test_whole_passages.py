@@ -100,3 +100,21 @@ def test_a_text_of_a_million_words(spark):
     long[777_000:777_000] = passage
     rows = [(1, " ".join([*text_of(r, 20), *passage, *text_of(r, 20)])), (2, " ".join(long))]
     assert removed_words(spark, rows) == {2: set(range(777_000, 777_070))}
+
+
+def test_only_surroundings_that_repeat_are_looked_up(spark, monkeypatch):
+    """One passage in many documents: at its ends the surroundings differ everywhere, and are their own first."""
+    r = random.Random(14)
+    common, n = text_of(r, 120), 60
+    rows = [(i, " ".join([*text_of(r, 40), *common, *text_of(r, 40)])) for i in range(n)]
+    placed, plain = [], passages.cut
+
+    def noted(df, *args):
+        out = plain(df, *args)
+        if {"around", "k_loc"} <= set(out.columns):
+            placed.append(out.groupBy("around").count().agg({"count": "min"}).first()[0])
+        return out
+
+    monkeypatch.setattr(passages, "cut", noted)
+    assert removed_words(spark, rows) == {i: set(range(40, 160)) for i in range(1, n)}
+    assert placed == [n]
