@@ -230,3 +230,13 @@ def test_prompts_and_replies(spark):
 def test_parse_responses(spark, reply, status):
     df = spark.createDataFrame([("d", reply)], "doc_id string, response string")
     assert P.parse_responses(df).first().status == status
+
+
+def test_gold_files_are_listed_by_folder(spark, monkeypatch):
+    """A pattern that names files makes each of them a path of its own, listed one by one."""
+    from careerloom.plans.queries import QUERIES, files
+
+    paths, plain = [], files.sources.scan_gold
+    monkeypatch.setattr(files.sources, "scan_gold", lambda spark, path: (paths.append(path), plain(spark, path))[1])
+    assert {r["variant"] for r in QUERIES["scan_gold"](spark, "/root/testdata/sf0.001").select("variant").distinct().collect()} == {"raw", "extracted"}
+    assert len(paths) == 1 and "*" not in paths[0]
