@@ -26,10 +26,14 @@ from pyspark.sql import functions as F
 from careerloom.llm.common import batches_of, rows_of
 
 
+#: Bytes of encoded rows that a task hands on at once: they lie in the worker twice and in the executor outside of its heap.
+OUT_BYTES = 2 << 20
+
+
 class PieceCache(dict):
     """Piece of text -> its ids as little-endian bytes; bounded by starting over."""
 
-    def __init__(self, encode, most: int = 150_000):
+    def __init__(self, encode, most: int = 50_000):
         super().__init__()
         self.encode, self.most = encode, most
 
@@ -73,7 +77,7 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec(path, pattern)
 
 
-def _flushed(names: list[str], types: list[pa.DataType], most_bytes: int = 8 << 20):
+def _flushed(names: list[str], types: list[pa.DataType], most_bytes: int = OUT_BYTES):
     """Collects rows and hands them on as batches of bounded bytes."""
     rows: list[tuple] = []
     held = 0
@@ -126,7 +130,7 @@ def encode(
                 decoded = tools.decode(ids)
                 out.append((len(ids) // 4, ids, decoded))
                 held += len(ids) + len(decoded)
-                if held >= 8 << 20 or i + 1 == batch.num_rows:
+                if held >= OUT_BYTES or i + 1 == batch.num_rows:
                     n, a, b = zip(*out)
                     yield pa.RecordBatch.from_arrays(
                         [ids_of.slice(start, len(out)), pa.array(n, pa.int64()), pa.array(a, pa.binary()), pa.array(b, pa.binary())],

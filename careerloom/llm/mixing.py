@@ -225,7 +225,8 @@ def pieces(p: Plan) -> DataFrame:
     seam = F.least(end, F.greatest(start, begin + F.coalesce("part", F.lit(0))))
     run = lambda a, b, n: F.struct((a - F.col("first")).alias("at"), (b - a).alias("n"), n.alias("uses"))
     runs = F.array(run(start, seam, F.col("uses") + 1), run(seam, end, F.col("uses")))
-    found = of_docs.join(uses, ["sid", "blk"]).select("__row", F.explode(runs).alias("r")).select("__row", "r.*")
+    # A row per block of the corpus, which the optimiser takes for as few as the shards they are drawn in: never broadcast.
+    found = of_docs.join(uses.hint("merge"), ["sid", "blk"]).select("__row", F.explode(runs).alias("r")).select("__row", "r.*")
     return found.filter("n > 0 and uses > 0")
 
 
