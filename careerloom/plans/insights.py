@@ -7,10 +7,10 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from careerloom.operators.common import KEY
+from careerloom.operators.common import KEY, keep, stored
 from careerloom.plans import render as R
 from careerloom.plans import texts as TX
-from careerloom.runtime import cut
+from careerloom.runtime import cut, discard
 
 Frames = Mapping[str, DataFrame]
 
@@ -67,17 +67,25 @@ def insight_lines(frames: Frames, types: list[str] | None = None) -> DataFrame:
     return R.union(*[ANALYZERS[t](frames).withColumn("analysis_type", F.lit(t)) for t in types or ANALYZERS])
 
 
-def run_battery(frames: Frames, analysis_date: Column, types: list[str] | None = None) -> tuple[DataFrame, dict[str, str]]:
+def run_battery(
+    frames: Frames, analysis_date: Column, types: list[str] | None = None, buckets: int | None = None
+) -> tuple[DataFrame, dict[str, str]]:
     """All analyses for all persons, one document each: a view of ``insight_lines``.
 
     Every analysis is written on its own, so one that fails while planning or
-    while running is reported and leaves the others whole.
+    while running is reported and leaves the others whole. ``buckets``: that of
+    frames that lie by session. The parts of an analysis then do so as well, but
+    Spark forgets it in their union: lines are written from where they are.
     """
-    metadata = cut(_metadata(frames))
+    metadata = stored(_metadata(frames), buckets)
     docs, failed = [], {}
     for t in types or list(ANALYZERS):
         try:
-            docs.append(cut(package_insight(R.assemble_text(ANALYZERS[t](frames)), frames, t, analysis_date, metadata)))
+            rows = ANALYZERS[t](frames)
+            placed = [] if buckets is None else [keep(rows, buckets, placed=True)]
+            content = R.assemble_text(*placed or [rows])
+            docs.append(cut(package_insight(content, frames, t, analysis_date, metadata), codec="zstd"))
+            discard(*placed)
         except Exception as e:  # noqa: BLE001
             failed[t] = str(e)
     if not docs:

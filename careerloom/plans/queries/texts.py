@@ -234,8 +234,8 @@ def _packed(kind: str) -> str:
 
 
 def _battery(c, types=None):
-    c.store("line", "job", "skill", "tech", "matches")
-    out, failed = I.run_battery(c.career_frames(), F.lit(_DATE), types)
+    c.store("persons", "line", "job", "skill", "tech", "matches")
+    out, failed = I.run_battery(c.career_frames(), F.lit(_DATE), types, buckets=c.buckets)
     if failed:
         raise RuntimeError(f"analyses failed: {failed}")
     return out

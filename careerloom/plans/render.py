@@ -82,9 +82,14 @@ def _having(df: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def render_skill_gap(persons: DataFrame, jobs: DataFrame, skills: DataFrame, tech: DataFrame) -> DataFrame:
-    names, gap = _names(persons), A.skill_gap(skills, tech)
-    both = gap.filter("status = 'both'").groupBy(KEY).agg(F.array_join(F.array_sort(F.collect_list("label")), ", ").alias("overlap"))
-    head = names.join(A.skill_gap_summary(gap), KEY, "left").join(both, KEY, "left")
+    names, claims = _names(persons), A.claimed_skills(skills, tech)
+    both = F.when(F.col("status") == "both", F.col("label"))
+    of_claims = claims.groupBy(KEY).agg(
+        F.count("*").alias("claimed_count"), F.count(both).alias("overlap_count"),
+        F.nullif(F.array_join(F.array_sort(F.collect_list(both)), ", "), F.lit("")).alias("overlap"),
+    )
+    of_used = tech.groupBy(KEY).agg(F.count_distinct("tech_key").alias("used_count"))
+    head = names.join(of_claims, KEY, "left").join(of_used, KEY, "left")
     text = fill(
         TX.GAP_HEAD, name="name", claimed=_zero("claimed_count"), used=_zero("used_count"), both=_zero("overlap_count"),
         overlap=F.coalesce("overlap", F.lit("none")),
@@ -92,7 +97,7 @@ def render_skill_gap(persons: DataFrame, jobs: DataFrame, skills: DataFrame, tec
     roles = A.used_not_claimed(skills, tech, jobs.withColumn("title", F.coalesce("title", F.lit(""))))
     order = F.concat(F.when(F.col("start") == "?", "0000").otherwise(F.col("start")), F.lit("|"), "job_id")
     per_role = roles.groupBy(KEY, order.alias("a"), "title", "start", "end").agg(F.lit(1).alias("_"))
-    claimed = gap.filter("status = 'claimed_only'")
+    claimed = claims.filter("status = 'claimed_only'")
     return union(
         lines(head, 0, text, ""),
         lines(_having(roles, names), 1, "## Undersold Capabilities", "", fill(TX.GAP_USED, name="name"), ""),
