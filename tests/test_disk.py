@@ -115,3 +115,15 @@ def test_states_of_a_batch_are_worked_out_once(spark, tmp_path):
     stream = spark.readStream.schema(schema).parquet(src)
     status.stream_document_status(stream.mapInArrow(counted, stream.schema), out, ckpt).awaitTermination()
     assert seen.value == 50 and status.current_status(spark, out).count() == 5
+
+
+def test_compressed_tables_are_not_broadcast_unseen(spark):
+    """A file of less than 10 MB, the default bound, may hold rows that no driver has room for."""
+    Careers(spark, SF)
+    wide = spark.range(2_000_000).select(F.pmod(F.xxhash64("id"), F.lit(50_000)).alias("session_id"), F.concat(F.lit("label "), (F.col("id") % 40).cast("string")).alias("label"))
+    # Written so that the whole table is one small file.
+    table = cut(wide.coalesce(1).sortWithinPartitions("label", "session_id"), codec="zstd")
+    size = int(str(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    assert size < 10 << 20
+    plan = table.join(table.withColumn("x", F.lit(1)), ["session_id", "label"], "left")._jdf.queryExecution().sparkPlan()
+    assert "BroadcastHashJoin" not in str(plan)
