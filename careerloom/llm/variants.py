@@ -31,6 +31,9 @@ RUN = re.compile(rb"(?:[A-Za-z]|\xC3[\x80-\xBF])+")
 #: Nodes this near to a root are at most 1 + 90 + 90 * 90 for the 90 code points of lower-cased runs.
 NEAR_ROOT = 2
 
+#: Sides that grow with the vocabulary: compressed files and exploded rows look small enough to broadcast and are not.
+MERGE = "merge"
+
 
 def without(run: bytes, h: int) -> bytes:
     """``run`` without its code point ``h`` modulo length."""
@@ -136,6 +139,7 @@ def _numbered(paths: DataFrame) -> DataFrame:
     """``id, at, prefix, suffix, behind, first``: paths with the numbers of their nodes.
 
     Nodes near a root lie on the paths of very many words; there is a fixed bound to their number, so they are broadcast.
+    Nothing else of the vocabulary's size is: the optimiser takes the paths of a word for one row.
     """
     side = (F.col("part") > 0).alias("side")
     paths = paths.select("id", "at", "part", side, "depth", "node", "first")
@@ -143,7 +147,7 @@ def _numbered(paths: DataFrame) -> DataFrame:
     nodes = cut(paths.select("side", "depth", "node").distinct().withColumn("number", F.monotonically_increasing_id()))
     near, far = F.col("depth") <= NEAR_ROOT, F.col("depth") > NEAR_ROOT
     on = ["side", "depth", "node"]
-    placed = paths.filter(near).join(F.broadcast(nodes.filter(near)), on).unionByName(paths.filter(far).join(nodes.filter(far), on))
+    placed = paths.filter(near).join(F.broadcast(nodes.filter(near)), on).unionByName(paths.filter(far).join(nodes.filter(far).hint(MERGE), on))
     part = lambda k: F.max(F.when(F.col("part") == k, F.col("number")))
     return placed.groupBy("id", "at").agg(
         part(0).alias("prefix"), part(1).alias("suffix"), part(2).alias("behind"), F.max("first").alias("first")
@@ -156,7 +160,7 @@ def _neighbours(words: DataFrame) -> DataFrame:
     Ids follow the order of the words, so of equal counts the smallest word has the largest ``-id``.
     """
     rank = F.struct("n", (-F.col("id")).alias("o"))
-    places = _numbered(_paths(words)).join(words.select("id", "n"), "id")
+    places = _numbered(_paths(words)).join(words.select("id", "n").hint(MERGE), "id")
     pairs = places.select(
         "prefix",
         F.explode(
@@ -211,7 +215,7 @@ def spelling_variants(
     counted = cut(word_counts(docs, length, least, damage, id_col, text_col))
     words = cut(counted.orderBy("word").withColumn("id", F.monotonically_increasing_id()))
     told = _neighbours(words)
-    linked = words.join(told, "id", "left").select("id", "word", "n", F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"), "best")
+    linked = words.join(told.hint(MERGE), "id", "left").select("id", "word", "n", F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"), "best")
     is_form = F.col("best.n") >= F.col("n") * times
     linked = cut(linked.withColumn("form_id", F.when(is_form, -F.col("best.o"))).withColumn("form_n", F.when(is_form, F.col("best.n"))).drop("best"))
     roots = cut(linked.filter("form_id is not null").select("id", F.col("form_id").alias("to")))
@@ -220,11 +224,11 @@ def spelling_variants(
     steps = math.log(most / least, times) if most else 0
     for _ in range(math.ceil(math.log2(steps)) if steps > 1 else 0):
         further = roots.select(F.col("id").alias("to"), F.col("to").alias("next"))
-        roots = cut(roots.join(further, "to", "left").select("id", F.coalesce("next", "to").alias("to")))
+        roots = cut(roots.join(further.hint(MERGE), "to", "left").select("id", F.coalesce("next", "to").alias("to")))
     names = words.select("id", "word")
     form, root = names.select(F.col("id").alias("form_id"), F.col("word").alias("form")), names.select(F.col("id").alias("to"), F.col("word").alias("root"))
     return (
-        linked.join(form, "form_id", "left")
-        .join(roots.join(root, "to").select("id", "root"), "id", "left")
+        linked.join(form.hint(MERGE), "form_id", "left")
+        .join(roots.join(root.hint(MERGE), "to").select("id", "root").hint(MERGE), "id", "left")
         .select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
     )

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from careerloom.llm import digests, divergence, variants
+from careerloom.runtime import cut
 
 ODD = [
     (1, "Same text", "de", "a"),
@@ -251,3 +252,10 @@ def test_roots_at_the_end_of_a_long_way(spark):
     docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
     got = {r.word: r.root for r in variants.spelling_variants(docs, damage=1 << 40).collect()}
     assert got == {w: words[-1] for w in words}
+
+
+def test_only_nodes_near_a_root_are_broadcast(spark):
+    """The optimiser takes the paths of a word for one row, and then sends all of them to the driver."""
+    words = spark.range(100).select("id", F.concat(F.lit("word"), F.col("id").cast("string")).alias("word"), F.lit(5).cast("long").alias("n"))
+    told = variants._neighbours(cut(words))
+    assert str(told._jdf.queryExecution().sparkPlan()).count("BroadcastHashJoin") == 1
