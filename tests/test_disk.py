@@ -127,3 +127,17 @@ def test_compressed_tables_are_not_broadcast_unseen(spark):
     assert size < 10 << 20
     plan = table.join(table.withColumn("x", F.lit(1)), ["session_id", "label"], "left")._jdf.queryExecution().sparkPlan()
     assert "BroadcastHashJoin" not in str(plan)
+
+
+def test_neighbourhoods_come_with_their_edges(spark):
+    """Every statement between two nodes of a neighbourhood is there, worked out one by one."""
+    from careerloom.plans.queries import QUERIES
+
+    got = QUERIES["ego_graph"](spark, SF).filter("session_id < 3").collect()
+    links = Careers(spark, SF).triples.filter("session_id < 3 and o_kind = 'iri'").select("session_id", "s", "p", "o").distinct().collect()
+    inside = {(r.session_id, r.center, r.id) for r in got}
+    centers = {x[:2] for x in inside}
+    want = {(k, c, s, p, o) for k, s, p, o in links for j, c in centers if j == k and {(k, c, s), (k, c, o)} <= inside}
+    assert want and {(r.session_id, r.center, r.id, r.p, r.o) for r in got if r.p} == want
+    without = [(r.session_id, r.center, r.id) for r in got if not r.p]
+    assert without and len(set(without)) == len(without) and len(got) == len(want) + len(without)
