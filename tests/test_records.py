@@ -240,3 +240,23 @@ def test_gold_files_are_listed_by_folder(spark, monkeypatch):
     monkeypatch.setattr(files.sources, "scan_gold", lambda spark, path: (paths.append(path), plain(spark, path))[1])
     assert {r["variant"] for r in QUERIES["scan_gold"](spark, "/root/testdata/sf0.001").select("variant").distinct().collect()} == {"raw", "extracted"}
     assert len(paths) == 1 and "*" not in paths[0]
+
+
+def test_entities_are_read_once_many_to_a_task(spark, tmp_path):
+    """Both results come from one read; a task takes files by their bytes, not 4 MB for each."""
+    from careerloom.runtime import many_files
+
+    folder = tmp_path / "sessions" / "s1" / "extracted"
+    folder.mkdir(parents=True)
+    for i in range(300):
+        (folder / f"d{i}.json").write_text(json.dumps({"person": {"name": f"N{i}"}}) if i % 3 else "{cut off")
+    plain = spark.read.text(str(folder), wholetext=True)
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    with many_files(spark):
+        few = spark.read.text(str(folder), wholetext=True).rdd.getNumPartitions()
+    assert spark.conf.get("spark.sql.files.openCostInBytes") == before
+    assert few <= 8 < plain.rdd.getNumPartitions()
+    good, bad = sources.scan_entities(spark, str(tmp_path / "sessions"))
+    for f in folder.iterdir():
+        f.unlink()
+    assert good.count() == 200 and bad.count() == 100
